@@ -45,14 +45,18 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int, name: st
         return df.withColumn(name, F.lit(0))
     schema = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
     table = F.from_json(F.lit("[" + ",".join(bounds) + "]"), schema, _TS)
-    key = F.struct(*[F.col(k) for k in keys])
-    steps = [1 << i for i in range(int(math.log2(len(bounds))), -1, -1)]
+    return df.withColumn(name, count_upto(table, len(bounds), F.struct(*[F.col(k) for k in keys])))
+
+
+def count_upto(table: Column, size: int, key: Column) -> Column:
+    """How many entries of a sorted constant array are <= key, by binary search."""
+    steps = [1 << i for i in range(int(math.log2(max(size, 1))), -1, -1)]
 
     def probe(acc: Column, step: Column) -> Column:
         ahead = acc + step
-        return F.when((ahead <= len(bounds)) & (F.try_element_at(table, ahead) <= key), ahead).otherwise(acc)
+        return F.when((ahead <= size) & (F.try_element_at(table, ahead) <= key), ahead).otherwise(acc)
 
-    return df.withColumn(name, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
 
 
 def _bounds(df: DataFrame, keys: Sequence[str], total: int, ranges: int) -> list[str]:
