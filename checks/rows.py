@@ -23,10 +23,11 @@ def _(spark, sf):
     return rows.filter_rows(df, "o_orderpriority", "contains", "NOT", mode="remove").select("o_orderkey")
 
 
-@check("filter_number_in_text", "SELECT doc_id FROM documents WHERE try_cast(trim(substr(text, 1, 4)) AS DOUBLE) > 5")
+@check("filter_number_in_text", "SELECT o_orderkey FROM orders WHERE CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) > 3")
 def _(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 4).alias("lead"))
-    return rows.filter_rows(df, "lead", ">", "5").select("doc_id")
+    lead = F.split_part("o_orderpriority", F.lit("-"), F.lit(1))
+    df = table(spark, sf, "orders").select("o_orderkey", lead.alias("lead"))
+    return rows.filter_rows(df, "lead", ">", "3").select("o_orderkey")
 
 
 @check("filter_empty", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 7 = 0")
