@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,3 +17,16 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     return F.when((F.count_if(both) < least) | flat, F.lit(0.0)).otherwise(
         F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
     )
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once per row.
+
+    A helper column would be inlined by the optimizer and computed again for
+    every element of an array; a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def array_sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)

@@ -175,7 +175,6 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         {
             "rows": lambda _c: F.count("*"),
             "n": F.count,
-            "unique": F.count_distinct,
             "mean": F.avg,
             "sd": F.stddev_pop,
             "min": F.min,
@@ -188,9 +187,13 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     quart = df.sparkSession.createDataFrame(
         [(c, *q[c]) for c in cols], "column string, q1 double, median double, q3 double"
     )
+    # Distinct values as one plain aggregate over (column, value), not one expansion per column.
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in cols])
+    unique = clean.select(F.inline(entries)).distinct().groupBy("column").agg(F.count("v").alias("unique"))
     n, sd = F.col("n").cast("double"), F.col("sd")
     return (
         stats.join(F.broadcast(quart), "column")  # one row per column
+        .join(F.broadcast(unique), "column")
         .withColumn("missing", F.col("rows") - F.col("n"))
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("skewness", F.when(n > 0, sample_skew(F.col("g1"), n, sd)))

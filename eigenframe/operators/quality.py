@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.functions.parsing import finite
+from eigenframe.functions.stats import array_sum, let
 from eigenframe.operators.aggregate import column_stats
 from eigenframe.operators.profile import (
     PROFILE_SCHEMA,
@@ -310,16 +311,17 @@ def closed_composition(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def continuity(df: DataFrame, features) -> DataFrame:
     """Per row, mean squared successive difference over sample variance; gaps and flat rows give NULL."""
-    x = feature_array(df, features)
-    rows = df.select("*", x.alias("_cx"))
-    ok = ~F.coalesce(F.exists("_cx", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-    n = F.size("_cx")
-    rows = rows.withColumn("_cm", F.aggregate("_cx", F.lit(0.0), lambda a, v: a + v) / n)
-    ss = F.aggregate("_cx", F.lit(0.0), lambda a, v: a + (v - F.col("_cm")) * (v - F.col("_cm")))
-    steps = F.zip_with(F.slice("_cx", 2, n - 1), F.slice("_cx", 1, n - 1), lambda a, b: (a - b) * (a - b))
-    diff = F.aggregate(steps, F.lit(0.0), lambda a, v: a + v) / (n - 1)
-    rows = rows.withColumn("_cs", F.when(ok & (n >= 2), ss / (n - 1)))
-    return rows.withColumn("ratio", F.when(F.col("_cs") > 0, diff / F.col("_cs"))).drop("_cx", "_cm", "_cs")
+
+    def ratio(x: Column) -> Column:
+        n = F.size(x)
+        bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        steps = F.zip_with(F.slice(x, 2, n - 1), F.slice(x, 1, n - 1), lambda a, b: (a - b) * (a - b))
+        spread = let(
+            array_sum(x) / n, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1)
+        )
+        return F.when((n >= 2) & ~bad, let(spread, lambda s: F.when(s > 0, array_sum(steps) / (n - 1) / s)))
+
+    return df.withColumn("ratio", let(feature_array(df, features), ratio))
 
 
 def axis_report(df: DataFrame, features) -> DataFrame:

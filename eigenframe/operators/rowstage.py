@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eigenframe.functions.stats import array_sum, let
 from eigenframe.plans.dense import FLAT, floor_at_one, smoothing_matrix
 from eigenframe.plans.gram import feature_array
 from eigenframe.plans.quantiles import quantiles
@@ -44,37 +45,27 @@ class RowStage:
         return asdict(self)
 
 
-def _mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+def snv(df: DataFrame, features: Features, name: str = "snv") -> DataFrame:
+    """Standard normal variate: row minus its mean, over its sample deviation (flat rows only centred)."""
 
+    def scaled(z: Column) -> Column:
+        sd = F.sqrt(array_sum(F.transform(z, lambda v: v * v)) / F.greatest(F.size(z) - 1, F.lit(1)))
+        return let(F.when(sd < FLAT, F.lit(1.0)).otherwise(sd), lambda by: F.transform(z, lambda v: v / by))
 
-def snv(df: DataFrame, features: Features, name: str = "snv") -> DataFrame:
-    # The mean and the spread of a row are columns of their own, so they are computed once per row.
-    x = feature_array(df, features)
-    staged = df.withColumn("_rs_x", x).withColumn("_rs_mean", _mean(F.col("_rs_x")))
-    staged = staged.withColumn(
-        "_rs_sd",
-        F.sqrt(
-            F.aggregate("_rs_x", F.lit(0.0), lambda a, v: a + (v - F.col("_rs_mean")) * (v - F.col("_rs_mean")))
-            / F.greatest(F.size("_rs_x") - 1, F.lit(1))
-        ),
-    )
-    by = F.when(F.col("_rs_sd") < FLAT, F.lit(1.0)).otherwise(F.col("_rs_sd"))
-    return (
-        staged.withColumn("_rs_by", by)
-        .withColumn(name, F.transform("_rs_x", lambda v: (v - F.col("_rs_mean")) / F.col("_rs_by")))
-        .drop("_rs_x", "_rs_mean", "_rs_sd", "_rs_by")
-    )
+    def centred(x: Column) -> Column:
+        return let(array_sum(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+
+    return df.withColumn(name, let(feature_array(df, features), lambda x: let(centred(x), scaled)))
 
 
 def vector_norm(df: DataFrame, features: Features, name: str = "unit") -> DataFrame:
-    staged = df.withColumn("_rs_x", feature_array(df, features)).withColumn(
-        "_rs_len", F.sqrt(F.aggregate("_rs_x", F.lit(0.0), lambda a, v: a + v * v))
-    )
-    by = F.when(F.col("_rs_len") > FLAT, F.col("_rs_len")).otherwise(F.lit(1.0))
-    return staged.withColumn("_rs_by", by).withColumn(
-        name, F.transform("_rs_x", lambda v: v / F.col("_rs_by"))
-    ).drop("_rs_x", "_rs_len", "_rs_by")
+    """Row over its Euclidean length, unless that is almost zero."""
+
+    def scaled(x: Column) -> Column:
+        length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+        return let(F.when(length > FLAT, length).otherwise(F.lit(1.0)), lambda by: F.transform(x, lambda v: v / by))
+
+    return df.withColumn(name, let(feature_array(df, features), scaled))
 
 
 def savgol(

@@ -177,29 +177,28 @@ def fill_along(
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Replace NULLs by the nearest earlier (or later) value of the group."""
-    by, pick = list(partition_by), (F.first if backward else F.last)
-    frame = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
+    # Backward is forward in reversed order: a frame that grows is cheap, one that shrinks is not.
+    by = list(partition_by)
+    keys = [F.col(c).desc() if backward else F.col(c).asc() for c in order_by]
+    growing = (Window.unboundedPreceding, 0)
     if largest_group(df, by) <= group_rows:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(*frame)
-        return df.withColumns({c: pick(c, ignorenulls=True).over(w) for c in cols})
+        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys).rowsBetween(*growing)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     keyed = with_range(df, [*by, *order_by], group_rows // 4 or 1)
-    local = Window.partitionBy("_rng", *by).orderBy(*order_by).rowsBetween(*frame)
+    local = Window.partitionBy("_rng", *by).orderBy(*keys).rowsBetween(*growing)
     edge = F.min_by if backward else F.max_by
     seen = keyed.groupBy("_rng", *by).agg(
-        *[
-            edge(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order_by))).alias(f"_e_{c}")
-            for c in cols
-        ]
+        *[edge(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order_by))).alias(f"_e_{c}") for c in cols]
     )
-    outside = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_rng").rowsBetween(*outside)
+    rng = F.col("_rng").desc() if backward else F.col("_rng").asc()
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
     carry = seen.select(
         "_rng",
         *by,
-        F.struct(*[pick(f"_e_{c}", ignorenulls=True).over(across).alias(c) for c in cols]).alias("_carry"),
+        F.struct(*[F.last(f"_e_{c}", ignorenulls=True).over(across).alias(c) for c in cols]).alias("_carry"),
         F.count("*").over(across).alias("_others"),
     ).filter("_others > 0")
     filled = _attach(keyed, carry.drop("_others"), by)
     return filled.withColumns(
-        {c: F.coalesce(pick(c, ignorenulls=True).over(local), F.col("_carry")[c]) for c in cols}
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(local), F.col("_carry")[c]) for c in cols}
     ).drop("_rng", "_carry")
