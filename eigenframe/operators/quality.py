@@ -64,7 +64,8 @@ def profile(df: DataFrame, roles: Roles) -> Profile:
     numeric, text = list(roles.features), list(roles.categorical)
     frames = []
     if numeric:
-        prof = numeric_profile(df, numeric)
+        lazy = numeric_profile(df, numeric)
+        prof = spark.createDataFrame(lazy.collect(), lazy.schema)  # one row per column, used three times
         shapes = distribution(df, numeric, prof)
         found = outlier_counts(df, numeric).filter("reportable").drop("reportable")
         frames.append(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +74,26 @@ def savgol(
     """Savitzky–Golay along the row: one banded matrix product per Arrow batch."""
     smoothing_matrix(window, window, order, deriv)  # argument check before the job starts
 
-    @F.pandas_udf("array<double>")
-    def smooth(rows: pd.Series) -> pd.Series:
-        x = np.vstack(rows.to_numpy())
-        if not np.isfinite(x).all():
-            raise ValueError("smoothing needs complete rows")
-        return pd.Series(list(x @ smoothing_matrix(x.shape[1], window, order, deriv).T))
-
-    return df.withColumn(name, smooth(feature_array(df, features)))
+    rows = df.withColumn(name, feature_array(df, features))
+    at = rows.columns.index(name)
+
+    def smooth(batches):
+        for b in batches:
+            x = b.column(at)
+            lengths = np.diff(x.offsets.to_numpy())
+            if x.null_count or len(set(lengths)) > 1:
+                raise ValueError("smoothing needs complete rows of equal length")
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1)
+            if not np.isfinite(x).all():
+                raise ValueError("smoothing needs complete rows")
+            y = x @ smoothing_matrix(x.shape[1], window, order, deriv).T if len(x) else x
+            offsets = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+            done = pa.ListArray.from_arrays(offsets, pa.array(y.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [done if i == at else c for i, c in enumerate(b.columns)], names=rows.columns
+            )
+
+    return rows.mapInArrow(smooth, rows.schema)
 
 
 def apply_row_stage(df: DataFrame, features: Features, stage: RowStage, name: str = "_row") -> DataFrame:

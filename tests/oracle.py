@@ -85,7 +85,7 @@ def main():
         try:
             why, a, b = compare(spark, con, folder, name, q, sqls.get(name))
         except Exception as err:  # noqa: BLE001
-            why, a, b = "ERROR " + str(err)[:700], 0, 0
+            why, a, b = "ERROR " + str(err)[:1500], 0, 0
         failed += bool(why)
         print(f"{'FAIL' if why else 'ok  '} {name:32s} {a:6.2f}s {b:6.2f}s {'' if name in sqls else '(rows only)'} {why}", flush=True)
     print("failed", failed)
