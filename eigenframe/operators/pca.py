@@ -56,6 +56,7 @@ class PCAModel:
     variable_score_cov: np.ndarray | None = None
     limits: dict[str, float] = field(default_factory=dict)
     regression: Regression | None = None
+    history: tuple | None = None  # of a fit to rows with gaps
 
     @property
     def cumulative(self) -> np.ndarray:

@@ -75,7 +75,7 @@ def savgol(
     smoothing_matrix(window, window, order, deriv)  # argument check before the job starts
 
     rows = df.withColumn(name, feature_array(df, features))
-    at = rows.columns.index(name)
+    names, at = list(rows.columns), rows.columns.index(name)
 
     def smooth(batches):
         for b in batches:
@@ -89,9 +89,7 @@ def savgol(
             y = x @ smoothing_matrix(x.shape[1], window, order, deriv).T if len(x) else x
             offsets = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
             done = pa.ListArray.from_arrays(offsets, pa.array(y.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [done if i == at else c for i, c in enumerate(b.columns)], names=rows.columns
-            )
+            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(b.columns)], names=names)
 
     return rows.mapInArrow(smooth, rows.schema)
 

@@ -60,23 +60,24 @@ def nipals(g: np.ndarray, sums: np.ndarray, n: float, k: int) -> tuple[np.ndarra
     return np.array(lam), loadings, float(np.trace(g))
 
 
-def score_paths(pool: Moments, labelled: Moments, divisor: np.ndarray | None, k_max: int, standard: bool):
+def score_paths(pool: Moments, labelled: Moments, center: np.ndarray, divisor: np.ndarray, k_max: int):
     """Regression on 0…k components from moments alone.
 
     ``pool`` describes the rows the components come from, ``labelled`` the rows
-    ``[x…, y]`` with a response. Returns original-scale coefficients (one row per
-    component count, intercept first), the score-space coefficients, loadings, λ,
-    and the largest count the labelled rows can support.
+    ``[x…, y]`` with a response; ``center`` and ``divisor`` are the column stage.
+    Returns original-scale coefficients (one row per component count, intercept
+    first), score-space coefficients, loadings and λ. Fewer rows than k_max + 1
+    come back when the labelled rows cannot support more components.
     """
     m = len(pool.mean)
-    if divisor is None:
-        divisor = floor_at_one(pool.sd) if standard else np.ones(m)
-    lam, v = top_eigen(pool.cov / np.outer(divisor, divisor))
+    off = (pool.mean - center) / divisor
+    around = pool.cov / np.outer(divisor, divisor) + np.outer(off, off) * pool.n / max(pool.n - 1, 1)
+    lam, v = top_eigen(around)
     k_max = min(k_max, m, int((lam > 1e-12 * max(lam[0], 1e-300)).sum()))
     p = v[:, :k_max] / divisor[:, None]
     sxx, sxy = labelled.scatter[:m, :m], labelled.scatter[:m, m]
     stt, sty = p.T @ sxx @ p, p.T @ sxy
-    tbar, ybar = p.T @ (labelled.mean[:m] - pool.mean), labelled.mean[m]
+    tbar, ybar = p.T @ (labelled.mean[:m] - center), labelled.mean[m]
     betas, gammas = [], []
     for k in range(k_max + 1):
         if k and not _adds(stt, k):
@@ -84,9 +85,9 @@ def score_paths(pool: Moments, labelled: Moments, divisor: np.ndarray | None, k_
         gamma = np.linalg.solve(stt[:k, :k], sty[:k]) if k else np.zeros(0)
         icpt = ybar - gamma @ tbar[:k]
         beta = p[:, :k] @ gamma
-        betas.append(np.concatenate([[icpt - beta @ pool.mean], beta]))
+        betas.append(np.concatenate([[icpt - beta @ center], beta]))
         gammas.append(np.concatenate([[icpt], gamma]))
-    return np.array(betas), gammas, v[:, :k_max], lam, divisor
+    return np.array(betas), gammas, v[:, : len(betas) - 1], lam
 
 
 def _adds(stt: np.ndarray, k: int) -> bool:
