@@ -86,13 +86,22 @@ def score_correlations(
         for i, v in enumerate(names):
             found += [(v, c, row[f"n_{i}_{j}"], row[f"r_{i}_{j}"]) for j, c in enumerate(scores)]
     else:
-        for i, v in enumerate(names):
-            # Ranks are made after the pairs with gaps are gone, so each variable ranks the scores anew.
+        counts = base.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in base.columns]).first()
+        whole = all(counts[c] == counts["rows"] for c in scores)
+        full = [i for i in range(len(names)) if whole and counts[f"_v{i}"] == counts["rows"]]
+        # Ranks are made after the pairs with gaps are gone: variables without gaps share one ranking
+        # of the scores, each of the others ranks them anew.
+        for many in [full] + [[i] for i in range(len(names)) if i not in full]:
+            if not many:
+                continue
+            ranked = base.select(*scores, *[f"_v{i}" for i in many])
+            if whole or len(scores) == 1:
+                row = _ranked(ranked.dropna()).agg(*_pairs(scores, many)).first()
+                found += [(names[i], c, row[f"n_{i}_{j}"], row[f"r_{i}_{j}"]) for i in many for j, c in enumerate(scores)]
+                continue
             for j, c in enumerate(scores):
-                pair = base.select(F.col(c).alias("x"), F.col(f"_v{i}").alias("y")).dropna()
-                ranked = average_rank(average_rank(pair, "x", "rx"), "y", "ry")
-                row = ranked.agg(F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry"), 3).alias("r")).first()
-                found.append((v, c, row["n"], row["r"]))
+                row = _ranked(ranked.select(c, f"_v{many[0]}").dropna()).agg(*_pairs([c], many)).first()
+                found.append((names[many[0]], c, row[f"n_{many[0]}_0"], row[f"r_{many[0]}_0"]))
     spark = df.sparkSession
     first = {v: r for v, c, _n, r in found if c == scores[0]}
     place = {v: k for k, v in enumerate(sorted(names, key=lambda v: (-first[v], v)))}
@@ -100,6 +109,12 @@ def score_correlations(
     return spark.createDataFrame(rows, "place int, variable string, component string, n long, r double, p double")
 
 
+def _ranked(df: DataFrame) -> DataFrame:
+    for c in df.columns:
+        df = average_rank(df, c, "_rank").drop(c).withColumnRenamed("_rank", c)
+    return df
+
+
 def _pairs(scores, many):
     out = []
     for i in many:

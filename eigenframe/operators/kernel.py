@@ -260,10 +260,10 @@ def kernel_matrix(df: DataFrame, features: Features, params: KernelParams | None
         for b in batches:
             z = p.matrix(_batch(b.column(1), one), b0)
             z = z - mu - z.mean(axis=1, keepdims=True) + mu.mean()
-            left = b.column(0).to_pylist()
+            kind, left = b.column(0).type, b.column(0).to_pylist()
+            i, j = [v for v in left for _ in names], names * len(left)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(left, len(names))), pa.array(np.tile(names, len(left))), pa.array(z.ravel())],
-                names=["i", "j", "value"],
+                [pa.array(i, kind), pa.array(j, kind), pa.array(z.ravel())], names=["i", "j", "value"]
             )
 
     kind = rows.schema["_id"].dataType

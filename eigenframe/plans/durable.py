@@ -1,20 +1,33 @@
-"""Cutting lineage where an iterative job needs it."""
+"""Folders every executor can reach, for cutting lineage and for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder of the session.
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only a session
-    without one (tests on one machine) gets a temporary folder.
+    Only a session without one (tests on one machine) gets a temporary folder.
     """
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or tempfile.mkdtemp(prefix="eigenframe-")
+    )
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` where the loss of an executor cannot undo it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eigenframe-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
