@@ -168,19 +168,24 @@ def _decompose(rows, p, base, divisor, k):
     width = k + 8
     q, _ = np.linalg.qr(_centre(np.random.default_rng(0).standard_normal((n, width))))
     basis, image = q, _centre(_times(rows, p, base, divisor, q))
+    fresh = width
     for _ in range(_ROUNDS):
         w, s = np.linalg.eigh(basis.T @ image)
         w, s = w[::-1][:k], s[:, ::-1][:, :k]
         v = basis @ s
         gap = np.linalg.norm(image @ s - v * w, axis=0).max()
-        if gap <= 1e-11 * max(w[0], 1e-300) * n**0.5 or basis.shape[1] + width > n:
+        if gap <= 1e-11 * max(w[0], 1e-300) * n**0.5:
+            break
+        new = image[:, -fresh:]
+        new = new - basis @ (basis.T @ new)
+        u, size, _ = np.linalg.svd(new, full_matrices=False)
+        u = u[:, size > 1e-11 * max(w[0], 1e-300)]  # directions that are new, not rounding
+        if not u.shape[1] or basis.shape[1] + u.shape[1] > n:
             break
-        new = image[:, -width:]
         for _again in range(2):
-            new = new - basis @ (basis.T @ new)
-        new, _ = np.linalg.qr(_centre(new))
-        basis = np.hstack([basis, new])
-        image = np.hstack([image, _centre(_times(rows, p, base, divisor, new))])
+            u, _ = np.linalg.qr(u - basis @ (basis.T @ u))
+        fresh, basis = u.shape[1], np.hstack([basis, u])
+        image = np.hstack([image, _centre(_times(rows, p, base, divisor, u))])
     return w, fix_signs(v), trace
 
 
