@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.functions.parsing import finite, is_blank
-from eigenframe.functions.stats import pearson
 from eigenframe.operators.pca import PCAModel
+from eigenframe.operators.profile import pair_correlations
 from eigenframe.operators.transforms import MAX_LEVELS, levels, sort_labels
-from eigenframe.operators.windows import average_rank
+from eigenframe.operators.windows import rank_table
 from eigenframe.plans.dense import t_two_sided
 
 # Chi-square with two degrees of freedom at each level.
@@ -81,12 +81,12 @@ def score_correlations(
     )
     names = [*numeric, *marks]
     found: list[tuple] = []
+    spark = df.sparkSession
     if method == "pearson":
-        row = base.agg(*_pairs(scores, range(len(names)))).first()
-        for i, v in enumerate(names):
-            found += [(v, c, row[f"n_{i}_{j}"], row[f"r_{i}_{j}"]) for j, c in enumerate(scores)]
+        found += _correlate(base, scores, range(len(names)), names)
     else:
         counts = base.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in base.columns]).first()
+        middle = (counts["rows"] + 1) / 2
         whole = all(counts[c] == counts["rows"] for c in scores)
         full = [i for i in range(len(names)) if whole and counts[f"_v{i}"] == counts["rows"]]
         # Ranks are made after the pairs with gaps are gone: variables without gaps share one ranking
@@ -96,33 +96,30 @@ def score_correlations(
                 continue
             ranked = base.select(*scores, *[f"_v{i}" for i in many])
             if whole or len(scores) == 1:
-                row = _ranked(ranked.dropna()).agg(*_pairs(scores, many)).first()
-                found += [(names[i], c, row[f"n_{i}_{j}"], row[f"r_{i}_{j}"]) for i in many for j, c in enumerate(scores)]
+                found += _correlate(_ranked(ranked.dropna(), counts["rows"]), scores, many, names, middle)
                 continue
-            for j, c in enumerate(scores):
-                row = _ranked(ranked.select(c, f"_v{many[0]}").dropna()).agg(*_pairs([c], many)).first()
-                found.append((names[many[0]], c, row[f"n_{many[0]}_0"], row[f"r_{many[0]}_0"]))
-    spark = df.sparkSession
+            for c in scores:
+                found += _correlate(_ranked(ranked.select(c, f"_v{many[0]}").dropna(), counts["rows"]), [c], many, names, middle)
     first = {v: r for v, c, _n, r in found if c == scores[0]}
     place = {v: k for k, v in enumerate(sorted(names, key=lambda v: (-first[v], v)))}
     rows = [(place[v], v, c, n, float(r), _p(spark, r, n)) for v, c, n, r in found]
     return spark.createDataFrame(rows, "place int, variable string, component string, n long, r double, p double")
 
 
-def _ranked(df: DataFrame) -> DataFrame:
+def _ranked(df: DataFrame, rows: int) -> DataFrame:
+    """Every column replaced by its ranks; each ranking is made from the table itself, then joined."""
+    out = df
     for c in df.columns:
-        df = average_rank(df, c, "_rank").drop(c).withColumnRenamed("_rank", c)
-    return df
+        out = out.join(rank_table(df, c, f"_r_{c}", at_most=rows), c)
+    return out.select(*[F.col(f"_r_{c}").alias(c) for c in df.columns])
 
 
-def _pairs(scores, many):
-    out = []
-    for i in many:
-        for j, c in enumerate(scores):
-            x, y = F.col(c), F.col(f"_v{i}")
-            out.append(pearson(x, y, 3).alias(f"r_{i}_{j}"))
-            out.append(F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{i}_{j}"))
-    return out
+def _correlate(df: DataFrame, scores: Sequence[str], many, names: Sequence[str], centre=None) -> list[tuple]:
+    """One row per variable and score (few of either), in that order."""
+    label = {f"_v{i}": names[i] for i in many}
+    rows = pair_correlations(df, list(label), list(scores), 3, centre).collect()
+    got = {(label[r["x"]], r["y"]): (r["n"], r["r"]) for r in rows}
+    return [(v, c, *got[(v, c)]) for v in label.values() for c in scores]
 
 
 def _p(spark, r: float, n: int) -> float:

@@ -17,7 +17,7 @@ from eigenframe.plans.ranges import dense_index
 from eigenframe.roles import Roles, suffix_role
 
 SAMPLE_ROWS = 10  # rows that decide a column's type when a file is read
-EXPRESSION_PAIRS = 300  # column pairs up to which correlations are plain aggregates
+EXPRESSION_PAIRS = 6  # column pairs up to which correlations are plain aggregates
 BINS = 10
 JUMP = 100.0  # magnitude step that marks a value as a likely slip
 PROFILE_SCHEMA = (
@@ -166,38 +166,68 @@ def sample_kurtosis(g2: Column, n: Column, sd: Column) -> Column:
     return F.when((n < 4) | (sd == 0), F.lit(0.0)).otherwise(lead - 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)))
 
 
+def _moment_rows(clean: DataFrame, cols: list[str]) -> DataFrame:
+    """n, extremes, mean, population deviation and the moment ratios g1 and g2 of every column.
+
+    Power sums about a rough centre need a quarter of the aggregate buffers that
+    separate moment functions do. If the centre turns out to be far off the mean
+    the sums are made again about the mean.
+    """
+    head = clean.limit(2000).agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = {c: head[c] or 0.0 for c in cols}
+    for attempt in range(2):
+        aggs = []
+        for i, c in enumerate(cols):
+            d = F.col(c) - F.lit(float(shift[c]))
+            power = [d, d * d, d * d * d, d * d * d * d]
+            aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+            aggs += [F.sum(p).alias(f"s{i}_{k}") for k, p in enumerate(power)]
+        row = clean.agg(F.count("*").alias("rows"), *aggs).first()
+        out, far = [], False
+        for i, c in enumerate(cols):
+            n = row[f"n{i}"]
+            if not n:
+                out.append((c, row["rows"], 0, None, None, None, None, None, None))
+                continue
+            a, b, t, f = (row[f"s{i}_{k}"] / n for k in range(4))
+            var = max(b - a * a, 0.0)
+            lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+            if lo == hi:
+                out.append((c, row["rows"], n, lo, 0.0, lo, hi, None, None))
+                continue
+            if attempt == 0 and a * a > 1e4 * var:
+                shift[c], far = shift[c] + a, True
+            m3 = t - 3 * a * b + 2 * a**3
+            m4 = f - 4 * a * t + 6 * a * a * b - 3 * a**4
+            g1, g2 = (m3 / var**1.5, m4 / var**2 - 3) if var > 0 else (None, None)
+            out.append((c, row["rows"], n, shift[c] + a, var**0.5, lo, hi, g1, g2))
+        if not far:
+            break
+    return clean.sparkSession.createDataFrame(
+        out, "column string, rows long, n long, mean double, sd double, min double, max double, g1 double, g2 double"
+    )
+
+
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Counts, moments, quartiles and shape of every numeric column, one row each."""
+    cols = list(cols)
     clean = df.select(*[finite(F.col(c)).alias(c) for c in cols])
-    stats = _long(
-        clean,
-        cols,
-        {
-            "rows": lambda _c: F.count("*"),
-            "n": F.count,
-            "mean": F.avg,
-            "sd": F.stddev_pop,
-            "min": F.min,
-            "max": F.max,
-            "g1": F.skewness,
-            "g2": F.kurtosis,
-        },
-    )
-    q = quantiles(clean, cols, [0.25, 0.5, 0.75])
-    quart = df.sparkSession.createDataFrame(
-        [(c, *q[c]) for c in cols], "column string, q1 double, median double, q3 double"
-    )
+    stats = _moment_rows(clean, cols)
     # Distinct values as one plain aggregate over (column, value), not one expansion per column.
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in cols])
-    unique = clean.select(F.inline(entries)).distinct().groupBy("column").agg(F.count("v").alias("unique"))
+    pairs = clean.select(F.inline(entries)).distinct().groupBy("column").agg(F.count("v").alias("u")).collect()
+    unique = {r["column"]: r["u"] for r in pairs}
+    q = quantiles(clean, cols, [0.25, 0.5, 0.75], distinct=max(unique.values(), default=0))
+    quart = df.sparkSession.createDataFrame(
+        [(c, unique.get(c, 0), *q[c]) for c in cols], "column string, unique long, q1 double, median double, q3 double"
+    )
     n, sd = F.col("n").cast("double"), F.col("sd")
     return (
         stats.join(F.broadcast(quart), "column")  # one row per column
-        .join(F.broadcast(unique), "column")
         .withColumn("missing", F.col("rows") - F.col("n"))
         .withColumn("iqr", F.col("q3") - F.col("q1"))
-        .withColumn("skewness", F.when(n > 0, sample_skew(F.col("g1"), n, sd)))
-        .withColumn("kurtosis", F.when(n > 0, sample_kurtosis(F.col("g2"), n, sd)))
+        .withColumn("skewness", F.when(n > 0, F.coalesce(sample_skew(F.col("g1"), n, sd), F.lit(0.0))))
+        .withColumn("kurtosis", F.when(n > 0, F.coalesce(sample_kurtosis(F.col("g2"), n, sd), F.lit(0.0))))
         .select(
             "column", "rows", "missing", "unique", "mean", "median", "sd", "min", "max", "q1", "q3", "iqr", "skewness",
             "kurtosis",
@@ -229,10 +259,19 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _ends(clean: DataFrame, cols: Sequence[str], prof: DataFrame | None) -> dict[str, dict]:
+    """Count and extremes per column, from a profile if there is one."""
+    if prof is not None:
+        rows = prof.select("column", (F.col("rows") - F.col("missing")).alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    else:
+        rows = _long(clean, cols, {"n": F.count, "lo": F.min, "hi": F.max})
+    return {r["column"]: r.asDict() for r in rows.collect()}
+
+
+def histogram(df: DataFrame, cols: Sequence[str], prof: DataFrame | None = None) -> DataFrame:
     """Ten equal bins per column, the largest value in the last; constant columns have none."""
     clean = df.select(*[finite(F.col(c)).alias(c) for c in cols])
-    ends = {r["column"]: r for r in _long(clean, cols, {"lo": F.min, "hi": F.max}).collect()}
+    ends = _ends(clean, cols, prof)
     entries = []
     for c in cols:
         lo, hi = ends[c]["lo"], ends[c]["hi"]
@@ -252,7 +291,7 @@ def histogram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def distribution(df: DataFrame, cols: Sequence[str], prof: DataFrame | None = None) -> DataFrame:
     """Shape of each column: normal, left-skewed, right-skewed, bimodal, unknown, or NULL if too short."""
     prof = numeric_profile(df, cols) if prof is None else prof
-    bins = histogram(df, cols).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"))
+    bins = histogram(df, cols, prof).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"))
     at = lambda i: F.coalesce(F.try_element_at("h", F.lit(i)), F.lit(0))
     peaks = sum(
         (F.when((at(i) > at(i - 1)) & (at(i) > at(i + 1)), 1).otherwise(0) for i in range(1, BINS - 1)), F.lit(0)
@@ -273,9 +312,9 @@ def distribution(df: DataFrame, cols: Sequence[str], prof: DataFrame | None = No
 # --- outliers, sparse rows, duplicates ------------------------------------------------------
 
 
-def _jumps(clean: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
+def _jumps(clean: DataFrame, cols: Sequence[str], prof: DataFrame | None) -> dict[str, list[float]]:
     """Per column, the extreme values that stand a hundredfold clear of their neighbour."""
-    ends = {r["column"]: r for r in _long(clean, cols, {"n": F.count, "lo": F.min, "hi": F.max}).collect()}
+    ends = _ends(clean, cols, prof)
     usable = [c for c in cols if ends[c]["n"] >= 4 and ends[c]["lo"] < ends[c]["hi"]]
     if not usable:
         return {}
@@ -292,10 +331,10 @@ def _jumps(clean: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
     return out
 
 
-def outliers(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
+def outliers(df: DataFrame, cols: Sequence[str], keep: Sequence[str], prof: DataFrame | None = None) -> DataFrame:
     """Rows ``(keep…, column, value)`` whose value is a hundredfold step beyond the next one in."""
     clean = df.select(*keep, *[finite(F.col(c)).alias(f"_v_{c}") for c in cols])
-    hits = _jumps(clean.select(*[F.col(f"_v_{c}").alias(c) for c in cols]), cols)
+    hits = _jumps(clean.select(*[F.col(f"_v_{c}").alias(c) for c in cols]), cols, prof)
     if not hits:
         return clean.select(*keep, F.lit("").alias("column"), F.lit(0.0).alias("value")).limit(0)
     entries = [
@@ -306,9 +345,9 @@ def outliers(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFra
     return clean.select(*keep, F.inline(any_hit))
 
 
-def outlier_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def outlier_counts(df: DataFrame, cols: Sequence[str], prof: DataFrame | None = None) -> DataFrame:
     """Outliers per column and whether they are few enough to report (<= 1 % of rows or <= 3 cells)."""
-    found = outliers(df, cols, []).groupBy("column").agg(F.count("*").alias("outliers"))
+    found = outliers(df, cols, [], prof).groupBy("column").agg(F.count("*").alias("outliers"))
     n = df.count()
     return found.withColumn("reportable", (F.col("outliers") * 100.0 <= n) | (F.col("outliers") <= 3))
 
@@ -360,7 +399,9 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     clean = df.select(*[finite(F.col(c)).alias(c) for c in cols])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if len(pairs) > EXPRESSION_PAIRS:
-        return _masked_correlations(clean, cols)
+        place = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+        both = pair_correlations(clean, cols, cols)
+        return both.filter(place[F.col("x")] < place[F.col("y")]).select("x", "y", "r")
     aggs = []
     for p, (i, j) in enumerate(pairs):
         r = pearson(F.col(cols[i]), F.col(cols[j]))
@@ -369,42 +410,50 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*wide.columns)))
 
 
-def _masked_correlations(clean: DataFrame, cols: list[str]) -> DataFrame:
-    """Many columns: pairwise sums as products of values and masks, one set per task."""
-    m = len(cols)
-    mean = np.array([v or 0.0 for v in clean.agg(*[F.avg(c) for c in cols]).first()])
+def pair_correlations(
+    clean: DataFrame, xs: Sequence[str], ys: Sequence[str], least: int = 2, centre: float | None = None
+) -> DataFrame:
+    """``(x, y, n, r)`` of every x with every y: pairwise sums as products of values and masks.
+
+    Six small matrices per task, added up by cell; gaps only cost the pairs they
+    are in. ``centre`` is any number near the values, to keep sums small.
+    """
+    p, q = len(xs), len(ys)
+    names = list(dict.fromkeys([*xs, *ys]))
+    if centre is None:
+        head = clean.limit(2000).agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(names)]).first()
+        shift = np.array([head[f"a{i}"] or 0.0 for i in range(len(names))])
+    else:
+        shift = np.full(len(names), centre)
+    at_x, at_y = [names.index(c) for c in xs], [names.index(c) for c in ys]
 
     def partial(batches):
-        total = np.zeros((4, m, m))
+        total = np.zeros((6, p, q))
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(m)]) - mean
-            seen = np.isfinite(x)
-            x, w = np.where(seen, x, 0.0), seen.astype(float)
-            total += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
-        for i in range(m):
-            yield pa.record_batch({"i": pa.array([i], pa.int32()), "r": pa.array([total[:, i, :].ravel()], pa.list_(pa.float64()))})
-
-    sums = clean.mapInArrow(partial, "i int, r array<double>")
-    cells = sums.select("i", F.posexplode("r").alias("at", "v")).groupBy("i", "at").agg(F.sum("v").alias("v"))
-    what, j = F.floor(F.col("at") / m), F.col("at") % m
-    pick = lambda k: F.sum(F.when(what == k, F.col("v")))
-    flip = cells.select(j.alias("i"), F.col("i").alias("j"), what.alias("k"), "v")
-    one = cells.withColumn("j", j).groupBy("i", "j").agg(
-        pick(0).alias("n"), pick(1).alias("sx"), pick(2).alias("sxx"), pick(3).alias("sxy")
-    )
-    other = flip.groupBy("i", "j").agg(
-        F.sum(F.when(F.col("k") == 1, F.col("v"))).alias("sy"), F.sum(F.when(F.col("k") == 2, F.col("v"))).alias("syy")
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - shift
+            w = np.isfinite(z).astype(float)
+            z = np.where(w > 0, z, 0.0)
+            x, wx, y, wy = z[:, at_x], w[:, at_x], z[:, at_y], w[:, at_y]
+            total += np.stack([wx.T @ wy, x.T @ wy, wx.T @ y, (x * x).T @ wy, wx.T @ (y * y), x.T @ y])
+        i, j = (v.ravel() for v in np.indices((p, q)))
+        cols = {k: pa.array(total[n].ravel()) for n, k in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}
+        yield pa.record_batch({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), **cols})
+
+    parts = clean.select(*names).mapInArrow(
+        partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
     )
-    n = F.col("n")
-    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
-    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
-    names = F.array(*[F.lit(c) for c in cols])
-    return (
-        one.join(other, ["i", "j"])
-        .filter("i < j")
-        .select(
-            F.element_at(names, F.col("i") + 1).alias("x"),
-            F.element_at(names, (F.col("j") + 1).cast("int")).alias("y"),
-            F.when((n < 2) | (vx <= 1e-300) | (vy <= 1e-300), 0.0).otherwise(r).alias("r"),
-        )
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.greatest("n", F.lit(1.0))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    # What is left of a sum of squares after rounding is not spread.
+    flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy"))
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(F.abs(vx) * F.abs(vy)))
+    label = lambda many, c: F.element_at(F.array(*[F.lit(v) for v in many]), F.col(c) + 1)
+    return sums.select(
+        label(xs, "i").alias("x"),
+        label(ys, "j").alias("y"),
+        F.col("n").cast("long").alias("n"),
+        F.when((F.col("n") < least) | flat, 0.0)
+        .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))))
+        .alias("r"),
     )

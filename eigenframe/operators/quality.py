@@ -67,7 +67,7 @@ def profile(df: DataFrame, roles: Roles) -> Profile:
         lazy = numeric_profile(df, numeric)
         prof = spark.createDataFrame(lazy.collect(), lazy.schema)  # one row per column, used three times
         shapes = distribution(df, numeric, prof)
-        found = outlier_counts(df, numeric).filter("reportable").drop("reportable")
+        found = outlier_counts(df, numeric, prof).filter("reportable").drop("reportable")
         frames.append(
             prof.join(shapes, "column").join(found, "column", "left")
             .withColumn("type", F.lit("numeric")).withColumn("mode", F.lit(None).cast("string"))

@@ -22,7 +22,7 @@ from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, r
 from eigenframe.operators.scoring import predict
 from eigenframe.plans.dense import score_paths
 from eigenframe.plans.gram import Moments, feature_array, gram, moments_from, preview_shift, width_of
-from eigenframe.plans.ranges import GROUP_ROWS, dense_index
+from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
 ROBUST_FOLDS = 50
@@ -73,6 +73,13 @@ def _cut(position: Column, parts: Column | int, total: Column | int) -> Column:
     return F.floor(((position + 1) * p - 1) / n).cast("int")
 
 
+def _even_runs(df: DataFrame, order_by, parts: int, n: int, name: str, group_rows: int) -> DataFrame:
+    """Even runs of ordered rows: only the keys are sorted, to find where the runs start."""
+    starts = [i * n // parts for i in range(1, parts)]
+    run = cuts_before(df, order_by, starts, n, group_rows)
+    return df.withColumn(name, run.cast("int")).withColumn("repeat", F.lit(0))
+
+
 def assign_folds(df: DataFrame, cv: CV, name: str = "fold", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add the fold in which a row is held out (per repeat, a column ``repeat``).
 
@@ -88,27 +95,33 @@ def assign_folds(df: DataFrame, cv: CV, name: str = "fold", group_rows: int = GR
         n, blocks = df.count(), cv.folds + 1
         if n < blocks:
             raise ValueError(f"{n} rows cannot make {cv.folds} splits")
-        placed = dense_index(df, cv.order_by, name="_pos", group_rows=group_rows)
-        return placed.withColumn(name, _cut(F.col("_pos"), blocks, n)).withColumn("repeat", F.lit(0)).drop("_pos")
+        return _even_runs(df, cv.order_by, blocks, n, name, group_rows)
     if cv.scheme != "kfold":
         raise ValueError(f"unknown scheme {cv.scheme!r}")
     loo = cv.folds == 0
     if cv.repeats > 1 and (loo or not cv.shuffle):
         raise ValueError("repeats need shuffled folds, and leave-one-out has only one design")
-    units = group_codes(df, cv.group_by, cv.order_by, group_rows) if cv.group_by else df.select(*cv.order_by)
+    units = group_codes(df, cv.group_by, cv.order_by, group_rows) if cv.group_by else df
     n = units.count()
     k = n if loo else cv.folds
     if n < 2 or k < 2 or k > n:
         raise ValueError(f"{k} folds from {n} {'groups' if cv.group_by else 'rows'}")
-    units = units.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(cv.repeats - 1))))
+    if not cv.group_by and not cv.shuffle and k <= MAX_RANGES:
+        return _even_runs(df, cv.order_by, k, n, name, group_rows)
+    if cv.repeats > 1:
+        units = units.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(cv.repeats - 1))))
+    else:
+        units = units.withColumn("repeat", F.lit(0))
     key = [cv.group_by] if cv.group_by else list(cv.order_by)
-    order = ["_mix", *(["code"] if cv.group_by else key)]
-    mix = F.xxhash64(*key, F.lit(cv.seed) + F.col("repeat")) if cv.shuffle else F.lit(0)
-    placed = dense_index(units.withColumn("_mix", mix), order, ["repeat"], "_pos", group_rows)
-    folds = placed.select(*key, "repeat", _cut(F.col("_pos"), k, n).alias(name))
-    side = folds.select(*[F.col(c).alias(f"_f_{c}") for c in key], "repeat", name)
-    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in key]
-    return df.join(side, same, "inner").drop(*[f"_f_{c}" for c in key])
+    order = ["code"] if cv.group_by else key
+    if cv.shuffle:
+        units, order = units.withColumn("_mix", F.xxhash64(*key, F.lit(cv.seed) + F.col("repeat"))), ["_mix", *order]
+    by = ["repeat"] if cv.repeats > 1 else []
+    placed = dense_index(units, order, by, "_pos", group_rows, n).withColumn(name, _cut(F.col("_pos"), k, n))
+    if not cv.group_by:
+        return placed.drop("_pos", "_mix")
+    side = placed.select(F.col(cv.group_by).alias("_f"), "repeat", name)
+    return df.join(side, F.col(cv.group_by).eqNullSafe(F.col("_f")), "inner").drop("_f")
 
 
 # --- selection ----------------------------------------------------------------------------
@@ -250,7 +263,9 @@ def fit_pcr(
     curve = oof = None
     notes: dict = {}
     if cv is not None:
-        preds = _cross_validate(base, source, m, cv, limit, scaling, shift)
+        held = assign_folds(base.filter("_y is not null"), cv)
+        cells = _fold_cells(base, held, source, m, cv, shift, n > labelled)
+        preds = _cross_validate(base, held, cells, source, m, cv, limit, scaling, shift)
         per_fold = _fold_errors(preds).collect()  # folds × component counts
         curve = _curve_from_folds(spark.createDataFrame(per_fold, _FOLD_SCHEMA))
         points = _points(curve.orderBy("k").collect(), metric)
@@ -259,7 +274,8 @@ def fit_pcr(
         oof = preds.filter("repeat = 0").withColumn("predicted", F.element_at("predictions", k + 1)).select(
             *cv.order_by, "fold", "predicted", F.col("_y").alias("measured")
         )
-    model = _final(spark, base, source, names, y, m, n, k, scaling, stage, shift)
+    whole = cells.filter("repeat = 0") if cv is not None else _whole_cells(base, source, shift)
+    model = _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift)
     return PCRResult(model, curve, k, notes, oof, limit, labelled, n - labelled)
 
 
@@ -303,11 +319,33 @@ def _shift(base, source, m):
     return preview_shift(joined, feature_array(joined, _with_y(source)), m + 1)
 
 
-def _final(spark, base, source, names, y, m, n, k, scaling, stage, shift) -> PCAModel:
-    joined = _joined(base, source).withColumn("_lab", F.col("_y").isNotNull())
-    cells = gram(joined, _with_y(source), shift, ["_lab"]).toPandas()
-    lab = moments_from(cells[cells["_lab"]][["i", "j", "v"]].itertuples(index=False, name=None), shift)
-    both = cells[(cells["i"] <= m) & (cells["j"] <= m)].groupby(["i", "j"], as_index=False)["v"].sum()
+_SPARE = -1  # the fold of rows without a response
+_CELLS = "repeat int, fold int, i int, j int, v double"
+
+
+def _whole_cells(base, source, shift) -> DataFrame:
+    joined = _joined(base, source).withColumn("fold", F.when(F.col("_y").isNull(), _SPARE).otherwise(0))
+    return gram(joined, _with_y(source), shift, ["fold"])
+
+
+def _fold_cells(base, held, source, m, cv, shift, spare: bool) -> DataFrame:
+    """``(repeat, fold, i, j, v)``; read once and kept, unless there is a fold per row or so."""
+    xy = _with_y(source)
+    cells = gram(_joined(held, source), xy, shift, ["repeat", "fold"])
+    if spare:
+        rest = gram(_joined(base.filter("_y is null"), source), xy, shift)
+        rest = rest.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(cv.repeats - 1)))).withColumn("fold", F.lit(_SPARE))
+        cells = cells.unionByName(rest)
+    cells = cells.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _CELLS.split(", ")])
+    if cv.folds and cv.repeats * (cv.folds + 2) * (m + 2) ** 2 <= BROADCAST_CELLS:
+        return cells.sparkSession.createDataFrame(cells.toPandas(), _CELLS)
+    return cells
+
+
+def _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift) -> PCAModel:
+    lab_or_not = whole.groupBy((F.col("fold") == _SPARE).alias("spare"), "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    lab = moments_from(lab_or_not[~lab_or_not["spare"]][["i", "j", "v"]].itertuples(index=False, name=None), shift)
+    both = lab_or_not[(lab_or_not["i"] <= m) & (lab_or_not["j"] <= m)].groupby(["i", "j"], as_index=False)["v"].sum()
     pool = moments_from(both[["i", "j", "v"]].itertuples(index=False, name=None), shift[:m])
     if scaling == "robust":
         center, divisor = robust_stats(base, source, m)
@@ -356,13 +394,10 @@ def _fold_errors(preds: DataFrame) -> DataFrame:
     )
 
 
-def _cross_validate(base, source, m, cv, limit, scaling, shift):
+def _cross_validate(base, labelled, cells, source, m, cv, limit, scaling, shift):
     """Held-out rows with one prediction per component count."""
-    labelled = assign_folds(base.filter("_y is not null"), cv)
-    rest = base.filter("_y is null")
-    xy = _with_y(source)
-    per_fold = gram(_joined(labelled, source), xy, shift, ["repeat", "fold"])
-    spare = gram(_joined(rest, source), xy, shift).withColumnRenamed("v", "u")
+    per_fold = cells.filter(F.col("fold") != _SPARE)
+    spare = cells.filter(F.col("fold") == _SPARE).filter("repeat = 0").select("i", "j", F.col("v").alias("u"))
     if cv.scheme == "forward":
         # A block trains every later split: give its moments to each of them and add up.
         train = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eigenframe.functions.parsing import is_blank, to_number, trimmed
-from eigenframe.plans.ranges import dense_index
+from eigenframe.plans.ranges import cuts_before, dense_index
 from eigenframe.roles import Roles
 
 WIDE_LIMIT = 1000  # columns a transposed table may get
@@ -92,18 +92,22 @@ def parse_spans(spec: str) -> list[tuple[int, int]]:
 
 
 def exclude_rows(df: DataFrame, spec: str, order_by: Sequence[str], **kw) -> DataFrame:
-    """Drop rows by position in ``order_by`` order; a position past the end is an error."""
+    """Drop rows by position in ``order_by`` order (which must identify rows); past the end is an error."""
     spans = parse_spans(spec)
     if not spans:
         return df
     n = df.count()
     if max(hi for _, hi in spans) > n:
         raise ValueError(f"position {max(hi for _, hi in spans)} is past the last of {n} rows")
-    inside = [F.col("_pos").between(lo - 1, hi - 1) for lo, hi in spans]
-    hit = inside[0]
-    for more in inside[1:]:
-        hit = hit | more
-    return dense_index(df, order_by, name="_pos", **kw).filter(~hit).drop("_pos")
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo - 1 <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo - 1, hi])
+    # Edges alternate between entering and leaving a span: an odd count is inside one.
+    past = cuts_before(df, order_by, [e for span in merged for e in span], n, **kw)
+    return df.filter(past % 2 == 0)
 
 
 def delete_rows(df: DataFrame, ids: DataFrame | Sequence, id_col: str) -> DataFrame:

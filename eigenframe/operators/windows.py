@@ -150,15 +150,26 @@ def average_rank(
     the table is one row while ranks are made.
     """
     by = list(partition_by)
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
-    ranked = running_total(counted, F.col("_n"), [col], by, "_before", group_rows).select(
-        *[F.col(c).alias(f"_k_{c}") for c in (*by, col)],
-        (F.col("_before") + (F.col("_n") + 1) / 2).cast("double").alias(name),
-    )
+    ranked = rank_table(df, col, name, by, group_rows).withColumnsRenamed({c: f"_k_{c}" for c in (*by, col)})
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col(col) == F.col(f"_k_{col}")]
     return df.join(ranked, same, "left").drop(*[f"_k_{c}" for c in (*by, col)])
 
 
+def rank_table(
+    df: DataFrame,
+    col: str,
+    name: str,
+    partition_by: Sequence[str] = (),
+    group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
+) -> DataFrame:
+    """``(series…, value, rank)`` with one row per distinct value."""
+    by = list(partition_by)
+    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
+    ranked = running_total(counted, F.col("_n"), [col], by, "_before", group_rows, at_most)
+    return ranked.select(*by, col, (F.col("_before") + (F.col("_n") + 1) / 2).cast("double").alias(name))
+
+
 def diagonal_average(
     windows: DataFrame, cols: Sequence[str], lags: int, position: str, partition_by: Sequence[str] = ()
 ) -> DataFrame:

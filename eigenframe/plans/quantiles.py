@@ -35,6 +35,7 @@ def quantiles(
     probs: Sequence[float],
     how: str = "linear",
     limit: int = DISTINCT_LIMIT,
+    distinct: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns, NULLs skipped.
 
@@ -45,7 +46,8 @@ def quantiles(
     """
     typed = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     names = [f"c{i}" for i in range(len(cols))]
-    if few_distinct(typed, names, limit):
+    # ``distinct`` is the most distinct values of a column, if the caller has counted them.
+    if few_distinct(typed, names, limit) if distinct is None else distinct <= limit:
         if how == "linear":
             aggs = [F.percentile(n, F.array(*[F.lit(float(q)) for q in probs])).alias(n) for n in names]
             row = typed.agg(*aggs).first()

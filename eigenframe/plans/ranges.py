@@ -78,13 +78,15 @@ def running_total(
     partition_by: Sequence[str] = (),
     name: str = "_before",
     group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` over all earlier rows of the group (0 for the first).
 
-    ``order_by`` must order a group without ties.
+    ``order_by`` must order a group without ties. ``at_most`` is a bound on the
+    rows of a group, if the caller knows one; else they are counted.
     """
     by = list(partition_by)
-    if largest_group(df, by) <= group_rows:
+    if (largest_group(df, by) if at_most is None else at_most) <= group_rows:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0)))
     # A pure count needs no row for its weight, so ties in order_by are harmless.
@@ -122,9 +124,31 @@ def dense_index(
     partition_by: Sequence[str] = (),
     name: str = "_pos",
     group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """0, 1, 2 … in order within each group."""
-    return running_total(df, F.lit(1).cast("long"), order_by, partition_by, name, group_rows)
+    return running_total(df, F.lit(1).cast("long"), order_by, partition_by, name, group_rows, at_most)
+
+
+def cuts_before(
+    df: DataFrame, order_by: Sequence[str], positions: Sequence[int], rows: int, group_rows: int = GROUP_ROWS
+) -> Column:
+    """How many of the (rising, 0-based) positions a row is at or past.
+
+    Only the sort keys are sorted, once, to look up the keys at the positions;
+    the result is an expression, so the rows themselves never move. ``order_by``
+    must identify rows.
+    """
+    inside = [p for p in positions if p < rows]
+    if not inside:
+        return F.lit(0)
+    if len(inside) > MAX_RANGES:
+        raise ValueError(f"at most {MAX_RANGES} cuts")
+    placed = dense_index(df.select(*order_by), order_by, group_rows=group_rows, at_most=rows)
+    keys = placed.filter(F.col("_pos").isin(*inside)).select("_pos", F.to_json(F.struct(*order_by), _TS).alias("k"))
+    found = [r["k"] for r in sorted(keys.collect(), key=lambda r: r["_pos"])]
+    schema = T.ArrayType(T.StructType([T.StructField(c, df.schema[c].dataType) for c in order_by]))
+    return count_upto(F.from_json(F.lit("[" + ",".join(found) + "]"), schema, _TS), len(found), F.struct(*order_by))
 
 
 @dataclass(frozen=True)
