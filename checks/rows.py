@@ -215,7 +215,7 @@ def _(spark, sf):
 
 @check(
     "align_dates",
-    """SELECT strftime(d, '%Y-%m-%d') AS d, n, round(factor, 4) AS factor FROM
+    """SELECT strftime(d, '%Y-%m-%d') AS d, n, round(factor, 7) AS factor FROM
          (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)
          LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice) AS factor FROM lineitem
                     WHERE l_quantity < 3 GROUP BY 1) USING (d)""",
@@ -227,7 +227,7 @@ def _(spark, sf):
         .agg(F.avg("l_extendedprice").alias("factor"))
     )
     return joins.align_left(dates, factor, "d").select(
-        F.date_format("d", "yyyy-MM-dd").alias("d"), "n", F.round("factor", 4).alias("factor")
+        F.date_format("d", "yyyy-MM-dd").alias("d"), "n", F.round("factor", 7).alias("factor")
     )
 
 

@@ -61,12 +61,12 @@ def _(spark, sf):
 
 @check(
     "returns",
-    f"""SELECT event_id, round((value - p) / nullif(p, 0), 6) + 0.0 AS value_simple, round(ln(value) - ln(p), 8) + 0.0 AS value_log,
+    f"""SELECT event_id, round((value - p) / nullif(p, 0), 9) + 0.0 AS value_simple, round(ln(value) - ln(p), 8) + 0.0 AS value_log,
         round(value - p, 6) + 0.0 AS value_difference FROM (SELECT event_id, value, lag(value) OVER w AS p FROM events {_W})""",
 )
 def _(spark, sf):
     out = win.returns(table(spark, sf, "events"), "value", _ORDER, ["user_id"])
-    digits = {"value_simple": 6, "value_log": 8, "value_difference": 6}
+    digits = {"value_simple": 9, "value_log": 8, "value_difference": 6}
     return out.select("event_id", *[(F.round(c, d) + 0.0).alias(c) for c, d in digits.items()])
 
 

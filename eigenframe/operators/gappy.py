@@ -72,8 +72,10 @@ def fit_pca_missing(df: DataFrame, features: Features, k: int, scaling: str = "s
     m = width_of(df, features)
     names = (features,) if isinstance(features, str) else tuple(features)
     flat = element_columns(df, features, m)
-    stats = flat.agg(
+    placed = flat.withColumn("_part", F.spark_partition_id())
+    stats = placed.agg(
         F.count("*").alias("n"),
+        F.approx_count_distinct("_part").alias("parts"),
         *[F.avg(c).alias(f"a_{c}") for c in flat.columns],
         *[F.stddev_samp(c).alias(f"s_{c}") for c in flat.columns],
     ).first()
@@ -86,7 +88,11 @@ def fit_pca_missing(df: DataFrame, features: Features, k: int, scaling: str = "s
         center, divisor = robust_stats(df, features, m)
     else:
         center, divisor = stage_numbers(mean, sd, scaling)
-    rows = df.select(feature_array(df, features).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(feature_array(df, features).alias("x"))
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if stats["parts"] < slots // 2:
+        rows = rows.repartition(slots)  # one exchange for dozens of passes that would leave slots idle
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         done, lam, rest = _components(rows, m, k, center, divisor, n)
         p = np.array([c.tried[-1] for c in done]).T if done else np.zeros((m, 0))

@@ -87,14 +87,30 @@ def fit_pca(
     scaling: str = "standard",
     row_stage: RowStage | None = None,
     solver: str = "auto",
+    missing: str = "error",
 ) -> PCAModel:
-    """Fit components to complete rows (``fit_pca_missing`` handles gaps).
+    """Fit components; ``missing`` says what to do about gaps first.
+
+    ``error`` fails on a gap, ``drop``, ``mean``, ``median`` and ``zero`` remove or
+    fill them, ``native`` fits around them (see :mod:`eigenframe.operators.gappy`).
 
     ``method="svd"`` gives the full spectrum. ``method="nipals"`` extracts one
     component at a time and spreads what is left evenly over the rest.
     """
     stage = row_stage or RowStage()
     names = (features,) if isinstance(features, str) else tuple(features)
+    if missing == "native":
+        from eigenframe.operators.gappy import fit_pca_missing
+
+        if stage.active:
+            raise ValueError("row stages need complete rows")
+        return fit_pca_missing(df, features, k, scaling)
+    if missing != "error":
+        from eigenframe.operators.missing import impute
+
+        if isinstance(features, str):
+            raise ValueError("gaps inside an array column: only 'error' or 'native'")
+        df = impute(df, list(features), missing)
     rows = apply_row_stage(df, features, stage).select("_row") if stage.active else df
     source = "_row" if stage.active else features
     m = width_of(df, features)

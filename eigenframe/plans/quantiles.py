@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eigenframe.plans.ranges import GROUP_ROWS, running_total
 
-DISTINCT_LIMIT = 1_000_000  # distinct values one aggregation buffer may hold
+DISTINCT_LIMIT = 200_000  # distinct values one aggregation buffer may hold
 _ACCURACY = 10_000
 _PASSES = 8
 

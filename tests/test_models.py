@@ -424,3 +424,31 @@ def test_small_helpers(frame):
     assert kaiser(pca.fit_pca(frame, NAMES, 2))["components"] >= 1
     assert header_spacing(["1100", "1102", "1104"]) == {"numeric": True, "uniform": True, "distinct_steps": 1}
     assert header_spacing(["1", "2", "4"])["uniform"] is False and header_spacing(["a", "b"])["numeric"] is False
+
+
+def test_workflows(spark, frame, tmp_path):
+    from eigenframe.roles import Roles
+    from eigenframe.sources.models import write_regression, write_scores
+    from eigenframe.workflows import analyze, apply_model, regress
+
+    roles = Roles(tuple(NAMES), (), ("y",), "id")
+    gaps = frame.withColumn("b", F.when(F.col("id") % 9 != 0, F.col("b")))
+    for missing in ("drop", "mean", "median", "zero", "native"):
+        model, scored = analyze(gaps, roles, 2, missing=missing)
+        assert scored.count() == (240 if missing != "drop" else 213) == model.n
+    _m, scored = analyze(frame, roles, 2, rows_out="1-40", columns_out=["e"], order_by=["id"])
+    assert scored.count() == 200 and scored.agg(F.min("id")).first()[0] == 40 and _m.width == 4
+    result, predicted = regress(frame, roles, "y", cv=CV6)
+    flagged = apply_model(frame, result.model, ["id"])
+    a = predicted.orderBy("id").toPandas()["predicted"]
+    assert np.allclose(a, flagged.orderBy("id").toPandas()["predicted"])
+    write_scores(flagged, str(tmp_path / "s"))
+    write_regression(result, predicted, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 240
+    for part, n in (("predictions", 240), ("coefficients", 6), ("curve", result.curve.count())):
+        assert spark.read.option("header", "true").csv(str(tmp_path / "r" / part)).count() == n
+    with pytest.raises(ValueError):
+        regress(frame, roles, "y", k=1, missing="mean")
+
+
+CV6 = regression.CV(6, order_by=("id",))
