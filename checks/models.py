@@ -88,13 +88,13 @@ def _(spark, sf):
     "reconstruct_given",
     f"""WITH {_given_sql()} SELECT {_K}, """
     + ", ".join(
-        f"round((pc1 * {P[i, 0]} + pc2 * {P[i, 1]}) * {DIVISOR[i]} + {CENTER[i]}, {4 if i == 1 else 8}) + 0.0 AS {f}" for i, f in enumerate(FEATURES)
+        f"round((pc1 * {P[i, 0]} + pc2 * {P[i, 1]}) * {DIVISOR[i]} + {CENTER[i]}, {(9, 4, 12, 12)[i]}) + 0.0 AS {f}" for i, f in enumerate(FEATURES)
     )
     + " FROM t",
 )
 def _(spark, sf):
     out = scoring.reconstruct(table(spark, sf, "lineitem"), given(), KEY)
-    return _r(_r(out, 4, "l_extendedprice"), 8, "l_quantity", "l_discount", "l_tax")
+    return _r(_r(_r(out, 4, "l_extendedprice"), 9, "l_quantity"), 12, "l_discount", "l_tax")
 
 
 @check(
