@@ -252,14 +252,16 @@ def fit_pcr(
     names = (features,) if isinstance(features, str) else tuple(features)
     m = width_of(df, features)
     base, source = _prepare(df, features, y, stage, cv)
-    size = base.agg(F.count("_y").alias("lab"), F.count("*").alias("n")).first()
+    # Column means ride along with the counts: the best centre for the moments to come.
+    means = [] if isinstance(source, str) else [F.avg(c).alias(c) for c in source]
+    size = base.agg(F.count("_y").alias("lab"), F.count("*").alias("n"), F.avg("_y").alias("y"), *means).first()
     labelled, n = int(size["lab"]), int(size["n"])
     if labelled < 3:
         raise ValueError(f"need at least 3 rows with a response, found {labelled}")
     limit = _limit(base, labelled, m, cv, max_components or k)
     if k is not None and k > limit:
         raise ValueError(f"{k} components: at most {limit} for {labelled} labelled rows and {m} variables")
-    shift = _shift(base, source, m)
+    shift = _shift(base, source, m) if isinstance(source, str) else [float(size[c] or 0.0) for c in (*source, "y")]
     curve = oof = None
     notes: dict = {}
     if cv is not None:

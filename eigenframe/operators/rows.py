@@ -17,7 +17,7 @@ ID_LIST = 10_000  # ids passed as a Python list
 
 
 def filter_condition(df: DataFrame, col: str, op: str, value: str | float | None = None) -> Column:
-    """True where the cell satisfies the comparison, false everywhere else.
+    """True where the cell satisfies the comparison, false (or NULL for a missing number) elsewhere.
 
     A numeric column against a number keeps the plain comparison, so it reaches
     the scan. Text is compared as a number if both sides are numbers, else
@@ -39,7 +39,7 @@ def filter_condition(df: DataFrame, col: str, op: str, value: str | float | None
             "<": c < number,
             "<=": c <= number,
         }
-        return F.coalesce(_pick(plain, op), F.lit(False))
+        return _pick(plain, op)
     cell = to_number(c)
     if number is None:
         same, order = F.lower(text) == wanted.lower(), F.lit(False)
@@ -67,7 +67,7 @@ def _as_number(text: str) -> float | None:
 
 def filter_rows(df: DataFrame, col: str, op: str, value=None, mode: str = "keep") -> DataFrame:
     cond = filter_condition(df, col, op, value)
-    return df.filter(cond if mode == "keep" else ~cond)
+    return df.filter(cond if mode == "keep" else ~F.coalesce(cond, F.lit(False)))
 
 
 def filter_preview(df: DataFrame, col: str, op: str, value=None, mode: str = "keep") -> DataFrame:

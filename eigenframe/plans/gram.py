@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SQL_WIDTH = 14  # up to this many columns: plain sums; beyond it: NumPy per batch
 MAX_WIDTH = 4096  # an m×m matrix is formed on the driver
 _PREVIEW = 2000
+_FAR = 1e6  # squared distance of the rough centre, in variances, from which sums are made again
 _BLOCK = 4096  # rows multiplied at once inside a task
 
 
@@ -164,13 +165,24 @@ def moments_from(cells, shift: Sequence[float]) -> Moments:
 
 
 def moments(df: DataFrame, features: str | Sequence[str], shift: Sequence[float] | None = None) -> Moments:
-    """One scan; what reaches the driver is the m×m matrix."""
+    """One scan; what reaches the driver is the m×m matrix.
+
+    Should the rough centre lie so far from the mean that digits were lost, the
+    table is read once more about the mean.
+    """
     m = width_of(df, features)
     if m > MAX_WIDTH:
         raise ValueError(f"{m} variables exceed the {MAX_WIDTH} for which a square matrix is kept")
     shift = preview_shift(df, feature_array(df, features), m) if shift is None else shift
-    rows = gram(df, features, shift).toPandas()
-    return moments_from(rows[["i", "j", "v"]].itertuples(index=False, name=None), shift)
+    for _ in range(2):
+        rows = gram(df, features, shift).toPandas()
+        out = moments_from(rows[["i", "j", "v"]].itertuples(index=False, name=None), shift)
+        off = out.mean - np.asarray(shift, float)
+        spread = np.diag(out.scatter) / max(out.n, 1)
+        if not np.any(off**2 > _FAR * np.abs(spread) + (1e-9 * out.mean) ** 2):
+            break
+        shift = out.mean.tolist()
+    return out
 
 
 def tall_skinny_r(df: DataFrame, features: str | Sequence[str], center: Sequence[float], divisor: Sequence[float]):

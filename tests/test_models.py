@@ -452,3 +452,25 @@ def test_workflows(spark, frame, tmp_path):
 
 
 CV6 = regression.CV(6, order_by=("id",))
+
+
+def test_a_far_centre_is_made_again(spark):
+    from eigenframe.plans.gram import moments
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 2)) * [1.0, 1e-3] + [1e6, 5.0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["p", "q"]))
+    got = moments(df, ["p", "q"], shift=[0.0, 0.0])
+    assert np.allclose(got.cov, np.cov(x.T), rtol=1e-9)
+
+
+def test_gaps_and_skew_in_pairs(spark):
+    from eigenframe.operators.profile import numeric_profile
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([[1e9] * 3, rng.gamma(2.0, size=997)])  # the first rows are not typical
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "flat": 2.5})).coalesce(1)
+    row = {r["column"]: r for r in numeric_profile(df, ["x", "flat"]).collect()}
+    n, z = len(x), (x - x.mean()) / x.std()
+    assert np.isclose(row["x"]["skewness"], (z**3).mean() * n**2 / ((n - 1) * (n - 2)))
+    assert row["flat"]["sd"] == 0 and row["flat"]["skewness"] == 0 and row["flat"]["unique"] == 1
