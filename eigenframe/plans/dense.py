@@ -78,16 +78,23 @@ def score_paths(pool: Moments, labelled: Moments, center: np.ndarray, divisor: n
     sxx, sxy = labelled.scatter[:m, :m], labelled.scatter[:m, m]
     stt, sty = p.T @ sxx @ p, p.T @ sxy
     tbar, ybar = p.T @ (labelled.mean[:m] - center), labelled.mean[m]
-    betas, gammas = [], []
+    gammas = nested_fits(stt, sty, tbar, ybar, k_max)
+    betas = []
+    for k, g in enumerate(gammas):
+        beta = p[:, :k] @ g[1:]
+        betas.append(np.concatenate([[g[0] - beta @ center], beta]))
+    return np.array(betas), gammas, v[:, : len(betas) - 1], lam
+
+
+def nested_fits(stt: np.ndarray, sty: np.ndarray, tbar: np.ndarray, ybar: float, k_max: int) -> list[np.ndarray]:
+    """Least squares on the first 0…k_max scores from their moments, intercept first; stops at dependence."""
+    out = []
     for k in range(k_max + 1):
         if k and not _adds(stt, k):
             break
         gamma = np.linalg.solve(stt[:k, :k], sty[:k]) if k else np.zeros(0)
-        icpt = ybar - gamma @ tbar[:k]
-        beta = p[:, :k] @ gamma
-        betas.append(np.concatenate([[icpt - beta @ center], beta]))
-        gammas.append(np.concatenate([[icpt], gamma]))
-    return np.array(betas), gammas, v[:, : len(betas) - 1], lam
+        out.append(np.concatenate([[ybar - gamma @ tbar[:k]], gamma]))
+    return out
 
 
 def _adds(stt: np.ndarray, k: int) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.operators.gappy import score_missing
+from eigenframe.operators.gappy_regression import fit_pcr_missing, predict_missing
 from eigenframe.operators.missing import drop_incomplete, guard_regression, impute
 from eigenframe.operators.pca import PCAModel, fit_pca
 from eigenframe.operators.regression import CV, PCRResult, fit_pcr
@@ -82,8 +83,11 @@ def regress(
         df = drop_incomplete(df, features)
     elif missing == "zero":
         df = impute(df, features, "zero")
-    elif missing != "error":
-        raise ValueError(f"gaps in a regression: 'error', 'drop' or 'zero', not {missing!r}")
-    result = fit_pcr(df, features, response, k=k, cv=cv, **options)
+    elif missing not in ("error", "native"):
+        raise ValueError(f"unknown way with gaps: {missing!r}")
     carry = list(dict.fromkeys([*([roles.id_col] if roles.id_col else []), response]))
+    if missing == "native":
+        result = fit_pcr_missing(df, features, response, k=k, cv=cv, **options)
+        return result, predict_missing(df, result.model, carry)
+    result = fit_pcr(df, features, response, k=k, cv=cv, **options)
     return result, predict(df, result.model, carry)

@@ -474,3 +474,26 @@ def test_gaps_and_skew_in_pairs(spark):
     n, z = len(x), (x - x.mean()) / x.std()
     assert np.isclose(row["x"]["skewness"], (z**3).mean() * n**2 / ((n - 1) * (n - 2)))
     assert row["flat"]["sd"] == 0 and row["flat"]["skewness"] == 0 and row["flat"]["unique"] == 1
+
+
+def test_regression_with_gaps(spark, data):
+    from eigenframe.operators.gappy_regression import fit_pcr_missing, predict_missing
+
+    x, y = data[0].copy(), data[1]
+    rng = np.random.default_rng(6)
+    x[rng.random(x.shape) < 0.06] = np.nan
+    pdf = pd.DataFrame(x, columns=NAMES).assign(id=range(len(x)), y=y)
+    null = F.lit(None).cast("double")
+    df = spark.createDataFrame(pdf).select("id", *[F.nanvl(c, null).alias(c) for c in [*NAMES, "y"]])
+    lab = ~np.isnan(y)
+    _lam, _p, t, _rest = plain_nipals(x, 2)
+    a = np.column_stack([np.ones(lab.sum()), t[lab]])
+    want = np.column_stack([np.ones(len(t)), t]) @ np.linalg.lstsq(a, y[lab], rcond=None)[0]
+    fit = fit_pcr_missing(df, NAMES, "y", k=2)
+    got = predict_missing(df, fit.model, ["id"]).orderBy("id").toPandas()["predicted"]
+    assert np.allclose(got, want, atol=1e-5)
+    assert np.isclose(fit.model.regression.rmsec, np.sqrt(np.mean((want - y)[lab] ** 2)), rtol=1e-6)
+    cv = fit_pcr_missing(df, NAMES, "y", cv=regression.CV(3, order_by=("id",)), max_components=2)
+    assert cv.curve.count() == 3 and cv.out_of_fold.count() == lab.sum()
+    errors = cv.curve.orderBy("k").toPandas()["rmsecv"]
+    assert errors[2] < errors[0]
