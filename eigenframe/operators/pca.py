@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
 from eigenframe.plans.dense import fix_signs, nipals, q_limit, t2_limit, top_eigen
-from eigenframe.plans.gram import MAX_WIDTH, Moments, feature_array, moments, tall_skinny_r, width_of
+from eigenframe.plans.gram import MAX_WIDTH, feature_array, moments, tall_skinny_r, width_of
 
 ILL_CONDITIONED = 1e-10
 _DUAL_BLOCK = 256

@@ -21,7 +21,7 @@ from eigenframe.operators.pca import PCAModel, Regression, _complete, _model
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
 from eigenframe.operators.scoring import predict
 from eigenframe.plans.dense import score_paths
-from eigenframe.plans.gram import Moments, feature_array, gram, moments_from, preview_shift, width_of
+from eigenframe.plans.gram import feature_array, gram, moments_from, preview_shift, width_of
 from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
