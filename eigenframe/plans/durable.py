@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="eigenframe-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one (tests on one machine) gets a temporary folder.
+    Without one, a session whose executors are threads of the driver (tests)
+    gets a temporary folder; any other session gets an error, since a local
+    folder of one machine is unreadable for the rest.
     """
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or tempfile.mkdtemp(prefix="eigenframe-")
-    )
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if sc.master == "local" or sc.master.startswith("local["):
+        return _own_root()
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -31,3 +41,19 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh path below the shared folder and read it back: a table of its own, without lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
