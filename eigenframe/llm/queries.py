@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eigenframe.llm import packing
+from eigenframe.llm import packing, simhash
 from eigenframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,9 @@ def tokenizer() -> str:
 @query("op4_best_fit_packing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer())
+
+
+@query("op5_simhash")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf, "documents"), words=4, bits=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
