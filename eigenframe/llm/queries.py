@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import packing, simhash, spans
+from eigenframe.llm import divergence, packing, simhash, spans
 from eigenframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     cut = spans.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "text", "removed_sentences", "removed_words")
+
+
+@query("op7_distribution_divergence")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return divergence.judge(docs, divergence.learn(docs))
