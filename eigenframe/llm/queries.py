@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import divergence, packing, simhash, spans
-from eigenframe.llm.common import table
+from eigenframe.llm import divergence, langid, packing, quality, simhash, spans
+from eigenframe.llm.common import remainder, table
+from eigenframe.plans.durable import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return divergence.judge(docs, divergence.learn(docs))
+
+
+@query("op8_language_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs, remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op2_quality_classifier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    measured = stored(quality.with_statistics(table(spark, sf, "documents")), "statistics")
+    model = quality.fit(measured, table(spark, sf, "labels"), remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return quality.score_measured(measured, model).select("doc_id", held_out, "score", predicted)
