@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import divergence, langid, packing, quality, simhash, spans
+from eigenframe.llm import divergence, langid, mixing, packing, quality, simhash, spans
 from eigenframe.llm.common import remainder, table
 from eigenframe.plans.durable import stored
 
@@ -68,3 +68,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return quality.score_measured(measured, model).select("doc_id", held_out, "score", predicted)
+
+
+@query("op9_cube_mixing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    decided = mixing.decide(table(spark, sf, "documents"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return decided.select("doc_id", "size", "source_size", "target", taken)
