@@ -5,8 +5,9 @@ more with probability frac(T/S). Which documents are taken once more is decided
 the cube method: inclusion probabilities walk through the null-space of the balancing
 equations (how many documents, how many tokens) until they reach 0 or 1. The walk
 runs in groups of bounded size; each leaves at most two documents undecided, which
-are dealt to fewer groups and walk on, until one group per source is left. Its last
-two documents are the landing problem: the ends that miss the token total least.
+are dealt to fewer groups and walk on, until one group per source is left. The
+landing problem of that group is a dozen documents, settled by the ends that miss
+the totals least.
 """
 
 from __future__ import annotations
@@ -96,33 +97,41 @@ def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
-def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Settle the (at most two) open entries so that sum(p * x) moves least, then sum(p)."""
-    out, left = p.copy(), np.flatnonzero((p > 0) & (p < 1))
-    best = None
-    for ends in np.ndindex(*([2] * len(left))):
-        off = (abs(float((np.array(ends) - p[left]) @ x[left])), abs(float(sum(ends) - p[left].sum())), ends)
-        best = off if best is None or off < best else best
-    if best is not None:
-        out[left] = best[2]
-    return out
+def settle(p: np.ndarray, x: np.ndarray, held: int = 12) -> np.ndarray:
+    """All of ``p`` to 0 and 1: the walk, then the landing problem.
+
+    ``held`` entries of all sizes sit out the walk. With the two it leaves open they
+    give a few thousand ends, of which the one that misses the sums least is taken.
+    """
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    by_size = open_[np.argsort(x[open_], kind="stable")]
+    aside = by_size[np.unique(np.linspace(0, len(by_size) - 1, held).astype(int))] if len(by_size) else by_size
+    walk = p.copy()
+    walk[aside] = 0.0
+    out = flight(walk, x)
+    out[aside] = p[aside]
+    left = np.flatnonzero((out > EPS) & (out < 1 - EPS))
+    if len(left):
+        ends = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        off = ends - out[left]
+        miss = np.abs(off @ x[left]) + 0.02 * x.mean() * np.abs(off.sum(axis=1))
+        out[left] = ends[int(np.argmin(miss))]
+    return np.round(out)
 
 
 def cube(units: DataFrame, group_rows: int = 2048) -> DataFrame:
     """``units`` with column ``p`` walked to 0 or 1 for each row, balanced on ``x`` within each ``source``.
 
-    Column ``uid`` (long) orders equal ``x``; any other columns are carried along.
+    Column ``uid`` (long) orders a group; any other columns are carried along.
     """
     names, at = units.columns, units.columns.index("p")
 
     def walk(last: bool):
         def run(table: pa.Table) -> pa.Table:
             table = table.select(names)
-            # The largest first: what stays open to the end, and has to be landed, is small.
-            table = table.take(pa.array(np.lexsort((table.column("uid").to_numpy(), -table.column("x").to_numpy()))))
-            x = table.column("x").to_numpy()
-            p = flight(table.column("p").to_numpy(), x)
-            return table.set_column(at, "p", pa.array(land(p, x) if last else p))
+            table = table.take(pa.array(np.argsort(table.column("uid").to_numpy(), kind="stable")))
+            p, x = table.column("p").to_numpy(), table.column("x").to_numpy()
+            return table.set_column(at, "p", pa.array(settle(p, x) if last else flight(p, x)))
 
         return run
 

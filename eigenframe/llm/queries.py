@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import divergence, langid, mixing, packing, quality, simhash, spans
+from eigenframe.llm import divergence, langid, mixing, packing, quality, simhash, spans, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.plans.durable import stored
 
@@ -75,3 +75,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     decided = mixing.decide(table(spark, sf, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return decided.select("doc_id", "size", "source_size", "target", taken)
+
+
+@query(
+    "op3_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+       r AS (SELECT page_id, n, sha1(h) AS d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS first FROM p)
+       SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM r""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
