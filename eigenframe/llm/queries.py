@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import divergence, langid, mixing, packing, quality, simhash, spans, warc
+from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.plans.durable import stored
 
@@ -87,3 +87,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_collision_counting")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
