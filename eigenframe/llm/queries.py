@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, warc
+from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.plans.durable import stored
 
@@ -92,3 +92,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_collision_counting")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_huffman_token_files")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf, "documents"), tokenizer())
