@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.plans.durable import stored
@@ -97,3 +98,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_huffman_token_files")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), tokenizer())
+
+
+@query("pipeline")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

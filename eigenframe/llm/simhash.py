@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.llm.common import slices, text_bytes
@@ -51,15 +51,21 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def text_key() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; a NULL text is an empty one."""
+    """(doc_id, key, fp) for each row of ``docs``, ``key`` being ``text_key``; a NULL text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            fps = [fingerprint(t, words) for t in text_bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        for batch in slices(batches, 2):
+            fps = [fingerprint(t, words) for t in text_bytes(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string").alias("text")
+    return docs.select("doc_id", text_key().alias("key"), text).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def block_count(distinct: int, bits: int) -> int:
@@ -160,6 +166,20 @@ def close_links(fps: DataFrame, bits: int, blocks: int | None = None, cell_rows:
     return parts.mapInArrow(lambda it: _link_batches(it, bits), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, words: int, bits: int, blocks: int | None, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their fingerprints, and (fp, component, component_id) for each fingerprint."""
+    rows = stored(fingerprints(docs, words), "fingerprints")
+    heads = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    links = stored(close_links(heads.select("fp"), bits, blocks, cell_rows), "links")
+    tied = stored(components(links, "a", "b"), "components")
+    named = heads.join(tied, heads["fp"] == tied["node"])
+    least = stored(named.groupBy("component").agg(F.min("head").alias("least")), "least")
+    of_fp = heads.join(tied, heads["fp"] == tied["node"], "left").join(least, "component", "left")
+    component = F.coalesce("component", "fp").alias("component")
+    number = F.when(F.col("component").isNull(), F.col("head")).otherwise(F.col("least"))
+    return rows, stored(of_fp.select(F.col("fp").alias("_fp"), component, number.alias("component_id")), "groups")
+
+
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | None = None, cell_rows: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -169,13 +189,21 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | No
     doc_id is never the smallest, and a group of such rows has a NULL component.
     Columns beyond doc_id and text are ignored.
     """
-    rows = stored(fingerprints(docs, words), "fingerprints")
-    heads = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    links = stored(close_links(heads.select("fp"), bits, blocks, cell_rows), "links")
-    tied = stored(components(links, "a", "b"), "components")
-    named = heads.join(tied, heads["fp"] == tied["node"])
-    least = named.groupBy("component").agg(F.min("head").alias("least"))
-    least = stored(least, "least")
-    of_fp = heads.join(tied, heads["fp"] == tied["node"], "left").join(least, "component", "left")
-    ids = stored(of_fp.select(F.col("fp").alias("_fp"), F.coalesce("least", "head").alias("component_id")), "ids")
-    return rows.join(ids, rows["fp"] == ids["_fp"]).select("doc_id", "fp", "component_id")
+    rows, groups = _grouped(docs, words, bits, blocks, cell_rows)
+    return rows.join(groups, rows["fp"] == groups["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | None = None, cell_rows: int = 8192) -> DataFrame:
+    """``docs`` with one row for each group of near duplicates: that of the smallest doc_id (NULL last), then text hash.
+
+    Rows that repeat both are one document, of which any row stays. All columns stay as they are.
+    """
+    rows, groups = _grouped(docs, words, bits, blocks, cell_rows)
+    named = rows.join(groups, rows["fp"] == groups["_fp"])
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
+    best = stored(best.select(F.col("b.doc_id").alias("_best_id"), F.col("b.key").alias("_best_key")), "first")
+    keyed = docs.withColumn("_text_key", text_key())
+    if rows.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", "_text_key"])
+    same = F.col("doc_id").eqNullSafe(F.col("_best_id")) & (F.col("_text_key") == F.col("_best_key"))
+    return keyed.join(best, same, "left_semi").drop("_text_key")

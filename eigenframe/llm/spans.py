@@ -161,8 +161,10 @@ def _cleaned(text: pa.Array, cover: pa.Array) -> pa.Array:
     )
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int = 20) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text``, plus ``removed_sentences`` and ``removed_words``.
+def remove_repeats(
+    docs: DataFrame, least_sentences: int = 3, least_words: int = 20, names: tuple[str, str] = ("removed_sentences", "removed_words")
+) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, plus what was removed: two columns called ``names``.
 
     Every row and every other column stays as it is. A NULL text stays NULL, and a
     text with too few sentences or words for a span stays whole. Rows of one doc_id
@@ -183,7 +185,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int =
     cut = joined.withColumn("_cut", F.arrow_udf(_cleaned, RESULT)(changed, F.col("_cover")))
     new = {
         "text": F.coalesce("_cut.text", "text"),
-        "removed_sentences": F.coalesce("_cut.removed_sentences", F.lit(0)),
-        "removed_words": F.coalesce("_cut.removed_words", F.lit(0)),
+        names[0]: F.coalesce("_cut.removed_sentences", F.lit(0)),
+        names[1]: F.coalesce("_cut.removed_words", F.lit(0)),
     }
     return cut.withColumns(new).drop("_span_key", "_cover_key", "_cover", "_cut")
