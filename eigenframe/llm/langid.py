@@ -34,16 +34,17 @@ def _letters() -> np.ndarray:
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all texts, one row per order; where each text starts; whether it has a letter.
 
-    Two gaps stand before every text, and two after the last, so no n-gram joins two texts.
+    Two gaps stand before every text, and gaps are thought after the last, so no n-gram joins
+    two texts and none depends on the texts around.
     """
     lowered = ["  " + t.lower() for t in texts]
     sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
-    codes = np.frombuffer("".join([*lowered, "  "]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.cumsum(sizes) - sizes
     alpha = _letters()[codes]
     some = np.add.reduceat(alpha, starts, dtype=np.int64) > 0 if len(starts) else np.zeros(0, dtype=bool)
     first = np.zeros(len(codes), dtype=bool)
-    first[starts] = True
+    first[starts] = first[starts + 1] = True
     keep = alpha | first | np.concatenate(([True], alpha[:-1]))  # a gap is kept where it begins
     place = np.cumsum(keep) - 1
     kept = np.where(alpha, codes, 32)[keep].astype(np.uint32)

@@ -119,7 +119,7 @@ def settle(p: np.ndarray, x: np.ndarray, held: int = 12) -> np.ndarray:
     return np.round(out)
 
 
-def cube(units: DataFrame, group_rows: int = 2048) -> DataFrame:
+def cube(units: DataFrame, group_rows: int = 1024) -> DataFrame:
     """``units`` with column ``p`` walked to 0 or 1 for each row, balanced on ``x`` within each ``source``.
 
     Column ``uid`` (long) orders a group; any other columns are carried along.
@@ -159,7 +159,7 @@ def _row_key() -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in ("doc_id", "source", "text")])
 
 
-def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, group_rows: int = 2048) -> DataFrame:
+def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, group_rows: int = 1024) -> DataFrame:
     """How often the mix takes each row of ``docs``: ``copies``, from 0 to ``most``.
 
     One row per row, with doc_id, source, k (a hash of id, source and text), i (a number
