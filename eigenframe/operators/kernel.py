@@ -1,10 +1,10 @@
 """Kernel principal components.
 
-The training rows are few by definition (an n×n kernel is decomposed), so they
-are read once, checked against a limit and broadcast; the kernel itself is made
-row block by row block inside tasks and never as one object. Larger tables use
-landmarks (Williams & Seeger 2001): every row is mapped onto the kernel of a
-bounded set and the rest is ordinary distributed PCA.
+Tables use landmarks (Williams & Seeger 2001), chosen by number and the same at
+every size: each row is mapped onto the kernel of a bounded set and the rest is
+ordinary distributed PCA. With as many landmarks as rows the result is exact. A
+fit without landmarks decomposes the whole kernel, and is an error beyond the few
+rows for which that is meant.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eigenframe.operators.pca import _complete
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage
 from eigenframe.plans.dense import fix_signs
 from eigenframe.plans.gram import feature_array, moments, width_of
 
-EXACT_ROWS = 10_000
-DENSE_ROWS = 1_500  # up to here the whole kernel fits the driver
+EXACT_ROWS = 1_500  # rows whose whole kernel is decomposed
+MAX_LANDMARKS = 10_000
 SHOW_ROWS = 1_000  # rows of a kernel matrix written out
 BROADCAST_CELLS = 50_000_000
-_ROUNDS = 60
 
 
 @dataclass(frozen=True)
@@ -50,10 +50,6 @@ class KernelParams:
         d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * dot
         return np.exp(-self.gamma * np.maximum(d2, 0.0))
 
-    def diagonal(self, a: np.ndarray) -> np.ndarray:
-        ss = (a * a).sum(1)
-        return {"linear": ss, "poly": (self.gamma * ss + self.coef0) ** self.degree, "rbf": np.ones(len(a))}[self.kind]
-
 
 @dataclass(frozen=True)
 class KernelModel:
@@ -98,15 +94,15 @@ def fit_kernel_pca(
     row_stage: RowStage | None = None,
     landmarks: int | None = None,
 ) -> KernelModel:
-    """Exact up to 10,000 rows; beyond that only with ``landmarks`` (and then approximate).
+    """On ``landmarks`` rows if given, however many rows there are; else exact, for ``EXACT_ROWS`` rows at most.
 
-    Centring happens in the kernel, so the only column stage is ``scale``.
+    Centring happens in the kernel, so the only column stage is ``scale``. Missing cells fail the fit.
     """
     stage = row_stage or RowStage()
     m = width_of(df, features)
     p = (params or KernelParams()).resolved(m)
     names = (features,) if isinstance(features, str) else tuple(features)
-    rows = _rows(df, features, stage).select(F.col(id_col).alias("_id"), "_kx")
+    rows = _complete(_rows(df, features, stage).select(F.col(id_col).alias("_id"), "_kx"), "_kx")
     n = rows.count()
     if n < 2 or not 1 <= k <= n:
         raise ValueError(f"{k} components from {n} rows")
@@ -114,81 +110,28 @@ def fit_kernel_pca(
     if scale:
         sd = moments(rows, "_kx").sd
         divisor = np.where(sd < 1e-8, 1.0, sd)
+    if landmarks is not None:
+        if not 1 <= landmarks <= MAX_LANDMARKS:
+            raise ValueError(f"between 1 and {MAX_LANDMARKS} landmarks")
+        return _with_landmarks(rows, names, stage, p, divisor, k, n, landmarks)
     if n > EXACT_ROWS:
-        if landmarks is None:
-            raise ValueError(f"{n} rows exceed the {EXACT_ROWS} of an exact kernel: give a number of landmarks")
-        return _with_landmarks(rows, names, stage, p, divisor, k, n, min(landmarks, EXACT_ROWS))
-    if n * m > BROADCAST_CELLS:
-        raise ValueError(f"{n} rows of {m} variables are too large to broadcast")
+        raise ValueError(f"{n} rows exceed the {EXACT_ROWS} of an exact kernel: give a number of landmarks")
     base = np.array([r["_kx"] for r in rows.orderBy("_id").select("_kx").collect()]) / divisor
-    lam, v, total = _decompose(rows, p, base, divisor, k)
+    full = p.matrix(base, base)
+    mean = full.mean(axis=0)
+    centred = full - mean - mean[:, None] + mean.mean()
+    lam, v = np.linalg.eigh((centred + centred.T) / 2)
+    total = float(np.maximum(lam, 0.0).sum())
+    lam, v = lam[::-1][:k], fix_signs(v[:, ::-1][:, :k])
     kept = np.maximum(lam, 0.0)
     kept[kept < 1e-10] = 0.0
     weights = v / np.sqrt(np.where(kept > 0, kept, np.inf))
-    ones = np.full((n, 1), 1.0 / n)
-    mean = _times(rows, p, base, divisor, ones)[:, 0]
     return KernelModel(
         p, names, stage, divisor, k, n, kept, kept / total if total > 0 else kept * 0, base, np.zeros((0, 0)), mean, weights,
         True, float(mean.mean()), False,
     )
 
 
-def _times(rows: DataFrame, p: KernelParams, base: np.ndarray, divisor: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """K·v in row order of ``base``: each task multiplies the kernel rows of its own rows."""
-    sc = rows.sparkSession.sparkContext
-    held = sc.broadcast((base, v))
-
-    def multiply(batches):
-        b0, v0 = held.value
-        for b in batches:
-            out = p.matrix(_batch(b.column(1), divisor), b0) @ v0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=["_id", "r"])
-
-    schema = T.StructType([rows.schema["_id"], T.StructField("r", T.ArrayType(T.DoubleType()))])
-    got = rows.mapInArrow(multiply, schema).orderBy("_id").select("r").collect()
-    held.unpersist()
-    return np.array([r["r"] for r in got])
-
-
-def _centre(x: np.ndarray) -> np.ndarray:
-    return x - x.mean(axis=0)
-
-
-def _decompose(rows, p, base, divisor, k):
-    """Top k of the centred kernel, and its trace."""
-    n = len(base)
-    if n <= DENSE_ROWS:
-        full = _times(rows, p, base, divisor, np.eye(n))
-        c = full - full.mean(0) - full.mean(1)[:, None] + full.mean()
-        w, v = np.linalg.eigh((c + c.T) / 2)
-        return w[::-1][:k], fix_signs(v[:, ::-1][:, :k]), float(np.maximum(w, 0).sum())
-    col = _times(rows, p, base, divisor, np.full((n, 1), 1.0 / n))[:, 0]
-    trace = float(p.diagonal(base).sum() - col.sum())
-    # Block Krylov with full re-orthogonalisation: one job multiplies the whole block.
-    width = k + 8
-    q, _ = np.linalg.qr(_centre(np.random.default_rng(0).standard_normal((n, width))))
-    basis, image = q, _centre(_times(rows, p, base, divisor, q))
-    fresh = width
-    for _ in range(_ROUNDS):
-        w, s = np.linalg.eigh(basis.T @ image)
-        w, s = w[::-1][:k], s[:, ::-1][:, :k]
-        v = basis @ s
-        gap = np.linalg.norm(image @ s - v * w, axis=0).max()
-        if gap <= 1e-11 * max(w[0], 1e-300) * n**0.5:
-            break
-        new = image[:, -fresh:]
-        new = new - basis @ (basis.T @ new)
-        u, size, _ = np.linalg.svd(new, full_matrices=False)
-        u = u[:, size > 1e-11 * max(w[0], 1e-300)]  # directions that are new, not rounding
-        if not u.shape[1] or basis.shape[1] + u.shape[1] > n:
-            break
-        for _again in range(2):
-            u, _ = np.linalg.qr(u - basis @ (basis.T @ u))
-        fresh, basis = u.shape[1], np.hstack([basis, u])
-        image = np.hstack([image, _centre(_times(rows, p, base, divisor, u))])
-    return w, fix_signs(v), trace
-
-
 def _with_landmarks(rows, names, stage, p, divisor, k, n, count):
     m = len(divisor)
     if count * m > BROADCAST_CELLS:
@@ -206,7 +149,7 @@ def _with_landmarks(rows, names, stage, p, divisor, k, n, count):
     total = float(lam.sum())
     return KernelModel(
         p, names, stage, divisor, k, n, lam[:k], lam[:k] / total if total else lam[:k], base, lift, mom.mean, vec[:, :k],
-        False, 0.0, True,
+        False, 0.0, count < n,
     )
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.operators.pca import PCAModel
+from eigenframe.operators.pca import PCAModel, _complete
 from eigenframe.operators.rowstage import ColumnStage, RowStage, apply_columns, fit_columns
 from eigenframe.operators.scoring import score
 from eigenframe.operators.windows import lag_columns, lag_embed
@@ -48,14 +48,17 @@ def fit_lagged_pca(
     scaling: str = "standard",
     row_stage: RowStage | None = None,
 ) -> LaggedModel:
-    """k by count, or the fewest components whose share reaches ``target_variance``."""
+    """k by count, or the fewest components whose share reaches ``target_variance``.
+
+    Series must have no gaps: a missing cell fails the fit.
+    """
     if row_stage is not None and row_stage.active:
         raise ValueError("row stages do not apply to lagged windows")
     if (k is None) == (target_variance is None):
         raise ValueError("give k or target_variance")
-    stage = fit_columns(df, cols, scaling)
-    windows = lag_embed(apply_columns(df, stage), cols, lags, order_by, partition_by)
+    stage = fit_columns(_complete(df, cols), cols, scaling)
     names = lag_columns(cols, lags)
+    windows = _complete(lag_embed(apply_columns(df, stage), cols, lags, order_by, partition_by), names)
     mom = moments(windows, names)
     if mom.n < 1:
         raise ValueError(f"no series is as long as {lags} lags")

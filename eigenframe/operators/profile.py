@@ -16,8 +16,8 @@ from eigenframe.plans.quantiles import quantiles
 from eigenframe.plans.ranges import dense_index
 from eigenframe.roles import Roles, suffix_role
 
-SAMPLE_ROWS = 10  # rows that decide a column's type when a file is read
 EXPRESSION_PAIRS = 6  # column pairs up to which correlations are plain aggregates
+# Bins of a distribution, and the step of magnitude below.
 BINS = 10
 JUMP = 100.0  # magnitude step that marks a value as a likely slip
 PROFILE_SCHEMA = (
@@ -37,14 +37,14 @@ def _long(df: DataFrame, cols: Sequence[str], aggs: dict) -> DataFrame:
 # --- types ---------------------------------------------------------------------------
 
 
-def infer_roles(
-    df: DataFrame, order_by: Sequence[str] = (), id_col: str | None = None, targets: Sequence[str] = (),
-    decimal: str = ".",
-) -> Roles:
-    """Roles of an all-text table: header suffixes first, then the first values of each column."""
-    head = (df.orderBy(*order_by) if order_by else df).limit(SAMPLE_ROWS)
+def infer_roles(df: DataFrame, id_col: str | None = None, targets: Sequence[str] = (), decimal: str = ".") -> Roles:
+    """Roles of an all-text table: header suffixes first, then all values of each column.
+
+    One value that is neither a number nor missing makes a column a category, so
+    no text is lost, wherever it stands.
+    """
     cols = [c for c in df.columns if c != id_col]
-    odd = head.agg(
+    odd = df.agg(
         *[F.count_if(~is_missing(F.col(f"`{c}`")) & ~is_number(F.col(f"`{c}`"), decimal)).alias(f"o{i}") for i, c in enumerate(cols)]
     ).first()
     feats, cats, targs = [], [], []
@@ -379,8 +379,12 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     then removed by key, so a row copied a billion times is never one group.
     """
     tagged = df.select(*dict.fromkeys([*order_by, *keep]), _digest(cols).alias("_d"))
-    firsts = tagged.groupBy("_d").agg(F.min(F.struct(*order_by)).alias("_first")).select("_first.*")
-    return tagged.join(firsts, list(order_by), "left_anti").drop("_d")
+    firsts = tagged.groupBy("_d").agg(F.min(F.struct(*order_by)).alias("_first"))
+    firsts = firsts.select(F.col("_d").alias("_fd"), *[F.col(f"_first.`{c}`").alias(f"_f{i}") for i, c in enumerate(order_by)])
+    same = F.col("_d") == F.col("_fd")  # keys may hold NULLs
+    for i, c in enumerate(order_by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_f{i}"))
+    return tagged.join(firsts, same, "left_anti").drop("_d")
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -416,13 +420,13 @@ def pair_correlations(
     """``(x, y, n, r)`` of every x with every y: pairwise sums as products of values and masks.
 
     Six small matrices per task, added up by cell; gaps only cost the pairs they
-    are in. ``centre`` is any number near the values, to keep sums small.
+    are in. Sums are taken about ``centre``, or else about the mean of each column.
     """
     p, q = len(xs), len(ys)
     names = list(dict.fromkeys([*xs, *ys]))
     if centre is None:
-        head = clean.limit(2000).agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(names)]).first()
-        shift = np.array([head[f"a{i}"] or 0.0 for i in range(len(names))])
+        means = clean.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(names)]).first()
+        shift = np.array([means[f"a{i}"] or 0.0 for i in range(len(names))])
     else:
         shift = np.full(len(names), centre)
     at_x, at_y = [names.index(c) for c in xs], [names.index(c) for c in ys]
@@ -446,7 +450,9 @@ def pair_correlations(
     n = F.greatest("n", F.lit(1.0))
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
     # What is left of a sum of squares after rounding is not spread.
-    flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy"))
+    near = lambda at: F.element_at(F.array(*[F.lit(float(s)) for s in shift[at]]), F.col("i" if at is at_x else "j") + 1)
+    dust = lambda s, at: F.greatest(1e-12 * F.col(s), 1e-28 * n * near(at) * near(at))
+    flat = (vx <= dust("sxx", at_x)) | (vy <= dust("syy", at_y))
     r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(F.abs(vx) * F.abs(vy)))
     label = lambda many, c: F.element_at(F.array(*[F.lit(v) for v in many]), F.col(c) + 1)
     return sums.select(

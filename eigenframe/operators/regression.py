@@ -21,7 +21,7 @@ from eigenframe.operators.pca import PCAModel, Regression, _complete, _model
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
 from eigenframe.operators.scoring import predict
 from eigenframe.plans.dense import score_paths
-from eigenframe.plans.gram import feature_array, gram, moments_from, preview_shift, width_of
+from eigenframe.plans.gram import column_means, feature_array, gram, moments_from, width_of
 from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
@@ -261,7 +261,8 @@ def fit_pcr(
     limit = _limit(base, labelled, m, cv, max_components or k)
     if k is not None and k > limit:
         raise ValueError(f"{k} components: at most {limit} for {labelled} labelled rows and {m} variables")
-    shift = _shift(base, source, m) if isinstance(source, str) else [float(size[c] or 0.0) for c in (*source, "y")]
+    means = column_means(base, feature_array(base, source), m) if isinstance(source, str) else [size[c] for c in source]
+    shift = [float(v or 0.0) for v in (*means, size["y"])]
     curve = oof = None
     notes: dict = {}
     if cv is not None:
@@ -316,11 +317,6 @@ def _joined(df: DataFrame, source: Features) -> DataFrame:
     return out.withColumn("_xy", F.concat(source, F.array("_y0"))) if isinstance(source, str) else out
 
 
-def _shift(base, source, m):
-    joined = _joined(base, source)
-    return preview_shift(joined, feature_array(joined, _with_y(source)), m + 1)
-
-
 _SPARE = -1  # the fold of rows without a response
 _CELLS = "repeat int, fold int, i int, j int, v double"
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eigenframe.functions.parsing import finite
 from eigenframe.operators.pca import PCAModel
 from eigenframe.operators.rowstage import apply_row_stage
 from eigenframe.plans.gram import feature_array
@@ -36,7 +37,8 @@ def score(df: DataFrame, model: PCAModel, keep: Sequence[str] = ()) -> DataFrame
     """Columns ``pc1…pck``, ``t2`` (Σ t²/λ) and ``q`` (squared residual) for every row.
 
     ``keep`` names the columns to carry along; the scan reads those and the
-    model's variables only.
+    model's variables only. A row with a gap (a NULL or non-finite cell, or a NULL
+    array) has NULL scores, whatever the size of the model.
     """
     aligned = align(df, model, keep)
     if model.width * model.k <= EXPRESSION_CELLS and not model.row_stage.active and not isinstance(model.source, str):
@@ -46,7 +48,7 @@ def score(df: DataFrame, model: PCAModel, keep: Sequence[str] = ()) -> DataFrame
 
 def _score_expressions(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataFrame:
     z = [
-        ((F.col(f"`{c}`").cast("double") - F.lit(float(a))) / F.lit(float(b))).alias(f"_z{i}")
+        ((finite(F.col(f"`{c}`")) - F.lit(float(a))) / F.lit(float(b))).alias(f"_z{i}")
         for i, (c, a, b) in enumerate(zip(model.features, model.center, model.divisor))
     ]
     staged = df.select(*keep, *z)
@@ -75,11 +77,14 @@ def _score_batches(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataF
 
     def project(batches):
         for b in batches:
-            x = b.column(b.schema.get_field_index("_x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            z = (x - c) / d
+            lists = b.column(b.schema.get_field_index("_x"))
+            x = np.full((b.num_rows, m), np.nan)
+            x[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            gap = ~np.isfinite(x).all(axis=1)
+            z = (np.where(gap[:, None], 0.0, x) - c) / d
             t = z @ p
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array(t[:, j]) for j in range(k)]
-            cols += [pa.array((t**2 / lam).sum(axis=1)), pa.array(((z - t @ p.T) ** 2).sum(axis=1))]
+            cols = [b.column(i) for i in range(len(keep))] + [pa.array(t[:, j], mask=gap) for j in range(k)]
+            cols += [pa.array((t**2 / lam).sum(axis=1), mask=gap), pa.array(((z - t @ p.T) ** 2).sum(axis=1), mask=gap)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(project, schema)

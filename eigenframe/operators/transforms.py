@@ -177,10 +177,12 @@ def levels(df: DataFrame, col: str, limit: int) -> list[str] | None:
     return None if len(rows) > limit else [r["v"] for r in rows]
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], drop: bool = False) -> DataFrame:
-    """One 0/1 column per value; columns of more than 20 values are skipped."""
+def one_hot(df: DataFrame, cols: Sequence[str], drop: bool = False, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """One 0/1 column per value; a column of more than ``max_levels`` values is an error."""
     for c in cols:
-        found = levels(df, c, MAX_LEVELS)
+        found = levels(df, c, max_levels)
+        if found is None:
+            raise ValueError(f"{c}: more than {max_levels} values")
         if not found:
             continue
         taken = list(df.columns)

@@ -50,6 +50,22 @@ def preview_shift(df: DataFrame, values: Column, width: int) -> list[float]:
     return [float(got.get(i) or 0.0) for i in range(width)]
 
 
+def column_means(df: DataFrame, values: Column, width: int) -> list[float]:
+    """The mean of each place of an array column over all rows: one row of sums per task and place."""
+
+    def partial(batches):
+        n, total = np.zeros(width), np.zeros(width)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            known = np.isfinite(x)
+            n, total = n + known.sum(axis=0), total + np.where(known, x, 0.0).sum(axis=0)
+        yield pa.record_batch({"i": pa.array(np.arange(width), pa.int32()), "n": pa.array(n), "s": pa.array(total)})
+
+    sums = df.select(values.alias("v")).mapInArrow(partial, "i int, n double, s double").groupBy("i").agg(F.sum("n"), F.sum("s"))
+    got = {i: s / n for i, n, s in sums.collect() if n}
+    return [float(got.get(i) or 0.0) for i in range(width)]
+
+
 def gram(
     df: DataFrame,
     features: str | Sequence[str],
@@ -80,7 +96,7 @@ def _gram_sql(df, features, shift, by):
 def _gram_arrow(df, features, shift, by):
     m = len(shift)
     if m > MAX_WIDTH:
-        raise ValueError(f"{m} variables: a square matrix is kept up to {MAX_WIDTH}; use method='svd' with solver='rowmatrix'")
+        raise ValueError(f"{m} variables: a square matrix is kept up to {MAX_WIDTH}; use method='svd'")
     s = np.asarray(shift, dtype=float)
     keys = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     rows = df.select(keys.alias("key"), feature_array(df, features).alias("x"))

@@ -118,7 +118,7 @@ def read_table(
     if mode == "numeric":
         roles = Roles(tuple(cols), (), (), id_col, None, tuple(df.columns))
         return df.withColumns({c: strict_number(F.col(f"`{c}`"), c, dialect.decimal, na) for c in cols}), roles
-    roles = infer_roles(df, (), id_col, targets, dialect.decimal)
+    roles = infer_roles(df, id_col, targets, dialect.decimal)
     numeric = [*roles.features, *roles.targets]
     return df.withColumns({c: to_number(F.col(f"`{c}`"), dialect.decimal, na) for c in numeric}), roles
 

@@ -42,7 +42,7 @@ def compare(spark, con, folder, name, query, sql):
     got = [tuple(_norm(r[c]) for c in cols) for r in df.collect()]
     t1 = time.time()
     if sql is None:
-        return "" if got is not None else "no rows", t1 - t0, 0.0
+        return "" if got else "no rows", t1 - t0, 0.0
     res = con.execute(sql)
     names = [d[0] for d in res.description]
     want = [tuple(_norm(r[names.index(c)]) for c in cols) if sorted(names) == cols else r for r in res.fetchall()]

@@ -192,10 +192,9 @@ def test_nipals_with_gaps(spark, data):
     assert np.allclose(pd_scores["q"], np.nansum(rest**2, 1), atol=1e-5)
 
 
-@pytest.mark.parametrize("dense_rows", [1500, 50])
+@pytest.mark.parametrize("landmarks", [None, 240])
 @pytest.mark.parametrize("kind", ["rbf", "poly", "linear"])
-def test_kernel(spark, frame, data, kind, dense_rows, monkeypatch):
-    monkeypatch.setattr(kernel, "DENSE_ROWS", dense_rows)
+def test_kernel(spark, frame, data, kind, landmarks):
     x = data[0]
     params = kernel.KernelParams(kind, 0.01, 2, 1.0)
     k = params.matrix(x, x)
@@ -203,8 +202,8 @@ def test_kernel(spark, frame, data, kind, dense_rows, monkeypatch):
     h = np.eye(n) - 1 / n
     w, v = np.linalg.eigh(h @ k @ h)
     w, v = w[::-1], v[:, ::-1]
-    model = kernel.fit_kernel_pca(frame, "arr", 3, params, "id")
-    assert np.allclose(model.eigenvalues, w[:3], rtol=1e-7)
+    model = kernel.fit_kernel_pca(frame, "arr", 3, params, "id", landmarks=landmarks)
+    assert not model.approximate and np.allclose(model.eigenvalues, w[:3], rtol=1e-6)
     assert np.allclose(model.ratio, w[:3] / np.maximum(w, 0).sum(), rtol=1e-6)
     got, _ = scores_of(kernel.score_kernel(frame, model, ["id"]), 3)
     want = v[:, :3] * np.sqrt(w[:3])
@@ -230,6 +229,16 @@ def test_landmarks(frame, monkeypatch):
     assert kernel.score_kernel(frame, near, ["id"]).count() == 240
 
 
+def test_gaps_fail_lagged_and_kernel_fits(frame):
+    for value in (None, float("nan")):
+        holed = frame.withColumn("a", F.when(F.col("id") == 100, F.lit(value)).otherwise(F.col("a")))
+        for lags in (2, 16):
+            with pytest.raises(Exception, match="missing cell"):
+                lagged.fit_lagged_pca(holed, ["a"], lags, ["id"], k=1)
+        with pytest.raises(Exception, match="missing cell"):
+            kernel.fit_kernel_pca(holed, ["a", "b"], 1, id_col="id", landmarks=50)
+
+
 def test_lagged(frame, data):
     x = data[0][:, :2]
     z = (x - x.mean(0)) / x.std(0, ddof=1)
