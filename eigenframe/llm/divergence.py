@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from eigenframe.llm.common import SPACE
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = "\t\n\x0b\x0c\r "
+PLAIN = r"[a-z \n]+"  # most of a text, and of no class below
 #: Each class is what a text keeps when the rest is taken out. Letters that are not capitals, and all else, are the remainder.
-CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "mark": r"[^.,;:?'()\-]+", "cry": r"[^!]+", "quote": r"[^\"`~@^_=+/\\\[\]{}]+"}
-HISTOGRAM = ("space", "symbol", *CLASSES, "rest")
+CLASSES = {
+    "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "mark": r"[^.,;:?'()\-]+", "cry": r"[^!]+",
+    "quote": r"[^\"`~@^_=+/\\\[\]{}]+", "symbol": r"[^#*$%&|<>]+",
+}
+HISTOGRAM = ("space", *CLASSES, "rest")
 
 
 @dataclass(frozen=True)
@@ -61,9 +63,9 @@ def _measured(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("_t"))
     rows = rows.select(*keep, "_t", F.array_remove(F.split("_t", SPACE), "").alias("_w"), F.char_length("_t").alias("_n"))
-    sized = {name: F.char_length(F.regexp_replace("_t", rest, "")) for name, rest in CLASSES.items()}
-    sized["symbol"] = F.col("_n") - F.char_length(F.translate("_t", SYMBOLS, ""))
-    sized["space"] = F.col("_n") - F.char_length(F.translate("_t", BLANKS, ""))
+    rows = rows.withColumn("_r", F.regexp_replace("_t", PLAIN, ""))
+    sized = {name: F.char_length(F.regexp_replace("_r", rest, "")) for name, rest in CLASSES.items()}
+    sized["space"] = F.col("_n") - F.char_length(F.array_join("_w", ""))
     rows = rows.select(*keep, "_t", "_w", "_n", *[c.cast("long").alias(f"_c_{k}") for k, c in sized.items()])
     others = sum((F.col(f"_c_{k}") for k in HISTOGRAM[:-1]), F.lit(0))
     return rows.withColumn("_c_rest", F.col("_n") - others)
@@ -151,10 +153,13 @@ def judge(docs: DataFrame, references: list[Reference], rules: Rules = Rules())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     every = sorted({w for r in references for w in r.words})
     if every:
+        # Every word is there once more, so the runs of the sorted array are the words in order.
         common = F.filter(F.transform("_w", lambda x: F.lower(x)), lambda x: x.isin(*every))
-        rows = rows.withColumn("_common", common)
-        counts = F.array(*[F.size("_common") - F.size(F.array_remove("_common", w)) for w in every])
-        rows = rows.withColumn("_counts", counts)
+        rows = rows.withColumn("_common", F.sort_array(F.concat(F.array(*[F.lit(w) for w in every]), common)))
+        first = lambda i: (i == 0) | (F.get(F.col("_common"), i) != F.get(F.col("_common"), i - 1))
+        rows = rows.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_common") - 1), first))
+        until = lambda k: F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_common"))
+        rows = rows.withColumn("_counts", F.transform("_starts", lambda i, k: until(k) - i - 1)).drop("_common", "_starts")
     rows = rows.drop("_t", "_w")
     classes = F.array(*[F.col(f"_c_{k}") for k in HISTOGRAM])
     rows = rows.withColumn("_classes", classes)
