@@ -16,6 +16,7 @@ merged. What a task gives is at most k rows for each query.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,51 +28,80 @@ from eigenframe.plans.durable import stored
 RESULT = "query_uid long, query_id long, vec_id long, score double"
 
 
+@dataclass(frozen=True)
+class Windows:
+    """How windows grow, when a vector is verified, and when a query is done."""
+
+    share: float = 0.6  # of all windows, that a vector must be in
+    start: float = 0.35  # half width; projections of unit vectors have unit spread
+    growth: float = 1.5
+    reach: float = 1.06  # done when this times the k-th distance is inside the windows
+
+
 class Block:
     """The sorted arrays of one block of vectors."""
 
     def __init__(self, vectors: np.ndarray, lines: int, seed: int):
         self.vectors = vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.unit = vectors / self.norms[:, None]
         self.directions = np.random.RandomState(seed).normal(size=(vectors.shape[1], lines))
-        at = (vectors / self.norms[:, None]) @ self.directions
-        self.order = np.ascontiguousarray(at.argsort(axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
-
-    def search(self, query: np.ndarray, k: int, own: int, share: float, start: float, growth: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the verified vectors; ``own`` is the query's place here, or -1."""
+        at = (self.unit @ self.directions).T
+        self.order = np.ascontiguousarray(at.argsort(axis=1, kind="stable"))
+        self.sorted = np.take_along_axis(at, self.order, axis=1)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, how: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the best verified vectors of each query; ``own`` is its place here, or -1.
+
+        At least ``k`` are given where there are as many, with all that tie with the k-th.
+        """
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        some = max(1, (4 << 20) // len(self.vectors))  # queries whose counts are held at a time
+        for at in range(0, len(queries), some):
+            out.extend(self._search(queries[at : at + some], own[at : at + some], k, how))
+        return out
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, how: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
         n, lines = len(self.vectors), len(self.sorted)
-        norm = math.sqrt(float((query * query).sum()))
-        center = (query / norm) @ self.directions
-        least, wanted = math.ceil(share * lines), min(k, n - (own >= 0))
-        counts = np.zeros(n, dtype=np.int32)
-        scores = np.full(n, -np.inf)
-        fresh = np.ones(n, dtype=bool)
-        if own >= 0:
-            fresh[own] = False
-        left = right = None
-        half = start
-        while wanted:
-            lo = [int(np.searchsorted(s, c - half, side="left")) for s, c in zip(self.sorted, center)]
-            hi = [int(np.searchsorted(s, c + half, side="right")) for s, c in zip(self.sorted, center)]
-            if left is None:
-                new = [o[a:b] for o, a, b in zip(self.order, lo, hi)]
-            else:  # only what the windows have gained
-                new = [part for o, a, p, q, b in zip(self.order, lo, left, right, hi) for part in (o[a:p], o[q:b])]
-            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            left, right = lo, hi
-            found = np.flatnonzero(fresh & (counts >= least))
-            if len(found):
-                scores[found] = (self.vectors[found] * query).sum(axis=1) / (self.norms[found] * norm)
-                fresh[found] = False
-            done = np.isfinite(scores)
-            if int(done.sum()) >= wanted:
-                kth = np.partition(scores[done], len(scores[done]) - wanted)[len(scores[done]) - wanted]
-                if math.sqrt(max(0.0, 2 - 2 * kth)) * reach <= half or not fresh.any():
-                    break
-            half *= growth
-        at = np.flatnonzero(np.isfinite(scores))
-        return at, scores[at]
+        unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
+        center, least = (unit @ self.directions).T, math.ceil(how.share * lines)
+        counts = np.zeros((len(queries), n), dtype=np.int16)
+        near = np.full((len(queries), n), -np.inf, dtype=np.float32)  # cosines of the verified
+        wanted = np.minimum(k, n - (own >= 0))
+        live, half = np.flatnonzero(wanted > 0), how.start
+        left = right = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, center)])
+        while len(live):
+            lo, hi = left.copy(), right.copy()
+            for j, s in enumerate(self.sorted):
+                lo[j, live] = np.searchsorted(s, center[j, live] - half, side="left")
+                hi[j, live] = np.searchsorted(s, center[j, live] + half, side="right")
+            going = []
+            for q in live.tolist():
+                gained = []  # what the windows have gained on both sides
+                for o, a, b, c, d in zip(self.order, lo[:, q].tolist(), left[:, q].tolist(), right[:, q].tolist(), hi[:, q].tolist()):
+                    gained += (o[a:b], o[c:d])
+                counts[q] += np.bincount(np.concatenate(gained), minlength=n).astype(np.int16)
+                fresh = (counts[q] >= least) & (near[q] == -np.inf)
+                if own[q] >= 0:
+                    fresh[own[q]] = False
+                found = np.flatnonzero(fresh)
+                if len(found):
+                    near[q, found] = self.unit[found] @ unit[q]
+                kth = float(np.partition(near[q], n - wanted[q])[n - wanted[q]])
+                if kth == -np.inf or math.sqrt(max(0.0, 2 - 2 * kth)) * how.reach > half:
+                    going.append(q)
+            left, right, half = lo, hi, half * how.growth
+            live = np.array(going, dtype=np.int64)
+        out = []
+        for q, m in enumerate(wanted.tolist()):
+            if m <= 0:
+                out.append((np.zeros(0, dtype=np.int64), np.zeros(0)))
+                continue
+            kth = float(np.partition(near[q], n - m)[n - m])
+            at = np.flatnonzero(near[q] >= kth - 1e-5)  # beyond the rounding of single precision
+            norm = math.sqrt(float((queries[q] * queries[q]).sum()))
+            out.append((at, (self.vectors[at] * queries[q]).sum(axis=1) / (self.norms[at] * norm)))
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -82,8 +112,8 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(
-    rows: DataFrame, is_query: Column, k: int = 5, lines: int = 64, share: float = 0.6, start: float = 0.3, growth: float = 1.4,
-    reach: float = 1.06, block_rows: int = 65536, least_blocks: int = 24, chunk_rows: int = 4096, seed: int = 11,
+    rows: DataFrame, is_query: Column, k: int = 5, lines: int = 64, how: Windows = Windows(),
+    block_rows: int = 65536, least_blocks: int = 24, chunk_rows: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """The ``k`` nearest rows of each query row: query_id, rank, vec_id, score.
 
@@ -101,10 +131,10 @@ def nearest(
     chunks = max(1, math.ceil((queries or 0) / chunk_rows))
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     all_chunks = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    asked = kept.filter("q")
+    queries_only = kept.filter("q")
     block, chunk = F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(chunks)).cast("int")
     base = kept.select("d", block.alias("b"), all_chunks.alias("c"), "uid", "vec_id", "v", F.lit(False).alias("ask"))
-    ask = asked.select("d", all_blocks.alias("b"), chunk.alias("c"), "uid", "vec_id", "v", F.lit(True).alias("ask"))
+    ask = queries_only.select("d", all_blocks.alias("b"), chunk.alias("c"), "uid", "vec_id", "v", F.lit(True).alias("ask"))
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("ask").to_numpy(zero_copy_only=False)
@@ -116,8 +146,9 @@ def nearest(
             built = Block(v[data], lines, seed)
             place = {u: i for i, u in enumerate(uid[data].tolist())}
             tie = np.array([(1 << 63) - 1 if x is None else x for x in ids[data]])
-            for i in np.flatnonzero(asks).tolist():
-                at, score = built.search(v[i], k, place.get(int(uid[i]), -1), share, start, growth, reach)
+            asked = np.flatnonzero(asks)
+            own = np.array([place.get(u, -1) for u in uid[asked].tolist()], dtype=np.int64)
+            for i, (at, score) in zip(asked.tolist(), built.search(v[asked], own, k, how)):
                 best = np.lexsort((tie[at], -score))[:k]
                 for column, values in zip(out, ([int(uid[i])] * len(best), [ids[i]] * len(best), ids[data][at[best]].tolist(), score[best].tolist())):
                     column.extend(values)
