@@ -84,7 +84,7 @@ def fit_pcr_missing(
     notes: dict = {}
     if cv is not None:
         preds = _cross_validate(base, features, cv, limit, scaling)
-        per_fold = _fold_errors(preds).collect()  # folds × component counts
+        per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
         curve = _curve_from_folds(df.sparkSession.createDataFrame(per_fold, _FOLD_SCHEMA))
         k = choose_k(_points(curve.orderBy("k").collect(), metric), rule, tolerance, wold_r)
         notes = curve_notes(curve, rule, metric, tolerance=tolerance, wold_r=wold_r) | {"rule": rule, "metric": metric}

@@ -217,7 +217,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in cols])
     pairs = clean.select(F.inline(entries)).distinct().groupBy("column").agg(F.count("v").alias("u")).collect()
     unique = {r["column"]: r["u"] for r in pairs}
-    q = quantiles(clean, cols, [0.25, 0.5, 0.75], distinct=max(unique.values(), default=0))
+    q = quantiles(clean, cols, [0.25, 0.5, 0.75], distinct=unique)
     quart = df.sparkSession.createDataFrame(
         [(c, unique.get(c, 0), *q[c]) for c in cols], "column string, unique long, q1 double, median double, q3 double"
     )

@@ -269,7 +269,7 @@ def fit_pcr(
         held = assign_folds(base.filter("_y is not null"), cv)
         cells = _fold_cells(base, held, source, m, cv, shift, n > labelled)
         preds = _cross_validate(base, held, cells, source, m, cv, limit, scaling, shift)
-        per_fold = _fold_errors(preds).collect()  # folds × component counts
+        per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
         curve = _curve_from_folds(spark.createDataFrame(per_fold, _FOLD_SCHEMA))
         points = _points(curve.orderBy("k").collect(), metric)
         k = choose_k(points, rule, tolerance, wold_r)
@@ -379,7 +379,21 @@ def _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift)
 _FOLD_SCHEMA = "repeat int, fold int, k int, n long, se double, see double, sae double, sy double, vy double"
 
 
-def _fold_errors(preds: DataFrame) -> DataFrame:
+WIDE_CURVE = 40  # component counts whose errors are summed side by side
+
+
+def _fold_errors(preds: DataFrame, limit: int) -> DataFrame:
+    """Error sums of each fold and component count; rows are summed before anything is unfolded."""
+    if limit < WIDE_CURVE:
+        sums = []
+        for k in range(limit + 1):
+            y = F.when(F.size("predictions") > k, F.col("_y"))
+            e = F.get(F.col("predictions"), F.lit(k)) - y
+            parts = {"n": F.count(y), "se": F.sum(e), "see": F.sum(e * e), "sae": F.sum(F.abs(e)), "sy": F.sum(y), "vy": F.var_pop(y)}
+            sums.append(F.struct(F.lit(k).alias("k"), *[v.alias(c) for c, v in parts.items()]).alias(f"k{k}"))
+        wide = preds.groupBy("repeat", "fold").agg(*sums)
+        unfolded = wide.select("repeat", "fold", F.inline(F.array(*[f"k{k}" for k in range(limit + 1)])))
+        return unfolded.filter("n > 0")
     e = F.col("p") - F.col("_y")
     long = preds.select("repeat", "fold", "_y", F.posexplode("predictions").alias("k", "p")).withColumn("_e", e)
     return long.groupBy("repeat", "fold", "k").agg(
