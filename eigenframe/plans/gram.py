@@ -22,6 +22,8 @@ MAX_WIDTH = 4096  # an m×m matrix is formed on the driver
 _PREVIEW = 2000
 _FAR = 1e6  # squared distance of the rough centre, in variances, from which sums are made again
 _BLOCK = 4096  # rows multiplied at once inside a task
+_HELD_CELLS = 1 << 24  # cells of the groups' matrices a task keeps before it gives them on
+_FAN = 64  # partial rows one merge adds up
 
 
 def feature_array(df: DataFrame, features: str | Sequence[str]) -> Column:
@@ -101,6 +103,17 @@ def _gram_arrow(df, features, shift, by):
     keys = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     rows = df.select(keys.alias("key"), feature_array(df, features).alias("x"))
 
+    def given_on(held):
+        for key, g in held.items():
+            i = np.arange(m + 1)
+            yield pa.record_batch(
+                {
+                    "key": pa.array([key] * (m + 1), pa.string()),
+                    "i": pa.array(i, pa.int32()),
+                    "r": pa.array([g[k, k:] for k in i], pa.list_(pa.float64())),
+                }
+            )
+
     def partial(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -112,29 +125,26 @@ def _gram_arrow(df, features, shift, by):
                 z = np.hstack([np.ones((len(part), 1)), part])
                 g = z.T @ z
                 held[key] = g if key not in held else held[key] + g
-        for key, g in held.items():
-            i = np.arange(m + 1)
-            yield pa.record_batch(
-                {
-                    "key": pa.array([key] * (m + 1), pa.string()),
-                    "i": pa.array(i, pa.int32()),
-                    "r": pa.array([g[k, k:] for k in i], pa.list_(pa.float64())),
-                }
-            )
+                if len(held) * (m + 1) ** 2 > _HELD_CELLS:  # many groups: never more than this in a task
+                    yield from given_on(held)
+                    held = {}
+        yield from given_on(held)
 
-    # One partial matrix per task: fewer, longer tasks for wide rows keep the exchange small.
-    if m > 256:
-        rows = rows.coalesce(max(2, rows.sparkSession.sparkContext.defaultParallelism))
     parts = rows.mapInArrow(partial, "key string, i int, r array<double>")
 
     def add(key, table):
-        total = np.sum([np.asarray(r) for r in table.column("r").to_pylist()], axis=0)
-        return pa.table(
-            {"key": [table.column("key")[0]], "i": [table.column("i")[0]], "r": pa.array([total], pa.list_(pa.float64()))}
-        )
+        total = np.sum(table.column("r").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1), axis=0)
+        first = {c: table.column(c).slice(0, 1) for c in ("key", "i", "task")}
+        return pa.table(first | {"r": pa.array([total], pa.list_(pa.float64()))})
 
     if m > 128:
-        parts = parts.groupBy("key", "i").applyInArrow(add, "key string, i int, r array<double>")
+        # A tree: a merge adds up at most 64 partial rows, up to 262,144 tasks.
+        parts = parts.withColumn("task", F.spark_partition_id().cast("long"))
+        for span in (_FAN, _FAN**2, 1 << 40):
+            group = F.floor(F.col("task") / span).alias("group")
+            parts = parts.groupBy("key", "i", group).applyInArrow(
+                lambda key, table: add(key, table), "key string, i int, task long, r array<double>"
+            )
         cells = parts.select("key", "i", F.posexplode("r").alias("d", "v"))
     else:
         cells = (
