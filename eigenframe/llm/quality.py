@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eigenframe.llm.common import slices
+from eigenframe.llm.common import cuts, release, slices
 from eigenframe.plans.durable import stored
 
 STATISTICS = (
@@ -218,8 +218,8 @@ def score_text(text: Column, session, model: Model) -> Column:
     shared = session.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        if not len(texts):
-            return pa.array([], pa.float64())
-        return pa.array(shared.value.score(np.array([statistics(t or "") for t in texts.to_pylist()])))
+        parts = [np.array([statistics(t or "") for t in texts.slice(at, n).to_pylist()]) for at, n in cuts(texts)]
+        release()
+        return pa.array(shared.value.score(np.concatenate(parts))) if parts else pa.array([], pa.float64())
 
     return F.arrow_udf(run, "double")(text.cast("string"))

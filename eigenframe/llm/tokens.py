@@ -30,7 +30,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
