@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eigenframe.llm.common import slices
+from eigenframe.llm.common import shared_uri, slices
 from eigenframe.llm.tokens import encoder
-from eigenframe.plans.durable import scratch_path, stored
+from eigenframe.plans.durable import stored
 
 MAGIC, END, VERSION = b"EFTK", b"END.", 1
 STRIDE = 128
@@ -324,6 +324,5 @@ def read(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Write token files of ``docs`` to the shared folder and read them back."""
-    folder = scratch_path(docs.sparkSession, "tokens")
-    folder = folder if folder.startswith("file:") or "://" in folder else f"file://{folder}"
+    folder = shared_uri(docs.sparkSession, "tokens")
     return read(write(docs, tokenizer, folder, end_id), folder, with_ids)

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eigenframe.plans.durable import scratch_path, stored
+from eigenframe.llm.common import shared_uri
+from eigenframe.plans.durable import stored
 
 CHUNK = 1 << 16
 NO_ID = "none"
@@ -210,8 +211,7 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Write archives of ``pages`` to the shared folder and read them back."""
-    folder = scratch_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = shared_uri(pages.sparkSession, "warc")
     return read(write(pages, folder, least), folder)
 
 

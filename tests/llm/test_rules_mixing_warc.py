@@ -10,7 +10,7 @@ from odd import no_documents, odd_documents, rows, words
 from pyspark.sql import functions as F
 
 from eigenframe.llm import divergence, mixing, warc
-from eigenframe.plans.durable import scratch_path
+from eigenframe.llm.common import shared_uri
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -190,7 +190,7 @@ def plain_records():
 @pytest.mark.parametrize("archive_bytes", [1 << 28, 500])
 def test_round_trip(spark, archive_bytes):
     pages = spark.createDataFrame([(*p, "extra", 1) for p in PAGES], "page_id long, url string, html string, digest string, size int").repartition(3)
-    folder = "file://" + scratch_path(spark, "warc").removeprefix("file://")
+    folder = shared_uri(spark, "warc")
     archives = warc.write(pages, folder, archive_bytes=archive_bytes)
     got = warc.read(archives, folder, payloads=True).collect()
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == plain_records()
