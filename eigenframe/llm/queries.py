@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
+from eigenframe.llm.divergence_sql import verdict_sql
 from eigenframe.plans.durable import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,10 +49,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "text", "removed_sentences", "removed_words")
 
 
-@query("op7_distribution_divergence")
+@query("op7_distribution_divergence", verdict_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return divergence.judge(docs, divergence.learn(docs))
+    judged = divergence.judge(docs, divergence.learn(docs))
+    return judged.select("doc_id", *divergence.BASE, "base_failed", "kept")
 
 
 @query("op8_language_id")
