@@ -188,7 +188,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     decided = decide(docs, **options)
     once = stored(decided.groupBy("k").agg(F.sum("copies").alias("_all"), F.max("n").alias("_n")).withColumnRenamed("k", "_mk"), "copies")
     rows = docs.withColumn("_row_k", _row_key())
-    rows = rows.join(once, F.col("_row_k") == F.col("_mk")).drop("_mk")
+    # A row per document: merged at every size, since nothing bounds it for a broadcast.
+    rows = rows.join(once.hint("merge"), F.col("_row_k") == F.col("_mk")).drop("_mk")
     single = rows.filter("_n = 1").withColumn("_times", F.col("_all"))
     repeated = dense_index(rows.filter("_n > 1"), ["doc_id"], ["_row_k"], "_place")
     share = F.floor(F.col("_all") / F.col("_n"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.llm.common import slices
-from eigenframe.plans.durable import stored
+from eigenframe.plans.durable import discard, stored
 
 END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\s*\n\s*")
 COMMA = re.compile(r"[,;:，；：]\s+")
@@ -104,33 +104,39 @@ def spans(text: str, least_sentences: int = 3, least_words: int = 20) -> list[tu
 
 
 def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), F.col("text"))
+    """24 bits that tell texts of one doc_id apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
+
+
+def row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
 def all_spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """(h, doc_id, key, first, stop, again): each span; ``again`` if the same document has it earlier."""
+    """(h, doc_id, at, again): each span; ``again`` if the same document has it earlier.
+
+    ``at`` packs the row key, the number of sentences (each has a word, so there are
+    at most ``least_words``) and the first sentence, to keep what is shuffled small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            h, doc, key, first, stop, again = [], [], [], [], [], []
+            h, doc, at, again = [], [], [], []
             for d, k, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 seen: set[int] = set()
                 found = spans(text or "", least_sentences, least_words)
                 for x, a, b in found:
-                    h.append(x), first.append(a), stop.append(b), again.append(x in seen)
+                    h.append(x), at.append(k << 40 | (b - a) << 32 | a), again.append(x in seen)
                     seen.add(x)
-                doc.extend([LAST if d is None else d] * len(found)), key.extend([k] * len(found))
-            yield pa.record_batch(
-                [
-                    pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()),
-                    pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(again, pa.bool_()),
-                ],
-                names=["h", "doc_id", "key", "first", "stop", "again"],
-            )
+                doc.extend([d] * len(found))
+            hashes = pa.array(np.array(h, dtype=np.uint64).view(np.int64))
+            columns = [hashes, pa.array(doc, pa.int64()), pa.array(np.array(at, dtype=np.uint64).view(np.int64)), pa.array(again, pa.bool_())]
+            yield pa.record_batch(columns, names=["h", "doc_id", "at", "again"])
 
-    schema = "h long, doc_id long, key long, first int, stop int, again boolean"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, schema)
+    if not 1 <= max(least_sentences, least_words) < 256:
+        raise ValueError("a span has fewer than 256 sentences and words")
+    rows = docs.select(row_id().alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "h long, doc_id long, at long, again boolean")
 
 
 def without(text: str, cover: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -151,7 +157,7 @@ RESULT = "struct<text:string,removed_sentences:int,removed_words:int>"
 
 def _cleaned(text: pa.Array, cover: pa.Array) -> pa.Array:
     found = [
-        None if t is None or c is None else without(t, [(x["first"], x["stop"]) for x in c])
+        None if t is None or c is None else without(t, [(x & 0xFFFFFFFF, (x & 0xFFFFFFFF) + (x >> 32 & 0xFF)) for x in c])
         for t, c in zip(text.to_pylist(), cover.to_pylist())
     ]
     columns = [[None if f is None else f[i] for f in found] for i in range(3)]
@@ -173,14 +179,18 @@ def remove_repeats(
     empty text. Columns of ``docs`` named as the two new ones are replaced.
     """
     found = stored(all_spans(docs, least_sentences, least_words), "spans")
-    fresh = found.filter(~F.col("again")).select("h", "doc_id", "key", "first", "stop")
+    fresh = found.filter(~F.col("again")).select("h", "doc_id", "at")
     owners = fresh.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1")
     owners = stored(owners.select("h", "owner"), "owners")
-    later = fresh.join(owners, "h").filter(F.col("doc_id") > F.col("owner")).select("key", "first", "stop")
-    hits = later.union(found.filter("again").select("key", "first", "stop"))
-    cover = stored(hits.groupBy("key").agg(F.collect_set(F.struct("first", "stop")).alias("_cover")), "cover")
-    keyed = docs.withColumn("_span_key", row_key())
-    joined = keyed.join(cover.withColumnRenamed("key", "_cover_key"), F.col("_span_key") == F.col("_cover_key"), "left")
+    later = fresh.join(owners, "h").filter(F.col("doc_id") > F.col("owner")).select("doc_id", "at")
+    hits = later.union(found.filter("again").select("doc_id", "at"))
+    key = F.shiftrightunsigned("at", 40).alias("_cover_key")
+    cover = hits.groupBy(F.col("doc_id").alias("_cover_id"), key).agg(F.collect_set("at").alias("_cover"))
+    cover = stored(cover, "cover")
+    discard(found), discard(owners)
+    keyed = docs.withColumns({"_span_id": row_id(), "_span_key": row_key()})
+    same = (F.col("_span_id") == F.col("_cover_id")) & (F.col("_span_key") == F.col("_cover_key"))
+    joined = keyed.join(cover, same, "left")
     changed = F.when(F.col("_cover").isNotNull(), F.col("text"))
     cut = joined.withColumn("_cut", F.arrow_udf(_cleaned, RESULT)(changed, F.col("_cover")))
     new = {
@@ -188,4 +198,4 @@ def remove_repeats(
         names[0]: F.coalesce("_cut.removed_sentences", F.lit(0)),
         names[1]: F.coalesce("_cut.removed_words", F.lit(0)),
     }
-    return cut.withColumns(new).drop("_span_key", "_cover_key", "_cover", "_cut")
+    return cut.withColumns(new).drop("_span_id", "_span_key", "_cover_id", "_cover_key", "_cover", "_cut")
