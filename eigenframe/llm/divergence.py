@@ -8,8 +8,12 @@ passes if one language accepts both; each histogram is only held against a text
 long enough to fill it.
 
 Counts of words and classes are summed per task before any shuffle. A reference
-is kept for each language with a hundredth of all words, so there are at most 100
-and what the expressions carry is bounded.
+is kept for each language with a hundredth of all words, and for each with
+``least_words`` words however small its share. A document whose own language has
+fewer is held against the classes alone, since the words of other languages say
+nothing about it. The largest ``INLINE`` references are constants of the
+expressions; all others are one broadcast row, met by the documents that the
+largest do not accept.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenframe.llm.common import SPACE
@@ -29,6 +33,7 @@ CLASSES = {
     "quote": r"[^\"`~@^_=+/\\\[\]{}]+", "symbol": r"[^#*$%&|<>]+",
 }
 HISTOGRAM = ("space", *CLASSES, "rest")
+INLINE = 16  # references that expressions carry as constants; the verdicts do not depend on it
 
 
 @dataclass(frozen=True)
@@ -48,6 +53,7 @@ class Rules:
     word_words: int = 50
     word_share: float = 0.005
     language_share: float = 0.01
+    least_words: int = 10_000  # a word of half a percent is then seen 50 times
 
 
 @dataclass(frozen=True)
@@ -56,6 +62,7 @@ class Reference:
     classes: tuple[float, ...]
     words: tuple[str, ...]
     shares: tuple[float, ...]  # of the words, and of all others together
+    n_words: int = 0
 
 
 def _measured(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -77,14 +84,14 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
     rows = _measured(known, ["lang"])
     sums = rows.groupBy("lang").agg(F.sum(F.size("_w")).alias("n"), *[F.sum(f"_c_{k}").alias(k) for k in HISTOGRAM])
     total = F.sum("n").over(_all())
-    langs = sums.withColumn("_all", total).filter((F.col("n") > 0) & (F.col("n") >= rules.language_share * F.col("_all")))
-    found = {r["lang"]: r for r in langs.collect()}
+    enough = (F.col("n") >= rules.language_share * F.col("_all")) | (F.col("n") >= rules.least_words)
+    found = {r["lang"]: r for r in sums.withColumn("_all", total).filter((F.col("n") > 0) & enough).collect()}
     if not found:
         return []
-    least = F.create_map(*[x for k, r in found.items() for x in (F.lit(k), F.lit(rules.word_share * r["n"]))])
+    least = docs.sparkSession.createDataFrame([(k, float(rules.word_share * r["n"])) for k, r in found.items()], "lang string, _least double")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = known.filter(F.col("lang").isin(*found)).select("lang", F.explode(F.split(F.lower(text), SPACE)).alias("w"))
-    common = words.filter("w <> ''").groupBy("lang", "w").count().filter(F.col("count") >= F.try_element_at(least, F.col("lang")))
+    words = known.join(F.broadcast(least.select("lang")), "lang", "left_semi").select("lang", F.explode(F.split(F.lower(text), SPACE)).alias("w"))
+    common = words.filter("w <> ''").groupBy("lang", "w").count().join(F.broadcast(least), "lang").filter("count >= _least")
     lists: dict[str, list] = {k: [] for k in found}
     for r in common.collect():
         lists[r["lang"]].append((-r["count"], r["w"]))
@@ -93,7 +100,8 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
         row, top = found[lang], sorted(lists[lang])
         chars = max(1, sum(row[k] for k in HISTOGRAM))
         shares = [-n / row["n"] for n, _ in top]
-        out.append(Reference(lang, tuple(row[k] / chars for k in HISTOGRAM), tuple(w for _, w in top), (*shares, max(0.0, 1 - sum(shares)))))
+        rest = max(0.0, 1 - sum(shares))
+        out.append(Reference(lang, tuple(row[k] / chars for k in HISTOGRAM), tuple(w for _, w in top), (*shares, rest), row["n"]))
     return out
 
 
@@ -103,7 +111,7 @@ def _all():
     return Window.partitionBy(F.lit(0))  # over the sums of the languages
 
 
-def distance(counts: Column, total: Column, shares: Sequence[float]) -> Column:
+def distance(counts: Column, total: Column, shares: Sequence[float] | Column) -> Column:
     """Jensen-Shannon distance of an array of counts to fixed shares; 1 if ``total`` is 0."""
 
     def term(c: Column, q: Column) -> Column:
@@ -111,7 +119,8 @@ def distance(counts: Column, total: Column, shares: Sequence[float]) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    terms = F.zip_with(counts, F.array(*[F.lit(float(s)) for s in shares]), term)
+    fixed = shares if isinstance(shares, Column) else F.array(*[F.lit(float(s)) for s in shares])
+    terms = F.zip_with(counts, fixed, term)
     sum_ = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     return F.when(total > 0, F.sqrt(F.greatest(sum_ / 2, F.lit(0.0)))).otherwise(1.0)
 
@@ -138,6 +147,23 @@ def _base(rows: DataFrame) -> DataFrame:
     ).drop("_lines", "_again")
 
 
+def _one_row(spark: SparkSession, references: Sequence[Reference]) -> DataFrame:
+    """One row with the array ``_others`` of all ``references``."""
+    fields = "struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>>"
+    packed = [(r.lang, [float(x) for x in r.classes], list(r.words), [float(x) for x in r.shares]) for r in references]
+    return spark.createDataFrame([(packed,)], f"_others array<{fields}>")
+
+
+def _pair(r: Column) -> dict[str, Column]:
+    """Both distances of a row to a reference of ``_one_row``; only words the two share are counted."""
+    shared = F.array_intersect(r["words"], "_lower")
+    here = F.filter("_lower", lambda x: F.array_contains(shared, x))
+    own = F.transform(r["words"], lambda w: F.size(F.filter(here, lambda x: x == w)).cast("long"))
+    rest = F.col("n_words") - F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+    by_word = distance(F.concat(own, F.array(rest)), F.col("n_words"), r["shares"])
+    return {"c": distance(F.col("_classes"), F.col("_n"), r["classes"]), "w": by_word}
+
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -146,10 +172,15 @@ def judge(docs: DataFrame, references: list[Reference], rules: Rules = Rules())
 
     The distances are those to the nearest language. A NULL or empty text has no
     words and fails the base rules. Without references (no row with a language) the
-    distances are NULL and the base rules decide. Rows with a NULL or repeated id
-    are judged like any others; other columns are ignored.
+    distances are NULL and the base rules decide. A row with a ``lang`` that has no
+    reference passes if the classes of any reference accept it. Rows with a NULL or
+    repeated id are judged like any others; columns beyond doc_id, text and lang are
+    ignored, and without lang all rows count as of unknown language.
     """
-    rows = _base(_measured(docs, ["doc_id"]))
+    references = sorted(references, key=lambda r: (-r.n_words, r.lang))
+    references, others = references[:INLINE], references[INLINE:]
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = _base(_measured(docs.withColumn("_lang", lang), ["doc_id", "_lang"]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     every = sorted({w for r in references for w in r.words})
     if every:
@@ -160,7 +191,7 @@ def judge(docs: DataFrame, references: list[Reference], rules: Rules = Rules())
         rows = rows.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_common") - 1), first))
         until = lambda k: F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_common"))
         rows = rows.withColumn("_counts", F.transform("_starts", lambda i, k: until(k) - i - 1)).drop("_common", "_starts")
-    rows = rows.drop("_t", "_w")
+    rows = rows.drop("_t", *([] if others else ["_w"]))
     classes = F.array(*[F.col(f"_c_{k}") for k in HISTOGRAM])
     rows = rows.withColumn("_classes", classes)
     place = {w: i for i, w in enumerate(every)}
@@ -173,14 +204,28 @@ def judge(docs: DataFrame, references: list[Reference], rules: Rules = Rules())
     if pairs:
         rows = rows.withColumn("_pairs", F.array(*pairs))
 
+        def class_accepts(x: Column) -> Column:
+            return (F.col("_n") < rules.class_chars) | (x["c"] <= rules.class_limit)
+
         def accepts(x: Column) -> Column:
-            by_class = (F.col("_n") < rules.class_chars) | (x["c"] <= rules.class_limit)
             limit = F.greatest(F.lit(rules.word_limit), rules.short_base + rules.short_slope / F.sqrt("n_words"))
-            by_word = (F.col("n_words") < rules.word_words) | (x["w"] <= limit)
-            return by_class & by_word
+            return class_accepts(x) & ((F.col("n_words") < rules.word_words) | (x["w"] <= limit))
 
         nearest = lambda k: F.array_min(F.transform("_pairs", lambda x: x[k]))
-        rows = rows.withColumns({"_fine": F.exists("_pairs", accepts), "class_distance": nearest("c"), "word_distance": nearest("w")})
+        fine, by_class, by_word = F.exists("_pairs", accepts), nearest("c"), nearest("w")
+        known = F.col("_lang").isNull() | F.col("_lang").isin(*[r.lang for r in references])
+        alien = F.exists("_pairs", class_accepts)
+        if others:
+            rows = rows.crossJoin(F.broadcast(_one_row(docs.sparkSession, others))).withColumn("_lower", F.transform("_w", F.lower))
+            own = F.filter("_others", lambda r: r["lang"] == F.col("_lang"))
+            known = known | F.exists("_others", lambda r: r["lang"] == F.col("_lang"))
+            # Most documents end here before the other languages are asked, their own first.
+            passes = lambda r: accepts(_pair(r))
+            fine = fine | (~failed & (F.exists(own, passes) | F.exists("_others", passes)))
+            alien = alien | F.exists("_others", lambda r: class_accepts(_pair(r)))
+            by_class = F.least(by_class, F.array_min(F.transform("_others", lambda r: _pair(r)["c"])))
+            by_word = F.least(by_word, F.array_min(F.transform("_others", lambda r: _pair(r)["w"])))
+        rows = rows.withColumns({"_fine": fine | (~known & alien), "class_distance": by_class, "word_distance": by_word})
     else:
         rows = rows.withColumns({"_fine": F.lit(True), "class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
     verdict = {"base_failed": failed, "kept": ~failed & F.col("_fine")}

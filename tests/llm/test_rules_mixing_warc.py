@@ -86,6 +86,24 @@ def test_references_and_verdicts(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.mark.parametrize("inline", [1, 16])
+def test_small_languages_are_held_against_themselves(spark, monkeypatch, inline):
+    monkeypatch.setattr(divergence, "INLINE", inline)
+    rng = np.random.RandomState(6)
+    def text(common, rare, n=150):
+        return " ".join(rng.choice(common) if rng.rand() < 0.4 else "".join(rng.choice(list(rare), 6)) for _ in range(n)) + "."
+    big = [(i, text(["the", "of", "and"], "abcdefgh", 900), "en") for i in range(120)]
+    small = [(1000 + i, text(["og", "er"], "klmnop"), "no") for i in range(5)] + [(1010 + i, text(["ja", "ei", "on"], "qrstu"), "fi") for i in range(5)]
+    lone = [(1020, text(["ka", "te"], "vwxyz"), "mi"), (1021, text(["og", "er"], "klmnop"), None)]
+    junk = [(2000, " ".join("xk%d|" % i for i in range(120)), "mi"), (2001, text(["zu", "zo"], "abc"), "no"), (2002, text(["zu", "zo"], "abc"), None)]
+    docs = spark.createDataFrame(big + small + lone + junk, "doc_id long, text string, lang string")
+    rules = divergence.Rules(least_words=700)
+    refs = divergence.learn(docs, rules)
+    assert [r.lang for r in refs] == ["en", "fi", "no"]
+    got = {r["doc_id"]: r["kept"] for r in divergence.judge(docs, refs, rules).collect()}
+    assert {d for d, kept in got.items() if not kept} == {2000, 2001, 2002}
+
+
 def test_divergence_without_documents(spark):
     assert divergence.learn(no_documents(spark)) == []
     assert divergence.judge(no_documents(spark), []).collect() == []
