@@ -33,7 +33,6 @@ END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\s*\n\s*")
 COMMA = re.compile(r"[,;:，；：]\s+")
 GAP = re.compile(r"\s+")
 LONG = 12  # words a sentence may have before it is cut further
-LAST = (1 << 63) - 1
 
 
 def _cut_by_words(text: str, a: int, b: int) -> list[int]:
@@ -104,39 +103,35 @@ def spans(text: str, least_sentences: int = 3, least_words: int = 20) -> list[tu
 
 
 def row_key() -> Column:
-    """24 bits that tell texts of one doc_id apart."""
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))
-
-
-def row_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    """Tells texts of one doc_id apart, and orders those without one."""
+    return F.xxhash64("text")
 
 
 def all_spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """(h, doc_id, at, again): each span; ``again`` if the same document has it earlier.
+    """(h, doc_id, key, at, again): each span; ``again`` if the same document has it earlier.
 
-    ``at`` packs the row key, the number of sentences (each has a word, so there are
-    at most ``least_words``) and the first sentence, to keep what is shuffled small.
+    ``at`` packs the number of sentences (each has a word, so there are at most
+    ``least_words``) and the first sentence, to keep what is shuffled small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            h, doc, at, again = [], [], [], []
+            h, doc, key, at, again = [], [], [], [], []
             for d, k, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 seen: set[int] = set()
                 found = spans(text or "", least_sentences, least_words)
                 for x, a, b in found:
-                    h.append(x), at.append(k << 40 | (b - a) << 32 | a), again.append(x in seen)
+                    h.append(x), at.append((b - a) << 32 | a), again.append(x in seen)
                     seen.add(x)
-                doc.extend([d] * len(found))
+                doc.extend([d] * len(found)), key.extend([k] * len(found))
             hashes = pa.array(np.array(h, dtype=np.uint64).view(np.int64))
-            columns = [hashes, pa.array(doc, pa.int64()), pa.array(np.array(at, dtype=np.uint64).view(np.int64)), pa.array(again, pa.bool_())]
-            yield pa.record_batch(columns, names=["h", "doc_id", "at", "again"])
+            columns = [hashes, *(pa.array(x, pa.int64()) for x in (doc, key, at)), pa.array(again, pa.bool_())]
+            yield pa.record_batch(columns, names=["h", "doc_id", "key", "at", "again"])
 
     if not 1 <= max(least_sentences, least_words) < 256:
         raise ValueError("a span has fewer than 256 sentences and words")
-    rows = docs.select(row_id().alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "h long, doc_id long, at long, again boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "h long, doc_id long, key long, at long, again boolean")
 
 
 def without(text: str, cover: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -174,22 +169,24 @@ def remove_repeats(
 
     Every row and every other column stays as it is. A NULL text stays NULL, and a
     text with too few sentences or words for a span stays whole. Rows of one doc_id
-    count as one document, so none of them is cut for the sake of another; a NULL
-    doc_id comes after all others. A document all of whose sentences repeat keeps an
+    count as one document, so none of them is cut for the sake of another. Rows with a
+    NULL doc_id come after all others, by the hash of their text, each text a document
+    of its own (so rows that repeat such a text are not cut for each other). A document all of whose sentences repeat keeps an
     empty text. Columns of ``docs`` named as the two new ones are replaced.
     """
     found = stored(all_spans(docs, least_sentences, least_words), "spans")
-    fresh = found.filter(~F.col("again")).select("h", "doc_id", "at")
-    owners = fresh.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1")
-    owners = stored(owners.select("h", "owner"), "owners")
-    later = fresh.join(owners, "h").filter(F.col("doc_id") > F.col("owner")).select("doc_id", "at")
-    hits = later.union(found.filter("again").select("doc_id", "at"))
-    key = F.shiftrightunsigned("at", 40).alias("_cover_key")
-    cover = hits.groupBy(F.col("doc_id").alias("_cover_id"), key).agg(F.collect_set("at").alias("_cover"))
+    fresh = found.filter(~F.col("again")).select("h", "doc_id", "key", "at")
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("key")))
+    owners = fresh.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), nameless.alias("owner_key")).filter("n > 1")
+    owners = stored(owners.select("h", "owner", F.when(F.col("owner").isNull(), F.col("owner_key")).alias("owner_key")), "owners")
+    after = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") > F.col("owner")).otherwise(F.col("owner").isNotNull() | (F.col("key") > F.col("owner_key")))
+    later = fresh.join(owners, "h").filter(after).select("doc_id", "key", "at")
+    hits = later.union(found.filter("again").select("doc_id", "key", "at"))
+    cover = hits.groupBy(F.col("doc_id").alias("_cover_id"), F.col("key").alias("_cover_key")).agg(F.collect_set("at").alias("_cover"))
     cover = stored(cover, "cover")
     discard(found), discard(owners)
-    keyed = docs.withColumns({"_span_id": row_id(), "_span_key": row_key()})
-    same = (F.col("_span_id") == F.col("_cover_id")) & (F.col("_span_key") == F.col("_cover_key"))
+    keyed = docs.withColumns({"_span_id": F.col("doc_id").cast("long"), "_span_key": row_key()})
+    same = F.col("_span_id").eqNullSafe(F.col("_cover_id")) & (F.col("_span_key") == F.col("_cover_key"))
     joined = keyed.join(cover, same, "left")
     changed = F.when(F.col("_cover").isNotNull(), F.col("text"))
     cut = joined.withColumn("_cut", F.arrow_udf(_cleaned, RESULT)(changed, F.col("_cover")))

@@ -172,3 +172,24 @@ def test_remove_repeats_of_odd_documents(spark):
     out = got.collect()
     assert len(out) == len(rows()) and sum(r["text"] is None for r in out) == 2
     assert spans.remove_repeats(no_documents(spark)).collect() == []
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    passage = words(60, 30)
+    docs = [f"{words(80, s)}\n{passage}\n{words(80, s + 1)}" for s in (60, 70, 80)]
+    got = [r["removed_words"] for r in spans.remove_repeats(spark.createDataFrame([(None, t) for t in docs], "doc_id long, text string")).collect()]
+    assert sorted(n >= 40 for n in got) == [False, True, True] and min(got) == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_told_apart(spark, doc_id):
+    passage, seen = words(60, 90), {}
+    for i in range(100_000):  # two texts whose hashes agree in 24 bits
+        text = f"{passage if i % 2 else words(60, 91)}\nlast {i}."
+        other = seen.setdefault(xxhash.xxh64_intdigest(text, 42) & 0xFFFFFF, (i, text))
+        if (i - other[0]) % 2:
+            break
+    lone, repeated = sorted((text, other[1]), key=lambda t: passage in t)
+    docs = [(1, passage), (doc_id, lone), (doc_id, repeated)]
+    got = {r["text"]: r["removed_words"] for r in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[lone] == 0 and got[passage] == 0 and repeated not in got
