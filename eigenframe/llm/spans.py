@@ -4,7 +4,9 @@ A text is cut into sentences; a long sentence is cut further at its commas, and
 stretch that is still long after words chosen by their own hash, so that a passage
 pasted into the middle of another sentence is cut the same way in every document.
 From each sentence starts one span: the fewest following sentences, at least
-``sentences`` of them, that hold ``words`` words. Spans are hashed over their words
+``sentences`` of them, that hold ``words`` words. Full-width marks need no white
+space after them, and in scripts written without spaces between words, lengths are
+measured and stretches cut by characters. Spans are hashed over their words
 in lower case. The first of equal spans, by doc_id and then by place, stays; every
 sentence under any other is removed.
 
@@ -17,6 +19,7 @@ stored tables, so AQE may split a passage that very many documents share.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,24 +32,45 @@ from pyspark.sql import functions as F
 from eigenframe.llm.common import slices
 from eigenframe.plans.durable import discard, stored
 
-END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\s*\n\s*")
-COMMA = re.compile(r"[,;:，；：]\s+")
-GAP = re.compile(r"\s+")
+#: Characters of scripts without spaces between words: about two make a word, or five.
+DENSE = "々〆〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+LOOSE = "ก-๎ກ-໎ໜ-ໟက-ဿၐ-႟ក-៓"
+PAIRED, SPELLED = re.compile(f"[{DENSE}]"), re.compile(f"[{LOOSE}]")
+UNSPACED = re.compile(f"[{DENSE}{LOOSE}]")
+WIDE = re.compile(f"[{DENSE}{LOOSE}。！？｡，；：、､။៕។]")  # in a text with one of these, parts may end inside words
+END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[。！？｡။៕។]+[\"'”’)\]」』）】》〉］｣]*\s*|\s*\n\s*")
+COMMA = re.compile(r"[,;:]\s+|[，；：、､]\s*")
+GAP = re.compile(r"\s+|$")
 LONG = 12  # words a sentence may have before it is cut further
+GRAM = 4  # characters whose hash decides on a cut inside a word without spaces
+
+
+def _units(part: str) -> int:
+    """The words of ``part``, a long one without spaces counted by its characters."""
+    return sum(max(1, (5 * len(PAIRED.findall(w)) + 2 * len(SPELLED.findall(w)) + 9) // 10) for w in part.split())
 
 
 def _cut_by_words(text: str, a: int, b: int) -> list[int]:
-    """Ends of the parts of a stretch without a mark: after words whose hash is a multiple of four."""
+    """Ends of the parts of a stretch without a mark: after words whose hash is a multiple of four.
+
+    Where a word has no spaces around it, after runs of characters whose hash is a multiple of eight.
+    """
     ends, at = [], a
     for gap in GAP.finditer(text, a, b):
-        if gap.start() > at and zlib.crc32(text[at : gap.start()].lower().encode()) % 4 == 0:
+        word = text[at : gap.start()]
+        if len(word) > GRAM and not word.isascii() and UNSPACED.search(word):
+            for i in range(GRAM, len(word)):
+                if UNSPACED.match(word, i - 1) and zlib.crc32(word[i - GRAM : i].lower().encode("utf-8", "surrogatepass")) % 8 == 0:
+                    if unicodedata.category(word[i])[0] != "M":  # a mark stays with its letter
+                        ends.append(at + i)
+        if gap.end() > gap.start() > at and zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % 4 == 0:
             ends.append(gap.end())
         at = gap.end()
     return ends
 
 
 def sentences(text: str) -> tuple[list[int], list[int]]:
-    """Ends of the sentences of ``text`` as places in it, and the number of words of each.
+    """Ends of the sentences of ``text`` as places in it, and the number of words of each (``_units`` in scripts without spaces).
 
     White space after a sentence belongs to it; a part without a word joins the one before it.
     """
@@ -60,8 +84,10 @@ def sentences(text: str) -> tuple[list[int], list[int]]:
             ends[-1] = end
         at = end if n or ends else at
 
+    unspaced = not text.isascii() and UNSPACED.search(text) is not None
+
     def words(a: int, b: int) -> int:
-        return len(text[a:b].split())
+        return _units(text[a:b]) if unspaced else len(text[a:b].split())
 
     for stop in [*(m.end() for m in END.finditer(text)), len(text)]:
         if stop <= at:
@@ -87,21 +113,31 @@ def spans(text: str, least_sentences: int = 3, least_words: int = 20) -> list[tu
     total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))) if counts else np.zeros(1, dtype=np.int64)
     if len(counts) < least_sentences or total[-1] < least_words:
         return []
-    words = text.lower().encode("utf-8", "surrogatepass").split() if text.isascii() else [w.encode("utf-8", "surrogatepass") for w in text.lower().split()]
-    if len(words) != total[-1]:  # lower case, or a rare control character, changed how words part
-        words = [w.lower().encode("utf-8", "surrogatepass") for w in text.split()]
-    joined = b" ".join(words)
-    tail = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    if not text.isascii() and WIDE.search(text):
+        parts = [" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+        tail = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+        joined, total_of = b" ".join(parts), np.arange(len(parts) + 1)
+    else:
+        joined, tail = _words_joined(text, total)
+        total_of = total
     begin = np.concatenate(([0], tail[:-1]))
     n = len(counts)
     stop = np.maximum(np.searchsorted(total, total[:-1] + least_words), np.arange(n) + least_sentences)
     ok = np.flatnonzero(stop <= n)
-    first, last = total[:-1][ok], total[stop[ok]] - 1
+    first, last = total_of[:-1][ok], total_of[stop[ok]] - 1
     digest = xxhash.xxh64_intdigest
     found = [digest(joined[a:b]) for a, b in zip(begin[first].tolist(), (tail[last] - 1).tolist())]
     return list(zip(found, ok.tolist(), stop[ok].tolist()))
 
 
+def _words_joined(text: str, total: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words of ``text`` in lower case with single spaces, and where each ends, its space included."""
+    words = text.lower().encode("utf-8", "surrogatepass").split() if text.isascii() else [w.encode("utf-8", "surrogatepass") for w in text.lower().split()]
+    if len(words) != total[-1]:  # lower case, or a rare control character, changed how words part
+        words = [w.lower().encode("utf-8", "surrogatepass") for w in text.split()]
+    return b" ".join(words), np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+
+
 def row_key() -> Column:
     """Tells texts of one doc_id apart, and orders those without one."""
     return F.xxhash64("text")
@@ -168,7 +204,8 @@ def remove_repeats(
     """``docs`` with repeated passages cut from ``text``, plus what was removed: two columns called ``names``.
 
     Every row and every other column stays as it is. A NULL text stays NULL, and a
-    text with too few sentences or words for a span stays whole. Rows of one doc_id
+    text with too few sentences or words for a span stays whole. In scripts without
+    spaces two characters count as a word (five in Thai, Lao, Burmese and Khmer). Rows of one doc_id
     count as one document, so none of them is cut for the sake of another. Rows with a
     NULL doc_id come after all others, by the hash of their text, each text a document
     of its own (so rows that repeat such a text are not cut for each other). A document all of whose sentences repeat keeps an

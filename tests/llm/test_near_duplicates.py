@@ -193,3 +193,33 @@ def test_rows_of_one_id_are_told_apart(spark, doc_id):
     docs = [(1, passage), (doc_id, lone), (doc_id, repeated)]
     got = {r["text"]: r["removed_words"] for r in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[lone] == 0 and got[passage] == 0 and repeated not in got
+
+
+def unspaced(n, seed, letters, marks):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) + (rng.choice(marks) if marks and rng.random() < 0.08 else "") for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "first,last,marks", [(0x4E00, 0x9FFF, "，。？"), (0x4E00, 0x9FFF, ""), (0x3041, 0x3096, "、。"), (0x0E01, 0x0E2E, ""), (0x0E01, 0x0E2E, " ")],
+    ids=["han", "han without marks", "kana", "thai", "thai phrases"],
+)
+def test_repeats_in_scripts_without_spaces(spark, first, last, marks):
+    letters = [chr(c) for c in range(first, last + 1)]
+    passage, own = unspaced(400, 1, letters, marks), [unspaced(300, s, letters, marks) for s in range(2, 8)]
+    docs = [(i, own[2 * i] + passage + own[2 * i + 1]) for i in range(3)]
+    for _, t in docs:
+        ends, counts = spans.sentences(t)
+        assert ends == sorted(set(ends)) and ends[-1] == len(t) and len(ends) == len(counts) > 10
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1]
+    for i in (1, 2):
+        assert passage[100:300] not in got[i] and len(got[i]) < len(docs[i][1]) - 250
+        assert own[2 * i][:200] in got[i] and own[2 * i + 1][100:].rstrip() in got[i]
+
+
+def test_latin_spans_beside_unspaced_text():
+    plain = words(200, 5)
+    alone, beside = ({x[0] for x in spans.spans(t)} for t in (plain, plain + "\n数据数据。数据数据。"))
+    assert alone <= beside
+    assert spans.spans("abc。def。ghi jkl。" * 20)  # full-width marks inside words of other scripts
