@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eigenframe.llm import divergence, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
+from eigenframe.llm import divergence, fill_middle, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.llm.divergence_sql import verdict_sql
 from eigenframe.plans.durable import stored
@@ -102,6 +102,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), tokenizer())
 
 
+@query(
+    "op11_fill_in_middle",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+       u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         [('0x' || substr(h, 8 * k + 1, 8))::BIGINT for k in range(4)] AS r FROM d),
+       c AS (SELECT *, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+              WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+       x AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+       SELECT doc_id, len(w) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+         CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+         sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END)
+           AS output_sha256, sha256(t) AS restored_sha256 FROM x""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = digest(fill_middle.restored("output", "form")).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), back)
+
+
 @query("pipeline")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
