@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eigenframe.llm import divergence, fill_middle, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
+from eigenframe.llm import audit, divergence, fill_middle, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.llm.divergence_sql import verdict_sql
 from eigenframe.plans.durable import stored
@@ -123,6 +123,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), back)
 
 
+@query(
+    "op12_source_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+       t AS MATERIALIZED (SELECT lang, source, term, rid, count(*) AS n FROM (SELECT lang, source, rid, unnest(w) AS term FROM d) GROUP BY ALL),
+       k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(*) >= 10),
+       v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+       c AS MATERIALIZED (SELECT lang, source, term, sum(t.n)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+       g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) g
+         LEFT JOIN c USING (lang, source) GROUP BY ALL),
+       x AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.n + 2 * v.v) AS p,
+         1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q FROM g JOIN k USING (lang) JOIN v USING (lang)
+         LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+       f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+         FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+       r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+         UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM x WHERE n > 0 AND p > q),
+       o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+       SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.audit(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
