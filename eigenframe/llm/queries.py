@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eigenframe.llm import audit, divergence, fill_middle, langid, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
+from eigenframe.llm import audit, divergence, fill_middle, langid, main_text, mixing, neighbours, packing, quality, simhash, spans, token_files, warc
 from eigenframe.llm.common import remainder, table
 from eigenframe.llm.divergence_sql import verdict_sql
 from eigenframe.plans.durable import stored
@@ -148,6 +148,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit(table(spark, sf, "documents"))
 
 
+@query(
+    "op13_main_text",
+    r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '\s+', ' ', 'g') AS h FROM pages),
+       b AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(h, '</?(p|h1)>', chr(10), 'g'), '<br>', ' '), '<[^>]*>', '', 'g') AS h FROM a),
+       c AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM b),
+       d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(h, chr(10)),
+         lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+       SELECT page_id, url, text, length(text) AS n_chars FROM d""",  # pages of the given tables have one article, of headings and paragraphs
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
 @query("pipeline")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
