@@ -152,7 +152,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "op13_main_text",
     r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '\s+', ' ', 'g') AS h FROM pages),
        b AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(h, '</?(p|h1)>', chr(10), 'g'), '<br>', ' '), '<[^>]*>', '', 'g') AS h FROM a),
-       c AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM b),
+       c AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS h FROM b),
        d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(h, chr(10)),
          lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
        SELECT page_id, url, text, length(text) AS n_chars FROM d""",  # pages of the given tables have one article, of headings and paragraphs
