@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenframe.llm import mixing, packing, quality, simhash, spans
+from eigenframe.llm import mixing, near_copies, packing, quality, spans
 from eigenframe.llm.common import WORD, remainder, table
 from eigenframe.plans.durable import stored
 
@@ -30,8 +30,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near duplicates, that with the smallest id."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies, that with the smallest id: SimHash and band candidates, each link verified."""
+    return near_copies.first_of_each(docs, words=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
