@@ -257,6 +257,22 @@ def _(spark, sf):
     return joins.interval_join(df, "o_orderdate", periods, "a", "b", ["p"]).select("o_orderkey", "p")
 
 
+# As many periods as line items, most of a few weeks, some of them open; each order in the first that holds its date.
+@check(
+    "interval_join_many",
+    """WITH p AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber AS p, l_shipdate AS a, CASE WHEN l_partkey % 397 <> 0 THEN l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY END AS b
+         FROM lineitem)
+       SELECT o_orderkey, min(p) AS p FROM orders LEFT JOIN p ON o_orderdate >= a AND (b IS NULL OR o_orderdate < b) GROUP BY o_orderkey""",
+)
+def _(spark, sf):
+    number = (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("p")
+    ends = [F.col("l_shipdate").alias("a"), F.when(F.col("l_partkey") % 397 != 0, F.expr("l_shipdate + make_dt_interval(cast(l_quantity as int))")).alias("b")]
+    periods = table(spark, sf, "lineitem").select(number, *ends)
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    out = joins.interval_join(df, "o_orderdate", periods, "a", "b", ["p"])
+    return out.select("o_orderkey", "p")
+
+
 @check("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(spark, sf):
     other = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eigenframe.plans.ranges import count_upto, dense_index
+from eigenframe.plans.durable import stored
+from eigenframe.plans.intervals import NONE, RANGE_ENDS, disjoint, sweep
+from eigenframe.plans.ranges import GROUP_ROWS, count_upto, dense_index, fill_along
+from eigenframe.roles import unique_name
 
-SMALL_PERIODS = 4096  # periods resolved on the driver and broadcast
-_BUCKETS = 1024
+SMALL_PERIODS = 4096  # periods cut on the driver and broadcast; more give the same result in ranges
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], **kw):
@@ -28,72 +30,56 @@ def align_left(primary: DataFrame, factors: DataFrame, on: str) -> DataFrame:
 
 
 def interval_join(
-    df: DataFrame,
-    at: str,
-    periods: DataFrame,
-    start: str,
-    end: str,
-    order_by: Sequence[str],
-    id_col: str | None = None,
+    df: DataFrame, at: str, periods: DataFrame, start: str, end: str, order_by: Sequence[str], group_rows: int = GROUP_ROWS, range_ends: int = RANGE_ENDS
 ) -> DataFrame:
-    """Each row with the first period (in ``order_by`` order) holding ``start <= at < end``.
-
-    A NULL end is open; rows no period covers get NULLs. Few periods are cut into
-    disjoint segments, so a row meets one at most and never moves. Many periods
-    are matched by time bucket, and the first match is chosen per ``id_col``.
+    """Each row with the first period (in ``order_by`` order, then by all its columns) holding ``start <= at < end``.
+
+    A NULL end is open; rows no period covers get NULLs, and so do rows without a time;
+    repeated rows stay. Periods are cut into disjoint segments, so a row meets one at most.
+    Few periods are cut on the driver and broadcast, and rows never move. More of them
+    are cut range by range, and rows and segments are sorted together, also in ranges: a
+    row takes the last segment before it, which the range before hands on if need be.
+    A time that a third of the rows share is spread over ranges like any other.
     """
-    extra = [c for c in periods.columns]
-    seconds = F.col(at).cast("timestamp").cast("double")
+    extra = list(periods.columns)
     spans = periods.select(
-        *extra,
-        F.col(start).cast("timestamp").cast("double").alias("_a"),
-        F.coalesce(F.col(end).cast("timestamp").cast("double"), F.lit(float("inf"))).alias("_b"),
-    )
-    few = spans.orderBy(*order_by).limit(SMALL_PERIODS + 1).collect()
-    rows = df.withColumn("_at", seconds)
+        F.struct(*[F.col(f"`{c}`") for c in extra]).alias("p"),
+        F.col(start).cast("timestamp").cast("double").alias("a"),
+        F.coalesce(F.col(end).cast("timestamp").cast("double"), F.lit(float("inf"))).alias("b"),
+    ).filter("a < b")
+    order = [f"p.`{c}`" for c in dict.fromkeys([*order_by, *extra])]
+    few = spans.orderBy(*order).limit(SMALL_PERIODS + 1).collect()
     if len(few) <= SMALL_PERIODS:
-        return _by_segments(rows, few, spans, extra)
-    if id_col is None:
-        raise ValueError(f"more than {SMALL_PERIODS} periods: name a unique id_col")
-    return _by_buckets(rows, spans, extra, order_by, id_col)
-
-
-def _by_segments(rows, few, spans, extra):
-    cuts = sorted({r["_a"] for r in few} | {r["_b"] for r in few if r["_b"] != float("inf")})
-    starts = sorted(range(len(few)), key=lambda i: few[i]["_a"])
-    active: list[int] = []
-    segments, nxt = [], 0
-    for i, lo in enumerate(cuts):
-        while nxt < len(starts) and few[starts[nxt]]["_a"] <= lo:
-            heapq.heappush(active, starts[nxt])
-            nxt += 1
-        while active and few[active[0]]["_b"] <= lo:
-            heapq.heappop(active)
-        if active:
-            segments.append((i + 1, *few[active[0]][: len(extra)]))
-    schema = "_seg int, " + ", ".join(f"`_p_{c}` {spans.schema[c].dataType.simpleString()}" for c in extra)
-    table = rows.sparkSession.createDataFrame(segments, schema)
+        return _by_segments(df, at, few, spans, extra)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.col(at).cast("timestamp").cast("double").alias("t"))
+    matched = _by_ranges(rows, spans, order, group_rows, range_ends)
+    return matched.select(*[F.col("r")[c].alias(c) for c in df.columns], *[F.col("p")[c].alias(c) for c in extra])
+
+
+def _by_segments(df: DataFrame, at: str, few: list, spans: DataFrame, extra: list[str]) -> DataFrame:
+    numbers = np.array([(r["a"], r["b"], i) for i, r in enumerate(few)], dtype=float).reshape(-1, 3)
+    cuts, first = sweep(np.iinfo(np.int64).max, numbers[:, 0], numbers[:, 1], numbers[:, 2].astype(np.int64))
+    segments = [(i + 1, few[k]["p"]) for i, k in enumerate(first) if k != NONE]
+    t, seg, period = (unique_name(c, [*df.columns, *extra]) for c in ("t", "seg", "period"))
+    table = df.sparkSession.createDataFrame(segments, f"`{seg}` int, `{period}` {spans.schema['p'].dataType.simpleString()}")
     bounds = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-    keyed = rows.withColumn("_seg", count_upto(bounds, len(cuts), F.col("_at")))
-    out = keyed.join(F.broadcast(table), "_seg", "left")
-    return out.select(*[rows[c] for c in rows.columns if c != "_at"], *[F.col(f"_p_{c}").alias(c) for c in extra])
-
-
-def _by_buckets(rows, spans, extra, order_by, id_col):
-    edge = rows.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
-    lo, width = edge["lo"], max((edge["hi"] - edge["lo"]) / _BUCKETS, 1e-6)
-    slot = lambda c: F.floor((F.greatest(F.least(c, F.lit(edge["hi"])), F.lit(lo)) - F.lit(lo)) / width)
-    spread = spans.filter((F.col("_b") > lo) & (F.col("_a") <= edge["hi"])).withColumn(
-        "_slot", F.explode(F.sequence(slot(F.col("_a")), slot(F.col("_b"))))
-    )
-    spread = spread.select("_slot", "_a", "_b", F.struct(*order_by).alias("_ord"), F.struct(*extra).alias("_p"))
-    keyed = rows.withColumn("_slot", slot(F.col("_at")))
-    hit = (keyed["_slot"] == spread["_slot"]) & (keyed["_at"] >= spread["_a"]) & (keyed["_at"] < spread["_b"])
-    first = (
-        keyed.select(id_col, "_slot", "_at").join(spread, hit).groupBy(id_col).agg(F.min_by("_p", "_ord").alias("_p"))
-    )
-    out = rows.drop("_at").join(first, id_col, "left")
-    return out.select(*[c for c in out.columns if c != "_p"], *[F.col("_p")[c].alias(c) for c in extra])
+    keyed = df.withColumn(t, F.col(at).cast("timestamp").cast("double")).withColumn(seg, count_upto(bounds, len(cuts), F.col(t)))
+    out = keyed.join(F.broadcast(table), seg, "left")
+    return out.select(*[keyed[f"`{c}`"] for c in df.columns], *[F.col(period)[c].alias(c) for c in extra])
+
+
+def _by_ranges(rows: DataFrame, spans: DataFrame, order: list[str], group_rows: int, range_ends: int) -> DataFrame:
+    listed = spans.select("p", "a", "b", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    numbered = stored(dense_index(listed, [f"_o{i}" for i in range(len(order))], name="number", group_rows=group_rows).select("number", "p", "a", "b"), "periods")
+    segments = disjoint(numbered.select("number", "a", "b"), range_ends)
+    named = segments.join(numbered.select(F.col("number").alias("_n"), "p"), F.col("number") == F.col("_n"), "left")
+    # A gap is a segment of its own, whose period is NULL.
+    marks = named.select(F.lit(None).cast(rows.schema["r"].dataType).alias("r"), F.col("start").alias("t"), F.lit(0).alias("kind"), F.struct("p").alias("s"))
+    asked = rows.select("r", "t", F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["s"].dataType).alias("s"))
+    # Rows of one time are told apart by their hash and by where they were read, so that they spread.
+    spread = marks.union(asked).withColumn("h", F.xxhash64("r")).withColumn("w", F.spark_partition_id())
+    filled = fill_along(spread, ["s"], ["t", "kind", "h", "w"], group_rows=group_rows)
+    return filled.filter("kind = 1").select("r", F.col("s.p").alias("p"))
 
 
 def rows_without(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:

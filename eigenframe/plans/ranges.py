@@ -52,11 +52,14 @@ def count_upto(table: Column, size: int, key: Column) -> Column:
     """How many entries of a sorted constant array are <= key, by binary search."""
     steps = [1 << i for i in range(int(math.log2(max(size, 1))), -1, -1)]
 
+    # The key travels with the count: an expression that a lambda took from outside may be inlined into it twice.
     def probe(acc: Column, step: Column) -> Column:
-        ahead = acc + step
-        return F.when((ahead <= size) & (F.try_element_at(table, ahead) <= key), ahead).otherwise(acc)
+        ahead = acc["n"] + step
+        n = F.when((ahead <= size) & (F.try_element_at(table, ahead) <= acc["k"]), ahead).otherwise(acc["n"])
+        return F.struct(n.alias("n"), acc["k"].alias("k"))
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+    start = F.struct(F.lit(0).alias("n"), key.alias("k"))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, probe, lambda acc: acc["n"])
 
 
 def _bounds(df: DataFrame, keys: Sequence[str], total: int, ranges: int) -> list[str]:

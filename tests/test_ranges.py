@@ -134,16 +134,35 @@ def test_grouped_quantile(series):
     assert np.allclose(got["v"], want["v"], equal_nan=True) and np.allclose(got["t"], want["t"])
 
 
-def test_interval_join_by_buckets(spark, monkeypatch):
-    rnd = random.Random(2)
-    periods = [(p, f"2020-01-{1 + rnd.randrange(28):02d}", rnd.choice([None, "2020-02-10", "2020-01-20"])) for p in range(9)]
-    per = spark.createDataFrame(periods, "p int, a string, b string").select("p", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
-    df = spark.range(60).select("id", F.date_add(F.lit("2019-12-28").cast("date"), F.col("id").cast("int")).alias("d"))
-    one = joins.interval_join(df, "d", per, "a", "b", ["p"], "id").toPandas().sort_values("id")
-    monkeypatch.setattr(joins, "SMALL_PERIODS", 0)
-    two = joins.interval_join(df, "d", per, "a", "b", ["p"], "id").toPandas().sort_values("id")
-    assert one["p"].isna().any() and one["p"].notna().any()
-    assert np.array_equal(one["p"].to_numpy(float), two["p"].to_numpy(float), equal_nan=True)
-    for r, p in zip(one.itertuples(), one["p"]):
-        hit = [q.p for q in per.collect() if q.a <= r.d and (q.b is None or r.d < q.b)]
-        assert (hit[0] if hit else None) == (None if pd.isna(p) else p)
+def timed(rnd, n, span, hot=None):
+    """Periods of all kinds: nested, equal, touching, open, empty, without a begin; NULL keys."""
+    out = []
+    for p in range(n):
+        a = rnd.choice([hot, rnd.randrange(span)]) if hot is not None else rnd.randrange(span)
+        b = rnd.choice([None, a + rnd.randrange(-1, 6), a + rnd.randrange(1, span), a + 1])
+        out.append((rnd.choice([None, p % 13]), p, rnd.choice([None, a, a, a, a, a, a, a]), b))
+    return out
+
+
+@pytest.mark.parametrize(("n", "span", "hot"), [(9, 40, None), (300, 60, None), (300, 5000, 7), (40, 3, 1), (0, 5, None)])
+@pytest.mark.parametrize(("group_rows", "range_ends"), [(4_000_000, 200_000), (16, 9)])
+def test_interval_join(spark, monkeypatch, n, span, hot, group_rows, range_ends):
+    rnd = random.Random(n + span)
+    periods = timed(rnd, n, span, hot)
+    day = lambda c: F.timestamp_seconds(F.col(c) * 86400)
+    per = spark.createDataFrame(periods, "k int, p int, a int, b int").withColumns({"a": day("a"), "b": day("b")}).repartition(3)
+    times = [rnd.choice([None, hot if hot is not None else 3, rnd.randrange(-2, span + 2)]) for _ in range(400)]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(times)], "id int, d int").repartition(5)
+    df = df.withColumns({"t": day("d"), "r": F.lit(1), "s": F.lit("x"), "kind": F.lit(2)})
+
+    def first(t):
+        hits = [(k is not None, k or 0, p) for k, p, a, b in periods if t is not None and a is not None and a <= t and (b is None or t < b)]
+        return min(hits)[2] if hits else None
+
+    want = sorted(str((i // 2, t, first(t))) for i, t in enumerate(times))
+    for most in (4096, -1):
+        monkeypatch.setattr(joins, "SMALL_PERIODS", most)
+        out = joins.interval_join(df, "t", per, "a", "b", ["k"], group_rows=group_rows, range_ends=range_ends)
+        assert out.columns == [*df.columns, *per.columns]
+        got = out.select("id", "d", "p").collect()
+        assert sorted(str(tuple(r)) for r in got) == want
