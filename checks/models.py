@@ -220,6 +220,39 @@ def _(spark, sf):
     return scoring.score(df, model, ["vec_id"])
 
 
+# 5,000 columns of two kinds: the spectrum is 2,500 times that of two columns, and with one component
+# kept the rest is one eigenvalue l2, of which the limit is (z √2 / 3 + 7 / 9)³ l2.
+_WIDE = 5000
+
+
+def _wide_sql(name: str, a: str, b: str) -> str:
+    limits = ", ".join(f"round(l2 * pow({z} * sqrt(2) / 3 + 7 / 9.0, 3), 4) AS q_{p}" for p, z in ((95, 1.6448536269514722), (99, 2.3263478740408408)))
+    return f"""SELECT '{name}' AS rows_of, n, round(l1, 4) AS l1, round(l1 / (l1 + l2), 9) AS ratio, {limits}, round(r, 7) AS r FROM (
+      SELECT n, 2500 * ((va + vb) / 2 + sqrt(pow((va - vb) / 2, 2) + c * c)) AS l1, 2500 * ((va + vb) / 2 - sqrt(pow((va - vb) / 2, 2) + c * c)) AS l2,
+        sqrt((1 + (va - vb) / 2 / sqrt(pow((va - vb) / 2, 2) + c * c)) / 2) * sqrt(((va + vb) / 2 + sqrt(pow((va - vb) / 2, 2) + c * c)) / va) AS r
+      FROM (SELECT count(*) AS n, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM (SELECT {a} AS a, {b} AS b FROM {name})))"""
+
+
+def _two_kinds(spark, sf, name, a, b):
+    """Rows of ``name`` as 5,000 variables, a and b in turn."""
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda j: F.when(j % 2 == 0, F.col("a")).otherwise(F.col("b")))
+    return table(spark, sf, name).select("*", F.expr(a).alias("a"), F.expr(b).alias("b")).repartition(16).withColumn("x", kinds)
+
+
+_KINDS = {"customer": ("c_acctbal / 1000", "c_nationkey / 10.0 + c_acctbal / 5000"), "orders": ("o_totalprice / 100000", "o_custkey / 1000.0 + o_totalprice / 300000")}
+
+
+@check("pca_wide_limits", " UNION ALL ".join(_wide_sql(n, *ab) for n, ab in _KINDS.items()))
+def _(spark, sf):
+    out = []
+    for name, ab in _KINDS.items():
+        model = fit_pca(_two_kinds(spark, sf, name, *ab), "x", 1, scaling="center")
+        r = variable_correlations(spark, model).filter("variable = 'v0'").first()["r"]
+        numbers = (float(model.eigenvalues[0]), float(model.ratio[0]), float(model.limits["q_95"]), float(model.limits["q_99"]), abs(float(r)))
+        out.append((name, int(model.n), *[round(x, d) for x, d in zip(numbers, (4, 9, 4, 4, 7))]))
+    return spark.createDataFrame(out, "rows_of string, n long, l1 double, ratio double, q_95 double, q_99 double, r double")
+
+
 @check("pca_missing")
 def _(spark, sf):
     x, y, nr = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_linenumber")

@@ -217,3 +217,37 @@ def _(spark, sf):
 def _(spark, sf):
     df = table(spark, sf, "embeddings").withColumn("y", F.element_at("embedding", 1) * 3 + F.element_at("embedding", 9) + F.col("label"))
     return reg.fit_pcr(df, "embedding", "y", cv=reg.CV(5, order_by=("vec_id",)), max_components=12).curve
+
+
+# 5,000 predictors of two kinds: two components are the plane of both, so the fit is that of two variables.
+@check(
+    "pcr_very_wide",
+    """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS y, o_custkey / 1000.0 AS a, o_orderkey % 1009 / 100.0 AS b FROM orders),
+       m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c, covar_pop(a, y) AS ya,
+         covar_pop(b, y) AS yb FROM o),
+       f AS (SELECT *, (ya * vb - yb * c) / (va * vb - c * c) AS pa, (yb * va - ya * c) / (va * vb - c * c) AS pb FROM m)
+       SELECT o_orderkey, round(my + pa * (a - ma) + pb * (b - mb), 5) AS predicted, round(my + pa * (a - ma) + pb * (b - mb) - y, 5) AS residual FROM o, f""",
+)
+def _(spark, sf):
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda j: F.when(j % 2 == 0, F.col("a")).otherwise(F.col("b")))
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 1000.0).alias("a"), (F.col("o_orderkey") % 1009 / 100.0).alias("b")
+    ).repartition(16).withColumn("x", kinds)
+    fit = reg.fit_pcr(df, "x", "y", k=2, scaling="center")
+    out = reg.fitted(df, fit.model, ["o_orderkey"])
+    return out.select("o_orderkey", F.round("predicted", 5).alias("predicted"), F.round("residual", 5).alias("residual"))
+
+
+# One variable 5,000 times over: every component count but 0 and 1 is out of reach, and the curve is that of one variable.
+@check(
+    "pcr_cv_very_wide",
+    """WITH o AS (SELECT o_totalprice / 1000 AS y, o_custkey / 1000.0 AS x, floor(((row_number() OVER (ORDER BY o_orderkey)) * 4 - 1) / count(*) OVER ()) AS f FROM orders),
+       t AS (SELECT g.f, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) / var_pop(x) AS s FROM o, (SELECT DISTINCT f FROM o) g WHERE g.f <> o.f GROUP BY 1),
+       e AS (SELECT k, my + CASE WHEN k = 1 THEN s * (x - mx) ELSE 0 END - y AS e FROM o JOIN t USING (f), (VALUES (0), (1)) v(k))
+       SELECT k, count(*) AS n, round(sqrt(avg(e * e)), 5) AS rmsecv, round(avg(e), 5) + 0.0 AS bias, round(avg(abs(e)), 5) AS mae FROM e GROUP BY 1""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 1000.0).alias("a"))
+    wide = df.repartition(16).withColumn("x", F.array_repeat("a", 5000))
+    curve = reg.fit_pcr(wide, "x", "y", cv=reg.CV(4, order_by=("o_orderkey",)), max_components=2, scaling="center").curve
+    return curve.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("rmsecv", "bias", "mae")])

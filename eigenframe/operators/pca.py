@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
-from eigenframe.plans.dense import fix_signs, nipals, q_limit, t2_limit, top_eigen
-from eigenframe.plans.gram import MAX_WIDTH, feature_array, moments, tall_skinny_r, width_of
+from eigenframe.plans.dense import fix_signs, nipals, q_limit_of_sums, t2_limit, top_eigen
+from eigenframe.plans.durable import discard, durable, stored
+from eigenframe.plans.gram import MAX_WIDTH, column_means, feature_array, moments, tall_skinny_r, width_of
+from eigenframe.plans.products import Problem, Rows, leading, rest_sums
 
 ILL_CONDITIONED = 1e-10
 _DUAL_BLOCK = 256
@@ -155,10 +157,12 @@ def fit_pca(
     )
 
 
-def _model(spark, method, names, m, n, scaling, center, divisor, stage, lam, p, full, p_mean, cov) -> PCAModel:
+def _model(spark, method, names, m, n, scaling, center, divisor, stage, lam, p, full, p_mean, cov, rest=None) -> PCAModel:
+    """``rest``: sums of the eigenvalues past k, their squares and cubes, where ``full`` does not hold them all."""
     k, total = len(lam), float(np.sum(full))
+    rest = rest or [float(np.sum(full[k:] ** i)) for i in (1, 2, 3)]
     limits = {f"t2_{int(a * 100)}": t2_limit(spark, a, n, k) for a in (0.95, 0.99)}
-    limits |= {f"q_{int(a * 100)}": q_limit(a, full[k:]) for a in (0.95, 0.99)}
+    limits |= {f"q_{int(a * 100)}": q_limit_of_sums(a, rest) for a in (0.95, 0.99)}
     limits["t2_999"] = t2_limit(spark, 0.999, n, k)
     return PCAModel(
         method=method,
@@ -205,31 +209,45 @@ def _complete(df: DataFrame, features: Features) -> DataFrame:
     return df.withColumns(fixed)
 
 
-def _fit_very_wide(df, source, names, m, k, scaling, stage) -> PCAModel:
-    """More variables than a square matrix allows: n×n products, or a distributed SVD."""
-    x = feature_array(df, source)
-    stats = (
-        df.select(F.posexplode(x).alias("i", "x"))
-        .groupBy("i")
-        .agg(F.count("x").alias("n"), F.avg("x").alias("a"), F.stddev_samp("x").alias("s"))
-        .orderBy("i")
-        .collect()
-    )
-    n = int(stats[0]["n"])
+def wide_problem(rows: Rows, shift: np.ndarray, m: int, k: int, scaling: str) -> tuple[Problem, np.ndarray, np.ndarray]:
+    """All rows as one problem, with the means and standard deviations of the columns."""
+    parts = rows.sums(shift).values()
+    n = sum(p[0] for p in parts)
     _check_size(n, m, k)
-    mean, sd = (np.array([r[c] or 0.0 for r in stats]) for c in ("a", "s"))
-    center, divisor = stage_numbers(mean, sd, scaling)
-    spark = df.sparkSession
+    mean_off = sum(p[1] for p in parts) / n
+    sd = np.sqrt(np.maximum(sum(p[2] for p in parts) - n * mean_off**2, 0.0) / (n - 1))
+    mean = shift + mean_off
+    return Problem(None, n, *map(np.asarray, stage_numbers(mean, sd, scaling))), mean, sd
+
+
+def _fit_very_wide(df, source, names, m, k, scaling, stage) -> PCAModel:
+    """More variables than a square matrix allows: n×n products, or products of the rows with a few vectors."""
+    # Several scans follow: checks and row stages are worked out once.
+    df, x = stored(df.select(feature_array(df, source).alias("x")), "wide"), F.col("x")
+    shift = np.array(column_means(df, x, m))
+    rows = Rows(df, x, m)
+    problem, mean, sd = wide_problem(rows, shift, m, k, scaling)
+    n, center, divisor = problem.n, problem.center, problem.divisor
+    spark, offset = df.sparkSession, (mean - center) / divisor
     if n <= MAX_WIDTH:
         full, p = _dual(df, x, m, n, center, divisor, k)
+        rest = None
     else:
-        full, p = _distributed_svd(df, x, m, n, center, divisor, k, sd)
+        found = leading(rows, shift, [problem], k)[0]
+        total = float(np.sum((sd / divisor) ** 2 + offset**2 * n / (n - 1)))
+        rest, p = rest_sums(rows, shift, problem, found, total), fix_signs(found.vectors)
+        known = np.append(found.eigenvalues, found.found[k:])[: min(n, m)]
+        left = min(n, m) - len(known)
+        full = np.append(known, np.full(left, max(total - known.sum(), 0.0) / left)) if left else known
     lam = full[:k]
-    offset = (mean - center) / divisor
-    out = _model(spark, "svd", names, m, n, scaling, center, divisor, stage, lam, p, full, None, None)
+    discard(df)
+    out = _model(spark, "svd", names, m, n, scaling, center, divisor, stage, lam, p, full, None, None, rest)
     mean_t = p.T @ offset
-    cov_t = np.diag(lam) - np.outer(mean_t, mean_t) * n / (n - 1)
-    return replace(out, score_mean=mean_t, score_cov=cov_t, variable_sd=sd / divisor)
+    spread = np.outer(offset, mean_t) * n / (n - 1)
+    return replace(
+        out, score_mean=mean_t, score_cov=np.diag(lam) - np.outer(mean_t, mean_t) * n / (n - 1), variable_sd=sd / divisor,
+        variable_score_cov=p * lam - spread,
+    )
 
 
 def _dual(df, x, m, n, center, divisor, k):
@@ -237,8 +255,6 @@ def _dual(df, x, m, n, center, divisor, k):
     c, d = np.asarray(center), np.asarray(divisor)
     blocks = -(-m // _DUAL_BLOCK)
     numbered = df.select(F.monotonically_increasing_id().alias("r"), x.alias("x"))
-    from eigenframe.plans.durable import durable
-
     numbered = durable(numbered)
     cut = numbered.select(
         "r",
@@ -286,20 +302,6 @@ def _dual(df, x, m, n, center, divisor, k):
     return w / (n - 1), fix_signs(p)
 
 
-def _distributed_svd(df, x, m, n, center, divisor, k, sd):
-    """Spark's own row-matrix SVD; the spectrum beyond k is only known as a sum."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    c, d = np.asarray(center), np.asarray(divisor)
-    rdd = df.select(x.alias("x")).rdd.map(lambda r: Vectors.dense((np.asarray(r["x"]) - c) / d))
-    svd = RowMatrix(rdd, numCols=m).computeSVD(k)
-    lam = np.asarray(svd.s.toArray()) ** 2 / (n - 1)
-    rest = max(float(np.sum((sd / d) ** 2)) - float(lam.sum()), 0.0)
-    left = min(n, m) - len(lam)
-    return np.concatenate([lam, np.full(left, rest / left)]) if left else lam, fix_signs(svd.V.toArray())
-
-
 # --- small tables read off a model -------------------------------------------------
 
 

@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eigenframe.operators import wide_regression
 from eigenframe.operators.pca import PCAModel, Regression, _complete, _model
 from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
 from eigenframe.operators.scoring import predict
 from eigenframe.plans.dense import score_paths
-from eigenframe.plans.gram import column_means, feature_array, gram, moments_from, width_of
+from eigenframe.plans.gram import MAX_WIDTH, column_means, feature_array, gram, moments_from, width_of
 from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
@@ -261,14 +262,20 @@ def fit_pcr(
     limit = _limit(base, labelled, m, cv, max_components or k)
     if k is not None and k > limit:
         raise ValueError(f"{k} components: at most {limit} for {labelled} labelled rows and {m} variables")
-    means = column_means(base, feature_array(base, source), m) if isinstance(source, str) else [size[c] for c in source]
+    wide = m > MAX_WIDTH
+    if wide and (scaling == "robust" or not (max_components or k)):
+        raise ValueError(f"more than {MAX_WIDTH} predictors: plain scaling, and k or max_components must be given")
+    means = [0.0] * m if wide else column_means(base, feature_array(base, source), m) if isinstance(source, str) else [size[c] for c in source]
     shift = [float(v or 0.0) for v in (*means, size["y"])]
     curve = oof = None
     notes: dict = {}
     if cv is not None:
         held = assign_folds(base.filter("_y is not null"), cv)
-        cells = _fold_cells(base, held, source, m, cv, shift, n > labelled)
-        preds = _cross_validate(base, held, cells, source, m, cv, limit, scaling, shift)
+        if wide:
+            preds = wide_regression.cross_validate(base, held, source, m, cv, limit, scaling, shift[-1])
+        else:
+            cells = _fold_cells(base, held, source, m, cv, shift, n > labelled)
+            preds = _cross_validate(base, held, cells, source, m, cv, limit, scaling, shift)
         per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
         curve = _curve_from_folds(spark.createDataFrame(per_fold, _FOLD_SCHEMA))
         points = _points(curve.orderBy("k").collect(), metric)
@@ -277,8 +284,11 @@ def fit_pcr(
         oof = preds.filter("repeat = 0").withColumn("predicted", F.element_at("predictions", k + 1)).select(
             *cv.order_by, "fold", "predicted", F.col("_y").alias("measured")
         )
-    whole = cells.filter("repeat = 0") if cv is not None else _whole_cells(base, source, shift)
-    model = _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift)
+    if wide:
+        model = wide_regression.final(base, source, names, y, m, max(1, k), scaling, stage, shift[-1])
+    else:
+        whole = cells.filter("repeat = 0") if cv is not None else _whole_cells(base, source, shift)
+        model = _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift)
     return PCRResult(model, curve, k, notes, oof, limit, labelled, n - labelled)
 
 

@@ -158,7 +158,11 @@ def t2_limit(spark: SparkSession, level: float, n: int, k: int) -> float:
 
 def q_limit(level: float, rest: np.ndarray) -> float:
     """Jackson & Mudholkar (1979) from the eigenvalues not retained; 0 if none are left."""
-    th = [float(np.sum(rest**i)) for i in (1, 2, 3)]
+    return q_limit_of_sums(level, [float(np.sum(rest**i)) for i in (1, 2, 3)])
+
+
+def q_limit_of_sums(level: float, th: list[float]) -> float:
+    """The same from the sums of those eigenvalues, of their squares and of their cubes."""
     if th[0] <= 1e-12 or th[1] <= 0:
         return 0.0
     h0 = 1 - 2 * th[0] * th[2] / (3 * th[1] ** 2)
