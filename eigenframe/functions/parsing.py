@@ -60,4 +60,4 @@ def strict_number(c: Column, name: str, decimal: str = ".", na: Sequence[str] =
 def finite(c: Column) -> Column:
     """NULL for NaN and the infinities, so aggregates skip them."""
     value = c.cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.when(F.abs(value) < float("inf"), value)  # NaN is above infinity

@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eigenframe.functions.parsing import finite, is_blank
 from eigenframe.operators.pca import PCAModel
 from eigenframe.operators.profile import pair_correlations
 from eigenframe.operators.transforms import MAX_LEVELS, levels, sort_labels
-from eigenframe.operators.windows import rank_table
 from eigenframe.plans.dense import t_two_sided
+from eigenframe.plans.durable import discard, stored
+from eigenframe.plans.ranges import GROUP_ROWS, with_range
 
 # Chi-square with two degrees of freedom at each level.
 CHI2 = {0.90: 4.605, 0.95: 5.991, 0.99: 9.210}
@@ -26,7 +27,9 @@ def ellipses(df: DataFrame, group: str, x: str, y: str, level: float = 0.95) ->
     """
     if level not in CHI2:
         raise ValueError(f"levels are {sorted(CHI2)}")
-    pts = df.select(F.col(group).alias("group"), finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"))
+    # Unfolding one struct keeps what x and y are computed from out of the six aggregates.
+    point = F.struct(finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"))
+    pts = df.select(F.col(group).alias("group"), F.inline(F.array(point)))
     pts = pts.dropna(subset=["x", "y"]).filter(~is_blank(F.col("group")))
     g = pts.groupBy("group").agg(
         F.count("*").alias("n"),
@@ -91,27 +94,73 @@ def score_correlations(
         full = [i for i in range(len(names)) if whole and counts[f"_v{i}"] == counts["rows"]]
         # Ranks are made after the pairs with gaps are gone: variables without gaps share one ranking
         # of the scores, each of the others ranks them anew.
-        for many in [full] + [[i] for i in range(len(names)) if i not in full]:
-            if not many:
-                continue
-            ranked = base.select(*scores, *[f"_v{i}" for i in many])
-            if whole or len(scores) == 1:
-                found += _correlate(_ranked(ranked.dropna(), counts["rows"]), scores, many, names, middle)
-                continue
-            for c in scores:
-                found += _correlate(_ranked(ranked.select(c, f"_v{many[0]}").dropna(), counts["rows"]), [c], many, names, middle)
+        sets = [(list(scores), full)] if full else []
+        sets += [(many, [i]) for i in range(len(names)) if i not in full for many in ([list(scores)] if whole else [[c] for c in scores])]
+        ranks = stored(_ranks_of(base, [[*some, *[f"_v{i}" for i in many]] for some, many in sets], counts["rows"]), "ranks")
+        for k, (some, many) in enumerate(sets):
+            columns = [*some, *[f"_v{i}" for i in many]]
+            own = ranks.filter(F.col("set") == k).select(*[F.col("ranks")[j].alias(c) for j, c in enumerate(columns)])
+            found += _correlate(own, some, many, names, middle)
+        discard(ranks)
     first = {v: r for v, c, _n, r in found if c == scores[0]}
     place = {v: k for k, v in enumerate(sorted(names, key=lambda v: (-first[v], v)))}
     rows = [(place[v], v, c, n, float(r), _p(spark, r, n)) for v, c, n, r in found]
     return spark.createDataFrame(rows, "place int, variable string, component string, n long, r double, p double")
 
 
-def _ranked(df: DataFrame, rows: int) -> DataFrame:
-    """Every column replaced by its ranks; each ranking is made from the table itself, then joined."""
-    out = df
-    for c in df.columns:
-        out = out.join(rank_table(df, c, f"_r_{c}", at_most=rows), c)
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in df.columns])
+def _ranks_of(base: DataFrame, sets: Sequence[Sequence[str]], rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(set, ranks): for each set of columns, the average ranks of its complete rows, in the order of the columns.
+
+    All columns of all sets are ranked at once, as pairs of a column number and a value,
+    and put together again by row: two exchanges, whatever the number of columns. With
+    more rows than a task should sort, pairs are cut into ranges of (column, value, row),
+    and a value that goes on in the next range is counted from both.
+    """
+    slots = [(k, j, c) for k, some in enumerate(sets) for j, c in enumerate(some)]
+    complete = [_all_known(some) for some in sets]
+    entries = [
+        F.when(complete[k], F.struct(F.lit(k).alias("set"), F.lit(j).alias("place"), F.lit(at).alias("slot"), (F.col(c) + 0.0).alias("x")))
+        for at, (k, j, c) in enumerate(slots)
+    ]
+    # Numbered before they are unfolded, in a projection of its own.
+    numbered = base.withColumn("row", F.monotonically_increasing_id())
+    pairs = numbered.select("row", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("row", "e.*")
+    if rows <= group_rows:
+        by_value = Window.partitionBy("slot").orderBy("x")
+        ranked = pairs.withColumn("rank", F.rank().over(by_value) + (F.count("*").over(Window.partitionBy("slot", "x")) - 1) / 2)
+    else:
+        ranked = _ranked_in_ranges(stored(pairs, "pairs"), group_rows)
+    return ranked.groupBy("row", "set").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("rank").cast("double").alias("rank")))), lambda e: e["rank"]).alias("ranks")
+    ).select("set", "ranks")
+
+
+def _all_known(columns: Sequence[str]) -> Column:
+    known = F.col(columns[0]).isNotNull()
+    for c in columns[1:]:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def _ranked_in_ranges(pairs: DataFrame, group_rows: int) -> DataFrame:
+    """Ranks of pairs cut into ranges; what earlier ranges hold comes from one row per range and column."""
+    keyed = with_range(pairs, ["slot", "x", "row"], max(1, group_rows // 4))
+    part = Window.partitionBy("_rng", "slot")
+    per = keyed.groupBy("_rng", "slot").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    edges = keyed.join(F.broadcast(per), ["_rng", "slot"]).filter((F.col("x") == F.col("lo")) | (F.col("x") == F.col("hi")))
+    ends = edges.groupBy("_rng", "slot", "x").count().groupBy("slot", "x").agg(F.sum("count").alias("all"), F.min("_rng").alias("first"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("slot").orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A value at the edge of a range begins where its first range has it, and is as often as all ranges say.
+    starts = ends.join(before.select("_rng", F.col("slot").alias("_s"), "before"), (F.col("first") == F.col("_rng")) & (F.col("slot") == F.col("_s")))
+    starts = starts.select(F.col("slot").alias("_s"), F.col("x").alias("_x"), "all", "first", F.col("before").alias("_b"))
+    local = keyed.join(F.broadcast(before.select("_rng", "slot", "before")), ["_rng", "slot"])
+    local = local.withColumn("_r", F.rank().over(part.orderBy("x"))).withColumn("_c", F.count("*").over(Window.partitionBy("_rng", "slot", "x")))
+    firsts = local.join(F.broadcast(starts), (F.col("slot") == F.col("_s")) & (F.col("x") == F.col("_x")), "left")
+    # In its first range a value's local rank stands; in later ones it is the first value, ranked from there.
+    own = firsts.filter(F.col("_rng") == F.col("first")).groupBy("_s", "_x").agg(F.min(F.col("before") + F.col("_r")).alias("begin"))
+    out = firsts.join(F.broadcast(own.withColumnsRenamed({"_s": "_s2", "_x": "_x2"})), (F.col("slot") == F.col("_s2")) & (F.col("x") == F.col("_x2")), "left")
+    rank = F.when(F.col("begin").isNull(), F.col("before") + F.col("_r") + (F.col("_c") - 1) / 2).otherwise(F.col("begin") + (F.col("all") - 1) / 2)
+    return out.select("row", "set", "place", rank.alias("rank"))
 
 
 def _correlate(df: DataFrame, scores: Sequence[str], many, names: Sequence[str], centre=None) -> list[tuple]:

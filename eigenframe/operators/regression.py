@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from eigenframe.operators import wide_regression
 from eigenframe.operators.pca import PCAModel, Regression, _complete, _model
-from eigenframe.operators.rowstage import Features, RowStage, apply_row_stage, robust_stats, stage_numbers
+from eigenframe.operators.rowstage import MAD_SCALE, Features, RowStage, apply_row_stage, robust_stats, stage_numbers
 from eigenframe.operators.scoring import predict
-from eigenframe.plans.dense import score_paths
+from eigenframe.plans.dense import floor_at_one, score_paths
+from eigenframe.plans.durable import discard, stored
+from eigenframe.plans.fold_ranks import robust_scales
 from eigenframe.plans.gram import MAX_WIDTH, column_means, feature_array, gram, moments_from, width_of
-from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index
+from eigenframe.plans.products import Rows
+from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index, hash_cuts
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
-ROBUST_FOLDS = 50
 RULES = ("min", "one-se", "tolerance", "first-min", "wold")
 
 
@@ -81,6 +83,14 @@ def _even_runs(df: DataFrame, order_by, parts: int, n: int, name: str, group_row
     return df.withColumn(name, run.cast("int")).withColumn("repeat", F.lit(0))
 
 
+def _shuffled_runs(df: DataFrame, cv: CV, parts: int, n: int, name: str) -> DataFrame:
+    """Even runs in the order of a seeded hash: rows are counted by their hashes to find the edges, and never move."""
+    starts = [i * n // parts for i in range(1, parts)]
+    mixes = [F.xxhash64(*cv.order_by, F.lit(cv.seed) + F.lit(r)) for r in range(cv.repeats)]
+    runs = F.array(*[hash_cuts(df, mix, cv.order_by, starts).cast("int") for mix in mixes])
+    return df.select("*", F.posexplode(runs).alias("repeat", name))
+
+
 def assign_folds(df: DataFrame, cv: CV, name: str = "fold", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add the fold in which a row is held out (per repeat, a column ``repeat``).
 
@@ -109,6 +119,8 @@ def assign_folds(df: DataFrame, cv: CV, name: str = "fold", group_rows: int = GR
         raise ValueError(f"{k} folds from {n} {'groups' if cv.group_by else 'rows'}")
     if not cv.group_by and not cv.shuffle and k <= MAX_RANGES:
         return _even_runs(df, cv.order_by, k, n, name, group_rows)
+    if cv.shuffle and not cv.group_by and k <= MAX_RANGES:
+        return _shuffled_runs(df, cv, k, n, name)
     if cv.repeats > 1:
         units = units.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(cv.repeats - 1))))
     else:
@@ -472,21 +484,19 @@ def _cross_validate(base, labelled, cells, source, m, cv, limit, scaling, shift)
 
 
 def _robust_stages(base, source, m, labelled, cv):
-    """Medians do not subtract, so robust scaling reads the training rows of every fold."""
-    folds = labelled.select("repeat", "fold").distinct().limit(ROBUST_FOLDS + 1).collect()
-    if len(folds) > ROBUST_FOLDS:
-        raise ValueError(f"robust scaling is refitted fold by fold: at most {ROBUST_FOLDS}")
-    keep = [source] if isinstance(source, str) else list(source)
-    rest = base.filter("_y is null").select(*keep)
-    out = {}
-    for f in folds:
-        mine = labelled.filter((F.col("repeat") == f["repeat"]))
-        other = F.col("fold") < f["fold"] if cv.scheme == "forward" else F.col("fold") != f["fold"]
-        train = mine.filter(other).select(*keep)
-        if cv.scheme == "forward" and f["fold"] == 0:
-            continue
-        out[(f["repeat"], f["fold"])] = robust_stats(train.unionByName(rest), source, m)
-    return out
+    """Median and spread of the rows that each fold learns from, found for all folds in the same scans."""
+    spare = base.filter("_y is null").withColumns({c: F.lit(None).cast("int") for c in ("repeat", "fold")})
+    df = labelled.unionByName(spare, allowMissingColumns=True)
+    forward = cv.scheme == "forward"
+    learns = (lambda held, fold: (fold >= 0) & (fold < held)) if forward else (lambda held, fold: fold != held)
+    rows = Rows(df, feature_array(df, source), m, folds=("repeat", "fold"), learns=learns)
+    rows.df = stored(rows.df, "rows")
+    sizes = {(r["repeat"], r["fold"]): r["count"] for r in rows.df.groupBy("repeat", "fold").count().collect()}
+    keys = sorted(k for k in sizes if k[1] >= (1 if forward else 0))
+    takes = lambda k, other: other[1] == -1 or (other[0] == k[0] and bool(learns(k[1], np.array(other[1]))))
+    median, spread = robust_scales(rows, keys, [sum(n for o, n in sizes.items() if takes(k, o)) for k in keys])
+    discard(rows.df)
+    return {k: (c, floor_at_one(MAD_SCALE * d)) for k, c, d in zip(keys, median, spread)}
 
 
 # --- after the fit -----------------------------------------------------------------------------

@@ -154,6 +154,45 @@ def cuts_before(
     return count_upto(F.from_json(F.lit("[" + ",".join(found) + "]"), schema, _TS), len(found), F.struct(*order_by))
 
 
+_HASH_ROWS = 100_000  # rows around the wanted edges that are looked at one by one
+
+
+def hash_cuts(df: DataFrame, mix: Column, order_by: Sequence[str], positions: Sequence[int], rows: int = _HASH_ROWS) -> Column:
+    """How many of the (rising, 0-based) positions a row is at or past, in the order of ``mix``, then ``order_by``.
+
+    ``mix`` is a 64-bit hash. Rows are counted by its leading bits, 16 more at a time, until
+    few rows are left around the positions; those alone are sorted. ``order_by`` must
+    identify rows.
+    """
+    keyed = df.select(mix.alias("_mix"), *order_by)
+    # Leading bits, in the order of signed numbers.
+    lead = lambda bits: F.expr(f"shiftrightunsigned(_mix ^ (-9223372036854775807L - 1), {64 - bits})")
+    inside: dict[int, tuple[int, list[int]]] = {0: (0, list(positions))}  # leading bits: rows before them, positions among them
+    bits, left = 0, rows + 1
+    while inside and left > rows and bits < 48:
+        parent = lead(bits) if bits else F.lit(0).cast("long")
+        bits += 16
+        counts = keyed.filter(parent.isin(*inside)).groupBy(parent.alias("p"), lead(bits).alias("b")).count().orderBy("b").collect()
+        before, found, left = {p: start for p, (start, _) in inside.items()}, {}, 0
+        for r in counts:  # 65,536 for each position at most
+            start = before[r["p"]]
+            before[r["p"]] = start + r["count"]
+            if hits := [x for x in inside[r["p"]][1] if start <= x < before[r["p"]]]:
+                found[r["b"]] = (start, hits)
+                left += r["count"]
+        inside = found
+    if not inside:
+        return F.lit(0)
+    near = keyed.filter(lead(bits).isin(*inside)).withColumn("_part", lead(bits))
+    w = Window.partitionBy("_part").orderBy("_mix", *order_by)
+    wanted = F.create_map(*[x for k, (start, hits) in inside.items() for x in (F.lit(k).cast("long"), F.lit([h - start for h in hits]).cast("array<int>"))])
+    numbered = near.withColumn("_at", F.row_number().over(w) - 1).filter(F.array_contains(wanted[F.col("_part")], F.col("_at")))
+    found_keys = [r["k"] for r in numbered.orderBy("_mix", *order_by).select(F.to_json(F.struct("_mix", *order_by), _TS).alias("k")).collect()]
+    schema = T.ArrayType(T.StructType([T.StructField("_mix", T.LongType()), *[T.StructField(c, df.schema[c].dataType) for c in order_by]]))
+    table = F.from_json(F.lit("[" + ",".join(found_keys) + "]"), schema, _TS)
+    return count_upto(table, len(found_keys), F.struct(mix.alias("_mix"), *order_by))
+
+
 @dataclass(frozen=True)
 class Sliding:
     """A frame, the window to use on it, and how to drop the helper rows afterwards."""
