@@ -1,10 +1,12 @@
 """Folds, curves, selection, and regression on components."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import check, table
 from eigenframe.operators import regression as reg
 from eigenframe.operators import scoring
+from eigenframe.operators.gappy_regression import fit_pcr_missing
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 
@@ -251,3 +253,43 @@ def _(spark, sf):
     wide = df.repartition(16).withColumn("x", F.array_repeat("a", 5000))
     curve = reg.fit_pcr(wide, "x", "y", cv=reg.CV(4, order_by=("o_orderkey",)), max_components=2, scaling="center").curve
     return curve.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("rmsecv", "bias", "mae")])
+
+
+# Ten folds ten times over rows with gaps: each labelled row is held out once per repeat. The mean of the labelled
+# rows left is what no component predicts, so the errors of k = 0 follow from the folds alone.
+@check(
+    "pcr_missing_repeats",
+    """SELECT k, 10 * n AS n, 100 AS folds, true AS falls FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey % 9 > 0), (VALUES (0), (1)) v(k)""",
+)
+def _(spark, sf):
+    x, y, key = F.col("o_totalprice") / 1000, F.col("o_custkey").cast("double"), F.col("o_orderkey")
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(key % 7 > 0, x).alias("a"), F.when(key % 5 > 0, x * 2 + y / 1000).alias("b"), F.when(key % 9 > 0, x * 3 - y / 500).alias("y")
+    )
+    cv = reg.CV(10, order_by=("o_orderkey",), shuffle=True, repeats=10, seed=4)
+    curve = fit_pcr_missing(df, ["a", "b"], "y", cv=cv, max_components=1).curve
+    least = F.min("rmsecv").over(Window.partitionBy(F.lit(0)))  # a row per component count
+    falls = F.when(F.col("k") == 1, F.col("rmsecv") == least).otherwise(F.col("rmsecv") > least)
+    return curve.select("k", "n", F.col("folds").cast("int").alias("folds"), falls.alias("falls"))
+
+
+@check(
+    "pcr_robust_groups_out",
+    """SELECT k, n, folds FROM (SELECT count(*) AS n, count(DISTINCT l_suppkey) AS folds FROM lineitem WHERE l_linenumber % 6 <> 0), (VALUES (0), (1), (2)) v(k)""",
+)
+def _(spark, sf):
+    cv = reg.CV(0, group_by="l_suppkey", order_by=_ORDER)
+    curve = reg.fit_pcr(_items(spark, sf), ["l_quantity", "l_discount"], "y", cv=cv, scaling="robust", max_components=2).curve
+    return curve.select("k", "n", "folds")
+
+
+@check(
+    "folds_shuffled_rows",
+    """SELECT r AS repeat, f AS fold, (f + 1) * n // 7 - f * n // 7 AS n, 0::BIGINT AS twice FROM (SELECT count(*) AS n FROM lineitem), range(3) a(r), range(7) b(f)""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select(*_ORDER)
+    out = reg.assign_folds(df, reg.CV(7, order_by=_ORDER, shuffle=True, repeats=3, seed=9))
+    per = out.groupBy("repeat", "fold").agg(F.count("*").alias("n"))
+    twice = out.groupBy("repeat", *_ORDER).count().join(df.groupBy(*_ORDER).agg(F.count("*").alias("m")), list(_ORDER)).filter("count <> m").count()
+    return per.withColumn("twice", F.lit(twice).cast("long"))

@@ -1,11 +1,15 @@
 """Parsing, reading, writing, and the streaming additions on batch tables."""
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from checks.models import KEY, _given_sql, given
+from checks.models import CENTER, DIVISOR, FEATURES, KEY, P, _given_sql, given
 from checks.registry import check, table
 from eigenframe.functions.parsing import to_number
-from eigenframe.operators import scoring
+from eigenframe.operators import gappy, scoring
+from eigenframe.operators.gappy import _Component
 from eigenframe.plans.durable import scratch_path
 from eigenframe.sources import models as store
 from eigenframe.sources import tables
@@ -59,6 +63,24 @@ def _(spark, sf):
     return out.select(*KEY, (F.round("pc1", 7) + 0.0).alias("pc1"), (F.round("q", 7) + 0.0).alias("q"))
 
 
+# Scores over observed cells: each component takes what the one before has left of the cells that are there.
+_HOLED = f"""WITH z AS (SELECT *, {", ".join(f"CASE WHEN l_linenumber % {5 + i} <> 0 THEN ({c} - {a}) / {b} END AS z{i}" for i, (c, a, b) in enumerate(zip(FEATURES, CENTER, DIVISOR)))} FROM lineitem),
+    n AS (SELECT *, {" + ".join(f"CASE WHEN z{i} IS NULL THEN 0 ELSE 1 END" for i in range(4))} AS seen FROM z),
+    a AS (SELECT *, ({" + ".join(f"coalesce(z{i}, 0) * {P[i, 0]}" for i in range(4))}) / (seen * 0.25) AS pc1 FROM n),
+    b AS (SELECT *, ({" + ".join(f"coalesce(z{i} - pc1 * {P[i, 0]}, 0) * {P[i, 1]}" for i in range(4))}) / (seen * 0.25) AS pc2 FROM a),
+    c AS (SELECT *, {" + ".join(f"coalesce(pow(z{i} - pc1 * {P[i, 0]} - pc2 * {P[i, 1]}, 2), 0)" for i in range(4))} AS q FROM b)"""
+
+
+@check("gap_model_round_trip", f"{_HOLED} SELECT {', '.join(KEY)}, {', '.join(f'round({c}, 7) + 0.0 AS {c}' for c in ('pc1', 'pc2', 'q'))} FROM c")
+def _(spark, sf):
+    path = scratch_path(spark, "gap-model")
+    components = [_Component(0, 0.0, [P[:, j]]) for j in range(2)]
+    store.save_model(replace(given(), regression=None, history=(components, np.ones(2))), spark, path)
+    holed = {c: F.when(F.col("l_linenumber") % (5 + i) != 0, F.col(c)) for i, c in enumerate(FEATURES)}
+    out = gappy.score_missing(table(spark, sf, "lineitem").withColumns(holed), store.load_model(spark, path), KEY)
+    return out.select(*KEY, *[(F.round(c, 7) + 0.0).alias(c) for c in ("pc1", "pc2", "q")])
+
+
 @check(
     "share_outside_by_window",
     f"""WITH {_given_sql()} SELECT strftime(time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS start, count(*) AS n,

@@ -95,6 +95,8 @@ def fit_pca_missing(df: DataFrame, features: Features, k: int, scaling: str = "s
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         done, lam, rest = _components(rows, m, k, center, divisor, n)
+        # Scoring needs the last vector only: a row that says nothing about a component gets its starting mean.
+        done = [replace(c, tried=c.tried[-1:]) for c in done]
         p = np.array([c.tried[-1] for c in done]).T if done else np.zeros((m, 0))
         signed = fix_signs(p)
         flips = np.sign((signed * p).sum(axis=0))

@@ -1,7 +1,7 @@
 """Component regression on predictors with gaps.
 
-Least squares over observed cells has no moments to subtract, so every fold is
-fitted again: one NIPALS fit per fold, each a sequence of aggregates.
+Least squares over observed cells has no moments to subtract, so every fold has a NIPALS
+fit of its own; the fits of all folds share their passes (:mod:`eigenframe.operators.gappy_folds`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eigenframe.operators import gappy_folds
 from eigenframe.operators.gappy import fit_pca_missing, score_missing
 from eigenframe.operators.pca import PCAModel, Regression
 from eigenframe.operators.regression import (
@@ -30,9 +31,6 @@ from eigenframe.operators.regression import (
 from eigenframe.plans.dense import nested_fits
 from eigenframe.plans.gram import moments
 
-MAX_FITS = 50  # folds times repeats; each is a fit of its own
-
-
 def _fit(pool: DataFrame, labelled: DataFrame, features: Sequence[str], k: int, scaling: str):
     """Components of ``pool`` and the regression of the labelled rows on 0…k of them."""
     model = fit_pca_missing(pool, features, k, scaling)
@@ -83,7 +81,7 @@ def fit_pcr_missing(
     curve = oof = None
     notes: dict = {}
     if cv is not None:
-        preds = _cross_validate(base, features, cv, limit, scaling)
+        preds = gappy_folds.cross_validate(base, assign_folds(base.filter("_y is not null"), cv), features, cv, limit, scaling)
         per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
         curve = _curve_from_folds(df.sparkSession.createDataFrame(per_fold, _FOLD_SCHEMA))
         k = choose_k(_points(curve.orderBy("k").collect(), metric), rule, tolerance, wold_r)
@@ -105,30 +103,6 @@ def fit_pcr_missing(
     return PCRResult(replace(model, regression=reg), curve, k, notes, oof, limit, labelled, n - labelled)
 
 
-def _cross_validate(base: DataFrame, features, cv: CV, limit: int, scaling: str) -> DataFrame:
-    held = assign_folds(base.filter("_y is not null"), cv)
-    rest = base.filter("_y is null").select(*features)
-    folds = [tuple(r) for r in held.select("repeat", "fold").distinct().orderBy("repeat", "fold").limit(MAX_FITS + 2).collect()]
-    if cv.scheme == "forward":
-        folds = [f for f in folds if f[1] > 0]
-    if len(folds) > MAX_FITS:
-        raise ValueError(f"gaps are refitted fold by fold: at most {MAX_FITS} fits")
-    keep = list(dict.fromkeys([*cv.order_by, "repeat", "fold", "_y"]))
-    out = None
-    for rep, fold in folds:
-        mine = held.filter(F.col("repeat") == rep)
-        train = mine.filter(F.col("fold") < fold if cv.scheme == "forward" else F.col("fold") != fold)
-        if cv.scheme == "forward" and cv.min_train and train.count() < cv.min_train:
-            continue
-        pool = train.select(*features).unionByName(rest)
-        model, gammas, _mom = _fit(pool, train, features, limit, scaling)
-        got = _predictions(mine.filter(F.col("fold") == fold), model, gammas, keep)
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        raise ValueError("no usable folds")
-    return out
-
-
 def predict_missing(df: DataFrame, model: PCAModel, keep: Sequence[str] = (), name: str = "predicted") -> DataFrame:
     """Predictions for rows with or without gaps."""
     reg = model.regression

@@ -21,8 +21,8 @@ _LOWEST, _HIGHEST = np.array([-np.inf, np.inf])
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
-    """Unsigned integers in the order of the doubles; both zeros are one."""
-    bits = (x + 0.0).view(np.uint64)
+    """Unsigned integers in the order of the doubles; both zeros are one, gaps (NaN) come last."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
     sign = np.uint64(1) << np.uint64(63)
     return np.where(bits & sign, ~bits, bits | sign)
 
@@ -51,7 +51,8 @@ def _counts(rows: Rows, keys: Sequence, cuts: np.ndarray, center: np.ndarray | N
 
 
 def values_at(rows: Rows, keys: Sequence, ranks: np.ndarray, center: np.ndarray | None = None) -> np.ndarray:
-    """The value of 0-based rank ``ranks[f]`` among the rows that fold ``f`` learns from, in each column."""
+    """The value of 0-based rank ``ranks[f]`` (or ``ranks[f, column]``) among the rows that fold ``f`` learns from, in each column."""
+    ranks = np.broadcast_to(np.asarray(ranks).reshape(len(keys), -1), (len(keys), rows.width))
     m, at_once = rows.width, max(1, HELD_CELLS // (rows.width * WAYS))
     if len(keys) > at_once:
         parts = range(0, len(keys), at_once)
@@ -65,7 +66,7 @@ def values_at(rows: Rows, keys: Sequence, ranks: np.ndarray, center: np.ndarray
         whole, rest = span // np.uint64(WAYS), span % np.uint64(WAYS)
         cuts = low[..., None] + whole[..., None] * steps + rest[..., None] * steps // np.uint64(WAYS)
         upto = _counts(rows, keys, cuts, center)
-        first = (upto <= ranks[:, None, None]).sum(axis=2)  # cut points that lie below the wanted value
+        first = (upto <= ranks[..., None]).sum(axis=2)  # cut points that lie below the wanted value
         edges = np.concatenate([cuts, high[..., None]], axis=2)
         below = np.concatenate([low[..., None] - np.uint64(1), cuts], axis=2)
         low = np.minimum(np.take_along_axis(below, first[..., None], 2)[..., 0] + np.uint64(1), high)

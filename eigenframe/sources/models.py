@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from eigenframe.operators.gappy import _Component
 from eigenframe.operators.pca import PCAModel, Regression
 from eigenframe.operators.regression import PCRResult, coefficients
 from eigenframe.operators.rowstage import RowStage
@@ -15,7 +16,8 @@ MODEL = (
     "loadings array<array<double>>, eigenvalues array<double>, all_eigenvalues array<double>, ratio array<double>, "
     "cumulative array<double>, score_mean array<double>, score_cov array<array<double>>, limits map<string,double>, "
     "regression struct<response:string,k:int,gamma:array<double>,intercept:double,beta:array<double>,beta0:double,"
-    "beta_valid:boolean,rmsec:double,r2c:double>"
+    "beta_valid:boolean,rmsec:double,r2c:double>, variable_sd array<double>, variable_score_cov array<array<double>>, "
+    "gaps struct<columns:array<int>,starts:array<double>,flips:array<double>>"
 )
 
 
@@ -40,12 +42,28 @@ def model_row(model: PCAModel) -> tuple:
             r.response, r.k, _vector(r.gamma), float(r.intercept), _vector(r.beta), float(r.beta0), r.beta_valid,
             float(r.rmsec), float(r.r2c),
         ),
+        _vector(model.variable_sd), _matrix(model.variable_score_cov), _gaps(model),
     )
 
 
+def _gaps(model: PCAModel) -> tuple | None:
+    """Of a fit to rows with gaps: where each component starts, and its sign; its vector is in the loadings."""
+    if model.history is None:
+        return None
+    done, flips = model.history
+    return [int(c.column) for c in done], _vector([c.start for c in done]), _vector(flips)
+
+
+def _history(gaps, p: np.ndarray) -> tuple | None:
+    if gaps is None:
+        return None
+    flips = np.array(gaps["flips"], float)
+    if not len(flips) == len(gaps["columns"]) == len(gaps["starts"]) == p.shape[1]:
+        raise ValueError("starts and signs do not match the number of components")
+    return [_Component(c, s, [p[:, j] * flips[j]]) for j, (c, s) in enumerate(zip(gaps["columns"], gaps["starts"]))], flips
+
+
 def save_model(model: PCAModel, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
-    if model.history is not None:
-        raise ValueError("a fit to rows with gaps scores with its own history and is not saved")
     spark.createDataFrame([model_row(model)], MODEL).coalesce(1).write.mode(mode).json(path)
 
 
@@ -90,6 +108,9 @@ def model_from_row(r) -> PCAModel:
         score_mean=None if r["score_mean"] is None else np.array(r["score_mean"]),
         score_cov=None if r["score_cov"] is None else np.array(r["score_cov"]),
         limits=dict(r["limits"]),
+        variable_sd=None if r["variable_sd"] is None else np.array(r["variable_sd"]),
+        variable_score_cov=None if r["variable_score_cov"] is None else np.array(r["variable_score_cov"]),
+        history=_history(r["gaps"], p),
         regression=None
         if reg is None
         else Regression(
