@@ -30,6 +30,7 @@ from eigenframe.roles import unique_name
 
 BROADCAST_NODES = 1_000_000  # text hashes that may be broadcast, 8 MB; more are joined by a shuffle
 _CELLS = 1 << 18  # hashes times functions at once
+_BITS = 64 << 20  # bytes of the bitsets of one cell
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -78,23 +79,42 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def _bitsets(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Each set as bits, over the hashes that more than one of them has; None if that takes too much memory."""
+    found, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place, wide = np.cumsum(shared) - 1, -(-int(shared.sum()) // 64)
+    if len(sets) * wide * 8 > _BITS:
+        return None
+    bits, ends = np.zeros((len(sets), wide), dtype=np.uint64), np.cumsum([len(s) for s in sets])
+    for i, (end, s) in enumerate(zip(ends, sets)):
+        mine = code[end - len(s) : end]
+        row = np.zeros(wide * 64, dtype=bool)
+        row[place[mine[shared[mine]]]] = True
+        bits[i] = np.packbits(row).view(np.uint64)
+    return bits
+
+
 def links_within(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links at ``least`` or more that span what such links connect."""
-    order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
-    out, left = [], order
+    size, bits = np.array([len(s) for s in sets]), _bitsets(sets) if len(sets) > 2 else None
+    out, left = [], np.lexsort((nodes, size))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
-        while queue and left:
-            at, rest = queue.pop(), []
-            size = len(sets[at])
-            for i in left:
-                n = len(sets[i])
-                if min(n, size) >= least * max(n, size) and similarity(sets[at], sets[i]) >= least:
-                    out.append((nodes[at], nodes[i]))
-                    queue.append(i)
-                else:
-                    rest.append(i)
-            left = rest
+        while queue and len(left):
+            at = queue.pop()
+            fits = np.minimum(size[left], size[at]) >= least * np.maximum(size[left], size[at])
+            near = np.zeros(len(left), dtype=bool)
+            some = left[fits]
+            if bits is None:
+                near[fits] = [similarity(sets[at], sets[i]) >= least for i in some]
+            else:
+                both = np.bitwise_count(bits[some] & bits[at]).sum(axis=1, dtype=np.int64)
+                near[fits] = both / (size[at] + size[some] - both) >= least
+            hit = left[near].tolist()
+            out.extend((nodes[at], nodes[i]) for i in hit)
+            queue.extend(hit)
+            left = left[~near]
     return out
 
 

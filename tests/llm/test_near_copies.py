@@ -88,7 +88,9 @@ def test_chance_of_a_shared_band():
         assert low <= hits / 200 <= high
 
 
-def test_links_span_what_all_pairs_connect():
+@pytest.mark.parametrize("memory", [64 << 20, 0])
+def test_links_span_what_all_pairs_connect(monkeypatch, memory):
+    monkeypatch.setattr(near_copies, "_BITS", memory)
     rng = random.Random(1)
     sets = [np.array(sorted(rng.sample(range(14), rng.randrange(8, 14))), dtype=np.uint64) for _ in range(60)]
     parent = {i: i for i in range(60)}
