@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from eigenframe.llm.common import SPACE
 from eigenframe.plans.durable import stored
 from eigenframe.plans.ranges import dense_index
+from eigenframe.roles import unique_name
 
 EPS = 1e-9
 
@@ -186,15 +187,16 @@ def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``decide`` says, with its own columns."""
     decided = decide(docs, **options)
-    once = stored(decided.groupBy("k").agg(F.sum("copies").alias("_all"), F.max("n").alias("_n")).withColumnRenamed("k", "_mk"), "copies")
-    rows = docs.withColumn("_row_k", _row_key())
+    key, total, many, place, times = (unique_name(c, docs.columns) for c in ("mix_key", "mix_total", "mix_rows", "mix_place", "mix_times"))
+    once = decided.groupBy("k").agg(F.sum("copies").alias(total), F.max("n").alias(many)).withColumnRenamed("k", key)
+    once = stored(once, "copies")
     # A row per document: merged at every size, since nothing bounds it for a broadcast.
-    rows = rows.join(once.hint("merge"), F.col("_row_k") == F.col("_mk")).drop("_mk")
-    single = rows.filter("_n = 1").withColumn("_times", F.col("_all"))
-    repeated = dense_index(rows.filter("_n > 1"), ["doc_id"], ["_row_k"], "_place")
-    share = F.floor(F.col("_all") / F.col("_n"))
-    repeated = repeated.withColumn("_times", share + (F.col("_place") < F.col("_all") - share * F.col("_n")).cast("long")).drop("_place")
-    if once.filter("_n > 1").limit(1).count():
+    rows = docs.withColumn(key, _row_key()).join(once.hint("merge"), key)
+    single = rows.filter(F.col(many) == 1).withColumn(times, F.col(total))
+    repeated = dense_index(rows.filter(F.col(many) > 1), ["doc_id"], [key], place)
+    share = F.floor(F.col(total) / F.col(many))
+    repeated = repeated.withColumn(times, share + (F.col(place) < F.col(total) - share * F.col(many)).cast("long")).drop(place)
+    if once.filter(F.col(many) > 1).limit(1).count():
         single = single.unionByName(repeated)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
-    return single.filter("_times > 0").withColumn("_time", times).select(*docs.columns)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(unique_name("mix_time", docs.columns))
+    return single.filter(F.col(times) > 0).select("*", again).select(*[F.col(f"`{c}`") for c in docs.columns])

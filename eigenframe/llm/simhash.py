@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from eigenframe.llm.common import slices, text_bytes
 from eigenframe.llm.components import components
 from eigenframe.plans.durable import stored
+from eigenframe.roles import unique_name
 
 SEED = 42
 
@@ -201,9 +202,10 @@ def first_of_each(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int |
     rows, groups = _grouped(docs, words, bits, blocks, cell_rows)
     named = rows.join(groups, rows["fp"] == groups["_fp"])
     best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
-    best = stored(best.select(F.col("b.doc_id").alias("_best_id"), F.col("b.key").alias("_best_key")), "first")
-    keyed = docs.withColumn("_text_key", text_key())
+    key, best_id, best_key = (unique_name(c, docs.columns) for c in ("text_key", "best_id", "best_key"))
+    best = stored(best.select(F.col("b.doc_id").alias(best_id), F.col("b.key").alias(best_key)), "first")
+    keyed = docs.withColumn(key, text_key())
     if rows.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "_text_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_best_id")) & (F.col("_text_key") == F.col("_best_key"))
-    return keyed.join(best, same, "left_semi").drop("_text_key")
+        keyed = keyed.dropDuplicates(["doc_id", key])
+    same = F.col("doc_id").eqNullSafe(F.col(best_id)) & (F.col(key) == F.col(best_key))
+    return keyed.join(best, same, "left_semi").drop(key)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from eigenframe.llm.common import slices
 from eigenframe.plans.durable import discard, stored
+from eigenframe.roles import unique_name
 
 #: Characters of scripts without spaces between words: about two make a word, or five.
 DENSE = "々〆〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
@@ -219,17 +220,19 @@ def remove_repeats(
     after = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") > F.col("owner")).otherwise(F.col("owner").isNotNull() | (F.col("key") > F.col("owner_key")))
     later = fresh.join(owners, "h").filter(after).select("doc_id", "key", "at")
     hits = later.union(found.filter("again").select("doc_id", "key", "at"))
-    cover = hits.groupBy(F.col("doc_id").alias("_cover_id"), F.col("key").alias("_cover_key")).agg(F.collect_set("at").alias("_cover"))
+    doc, key, cover_doc, cover_key, cover_at, cut = (
+        unique_name(c, [*docs.columns, *names]) for c in ("span_doc", "span_key", "cover_doc", "cover_key", "cover_at", "span_cut")
+    )
+    cover = hits.groupBy(F.col("doc_id").alias(cover_doc), F.col("key").alias(cover_key)).agg(F.collect_set("at").alias(cover_at))
     cover = stored(cover, "cover")
     discard(found), discard(owners)
-    keyed = docs.withColumns({"_span_id": F.col("doc_id").cast("long"), "_span_key": row_key()})
-    same = F.col("_span_id").eqNullSafe(F.col("_cover_id")) & (F.col("_span_key") == F.col("_cover_key"))
-    joined = keyed.join(cover, same, "left")
-    changed = F.when(F.col("_cover").isNotNull(), F.col("text"))
-    cut = joined.withColumn("_cut", F.arrow_udf(_cleaned, RESULT)(changed, F.col("_cover")))
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), key: row_key()})
+    joined = keyed.join(cover, F.col(doc).eqNullSafe(F.col(cover_doc)) & (F.col(key) == F.col(cover_key)), "left")
+    changed = F.when(F.col(cover_at).isNotNull(), F.col("text"))
+    joined = joined.withColumn(cut, F.arrow_udf(_cleaned, RESULT)(changed, F.col(cover_at)))
     new = {
-        "text": F.coalesce("_cut.text", "text"),
-        names[0]: F.coalesce("_cut.removed_sentences", F.lit(0)),
-        names[1]: F.coalesce("_cut.removed_words", F.lit(0)),
+        "text": F.coalesce(F.col(cut)["text"], F.col("text")),
+        names[0]: F.coalesce(F.col(cut)["removed_sentences"], F.lit(0)),
+        names[1]: F.coalesce(F.col(cut)["removed_words"], F.lit(0)),
     }
-    return cut.withColumns(new).drop("_span_id", "_span_key", "_cover_id", "_cover_key", "_cover", "_cut")
+    return joined.withColumns(new).drop(doc, key, cover_doc, cover_key, cover_at, cut)
