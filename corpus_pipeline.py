@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eigenframe.llm import mixing, near_copies, packing, quality, spans
 from eigenframe.llm.common import WORD, remainder, table
 from eigenframe.plans.durable import stored
+from eigenframe.roles import unique_name
 
 ACCEPT = 0.3  # the least quality score that stays
 
@@ -36,10 +37,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; a text of which no word is left goes."""
-    cut = spans.remove_repeats(docs, names=("_gone_sentences", "_gone_words"))
-    left = cut.filter((F.col("_gone_words") == 0) | F.col("text").rlike(WORD))
+    names = (unique_name("gone_sentences", docs.columns), unique_name("gone_words", docs.columns))
+    cut = spans.remove_repeats(docs, names=names)
+    gone = F.col(names[1])
+    left = cut.filter((gone == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("_gone_words") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        n_chars = F.when(gone > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
 
