@@ -68,10 +68,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> Da
         from pyspark import TaskContext
 
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        encode = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
         for batch in slices(batches, 1):
             found: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(data), size)):
                     values = (doc, k, start, length, zlib.crc32(data[start : start + length].tobytes()), row)
@@ -81,6 +81,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> Da
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             names = [part.split()[0] for part in PIECES.split(", ")]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(found, types)], names=names)
+        coder.rest()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -186,7 +186,7 @@ def raw_segments(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         ids, held, names = [], 0, []
-        encode = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, start, ids, held, names
@@ -197,7 +197,7 @@ def raw_segments(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, types)], names=[x.split()[0] for x in RAW.split(", ")])
 
         for batch in slices(batches, 1):
-            for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+            for doc, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 if ids and held + len(found) + 1 > SEGMENT:
                     yield flush()
                 ids.append(np.append(found, np.uint32(end_id)))
@@ -205,6 +205,7 @@ def raw_segments(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
                 held += len(found) + 1
         if ids:
             yield flush()
+        coder.rest()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     ranged = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")

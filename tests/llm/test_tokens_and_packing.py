@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -8,9 +9,9 @@ from hypothesis import strategies as st
 from odd import no_documents, odd_documents, rows
 
 from eigenframe.llm import packing, token_files
-from eigenframe.llm.tokens import encoder
+from eigenframe.llm.tokens import Encoder, encoder
 
-PARTS = st.lists(st.sampled_from(["a", "Be", "é", " ", "  ", "\n", "\n\n", "'s", "!", "12", "\t", "　", "漢字", "\x01", "😀", "\x1c", "the", "."]), max_size=12)
+PARTS = st.lists(st.sampled_from(["a", "Be", "é", " ", "  ", "\n", "\n\n", "'s", "!", "12", "\t", "　", "漢字", "\x01", "😀", "\x1c", "the", ".", "<|endoftext|>", "<|endof"]), max_size=12)
 
 
 @settings(max_examples=150, deadline=None)
@@ -18,13 +19,33 @@ PARTS = st.lists(st.sampled_from(["a", "Be", "é", " ", "  ", "\n", "\n\n", "'s"
 def test_ids_equal_the_library(texts):
     import public_tokenizers
 
-    e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    got = [x.tolist() for x in e.encode(pa.array(texts, pa.string()))]
-    assert got == [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = [x.tolist() for x in encoder(path).encode(pa.array(texts, pa.string()))]
+    assert got == [x.ids for x in unaltered(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_strings_of_added_tokens_have_the_librarys_ids(bpe):
+    got = encoder(bpe).encode(pa.array(["x<|endoftext|>", "<|endoftext|> a b", "a <|endoftext|"]))
+    assert got[0].tolist() == [87, 50256] and got[1].tolist()[0] == 50256 and 50256 not in got[2]
+
+
+def test_few_remembered_words_give_the_same_ids(bpe):
+    texts = [" ".join(f"w{i % 7}x{i * k % 91}" for i in range(60)) for k in range(12)]
+    small, want = Encoder(bpe, remember=20), unaltered(bpe).encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert [small.encode(pa.array([t]))[0].tolist() for t in texts] == [x.ids for x in want]
+    assert len(small.known) <= 20 + 91 and len(small.older) <= 20 + 91
+
+
+@lru_cache(maxsize=1)
+def unaltered(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def ids_of(bpe, text):
-    return [*encoder(bpe).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*unaltered(bpe).encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def crc(ids):
