@@ -231,7 +231,7 @@ def _(spark, sf):
        SELECT o_orderkey, round(my + pa * (a - ma) + pb * (b - mb), 5) AS predicted, round(my + pa * (a - ma) + pb * (b - mb) - y, 5) AS residual FROM o, f""",
 )
 def _(spark, sf):
-    kinds = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda j: F.when(j % 2 == 0, F.col("a")).otherwise(F.col("b")))
+    kinds = F.flatten(F.array_repeat(F.array("a", "b"), 2500))
     df = table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 1000.0).alias("a"), (F.col("o_orderkey") % 1009 / 100.0).alias("b")
     ).repartition(16).withColumn("x", kinds)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from eigenframe.functions.parsing import finite
 from eigenframe.operators.pca import PCAModel
 from eigenframe.operators.rowstage import apply_row_stage
-from eigenframe.plans.gram import feature_array
+from eigenframe.plans.gram import feature_array, pieces
 
 EXPRESSION_CELLS = 400  # width × k up to which scores stay generated Java code
 
@@ -76,7 +76,7 @@ def _score_batches(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataF
     schema = T.StructType(rows.select(*keep).schema.fields + extra)
 
     def project(batches):
-        for b in batches:
+        for b in pieces(batches, m):
             lists = b.column(b.schema.get_field_index("_x"))
             x = np.full((b.num_rows, m), np.nan)
             x[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)

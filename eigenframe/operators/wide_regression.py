@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from eigenframe.operators.pca import PCAModel, Regression, _fit_very_wide
 from eigenframe.operators.rowstage import Features, RowStage, stage_numbers
 from eigenframe.plans.dense import nested_fits
-from eigenframe.plans.durable import stored
-from eigenframe.plans.gram import column_means, feature_array
+from eigenframe.plans.durable import discard
+from eigenframe.plans.gram import feature_array
 from eigenframe.plans.products import Problem, Rows, leading, tree_sum
 
 HELD_CELLS = 32_000_000  # cells of the vectors of all folds that go through a scan together
@@ -53,9 +53,9 @@ def paths(gram: np.ndarray, y0: float, k: int) -> list[np.ndarray]:
     return nested_fits(scatter[:-1, :-1], scatter[:-1, -1], mean[:-1], mean[-1] + y0, k)
 
 
-def fold_problems(rows: Rows, shift: np.ndarray, cv, scaling: str) -> list[Problem]:
+def fold_problems(rows: Rows, shift: np.ndarray, sums: dict, cv, scaling: str) -> list[Problem]:
     """One problem for each fold held out, with the scale of the rows it learns from."""
-    sums, out = rows.sums(shift), []
+    out = []
     for key in sorted(k for k in sums if k[1] >= 0):
         mine = {k: v for k, v in sums.items() if k[1] == -1 or (k[0] == key[0] and rows.layout.learns(key[1], np.array(k[1])))}
         labelled = sum(v[0] for k, v in mine.items() if k[1] >= 0)
@@ -76,9 +76,9 @@ def cross_validate(base: DataFrame, held: DataFrame, source: Features, m: int, c
     forward = cv.scheme == "forward"
     learns = (lambda held_out, fold: (fold >= 0) & (fold < held_out)) if forward else (lambda held_out, fold: fold != held_out)
     rows = Rows(df, feature_array(df, source), m, [F.col("_y"), *[F.col(c) for c in carry]], ("repeat", "fold"), learns)
-    rows.df = stored(rows.df, "wide")  # read by every scan that follows, the last of them the caller's
-    shift = np.array(column_means(base, feature_array(base, source), m))
-    problems = fold_problems(rows, shift, cv, scaling)
+    rows = rows.packed()  # read by every scan that follows, the last of them the caller's
+    shift, sums = rows.centred_sums()
+    problems = fold_problems(rows, shift, sums, cv, scaling)
     at_once = max(1, HELD_CELLS // (m * (limit + 4)))
     out = [_predicted(rows, shift, y0, problems[i : i + at_once], limit, df, carry) for i in range(0, len(problems), at_once)]
     if not out:
@@ -120,15 +120,16 @@ def _predicted(rows: Rows, shift: np.ndarray, y0: float, problems: Sequence[Prob
 
 def final(base: DataFrame, source: Features, names: tuple[str, ...], y: str, m: int, k: int, scaling: str, stage: RowStage, y0: float) -> PCAModel:
     """Components of all rows, and least squares of the labelled ones on the scores."""
-    model = _fit_very_wide(base, source, names, m, k, scaling, stage)
-    x = feature_array(base, source)
-    rows, shift = Rows(base, x, m, [F.col("_y")]), model.center
+    rows = Rows(base, feature_array(base, source), m, [F.col("_y")]).packed()
+    model = _fit_very_wide(base, source, names, m, k, scaling, stage, rows)
+    shift = model.center
     problem = Problem(None, model.n, model.center, model.divisor)
     used = max(1, int((model.eigenvalues > 1e-12 * model.eigenvalues[0]).sum()))
     gram = score_moments(rows, shift, y0, [problem], [model.loadings[:, :used]])[0]
     gammas = paths(gram, y0, used)
     if len(gammas) - 1 < k:  # the rows do not support more components
-        model = _fit_very_wide(base, source, names, m, max(1, len(gammas) - 1), scaling, stage)
+        model = _fit_very_wide(base, source, names, m, max(1, len(gammas) - 1), scaling, stage, rows)
+    discard(rows.df)
     gamma = gammas[-1]
     n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
     scatter = gram[1:, 1:] - n * np.outer(mean, mean)

@@ -124,3 +124,27 @@ def test_wide_regression_on_few_directions(spark, monkeypatch):
     assert out.model.regression.k == 2 and out.model.regression.r2c == pytest.approx(1) and out.curve.count() == 3
     with pytest.raises(ValueError, match="max_components"):
         reg.fit_pcr(df, "arr", "y", cv=reg.CV(3, order_by=("id",)))
+
+
+def test_packed_rows_are_the_same_rows(spark):
+    x = np.random.default_rng(8).normal(size=(70, 6)) + [0, 1e6, 0, 0, 0, -3]
+    rows = Rows(table(spark, x), F.col("arr"), 6)
+    packed = rows.packed()
+    assert packed.df.schema["x"].dataType.simpleString() == "binary"
+    (a, b), shift = (r.sums(np.ones(6)) for r in (rows, packed)), np.zeros(6)
+    assert a.keys() == b.keys() and all(np.allclose(p, q) for k in a for p, q in zip(a[k], b[k]))
+    shift, parts = packed.centred_sums()
+    (n, off, square), = parts.values()
+    assert n == 70 and np.allclose(shift + off / n, x.mean(axis=0)) and np.allclose((square - off**2 / n) / 69, x.var(axis=0, ddof=1))
+
+
+def test_pieces_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from eigenframe.plans import gram
+
+    monkeypatch.setattr(gram, "_CHUNK", 100)
+    batch = pa.record_batch({"a": list(range(25))})
+    got = list(gram.pieces([batch], 10))
+    assert [p.num_rows for p in got] == [10, 10, 5] and [v for p in got for v in p.column(0).to_pylist()] == list(range(25))
+    assert [p.num_rows for p in gram.pieces([batch.slice(0, 2)], 1000)] == [1, 1]
