@@ -9,6 +9,7 @@ all component counts at once.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -483,6 +484,16 @@ def _cross_validate(base, labelled, cells, source, m, cv, limit, scaling, shift)
     return held.select(*carry, "repeat", "fold", "_y", F.transform("betas", dot).alias("predictions"))
 
 
+def _learned(sizes: dict, keys: Sequence, takes, forward: bool) -> list[int]:
+    """Rows that each fold learns from."""
+    if forward:
+        return [sum(n for o, n in sizes.items() if takes(k, o)) for k in keys]
+    total = Counter()
+    for (repeat, fold), n in sizes.items():
+        total[None if fold == -1 else repeat] += n
+    return [total[k[0]] + total[None] - sizes[k] for k in keys]
+
+
 def _robust_stages(base, source, m, labelled, cv):
     """Median and spread of the rows that each fold learns from, found for all folds in the same scans."""
     spare = base.filter("_y is null").withColumns({c: F.lit(None).cast("int") for c in ("repeat", "fold")})
@@ -494,7 +505,7 @@ def _robust_stages(base, source, m, labelled, cv):
     sizes = {(r["repeat"], r["fold"]): r["count"] for r in rows.df.groupBy("repeat", "fold").count().collect()}
     keys = sorted(k for k in sizes if k[1] >= (1 if forward else 0))
     takes = lambda k, other: other[1] == -1 or (other[0] == k[0] and bool(learns(k[1], np.array(other[1]))))
-    median, spread = robust_scales(rows, keys, [sum(n for o, n in sizes.items() if takes(k, o)) for k in keys])
+    median, spread = robust_scales(rows, keys, _learned(sizes, keys, takes, forward), not forward)
     discard(rows.df)
     return {k: (c, floor_at_one(MAD_SCALE * d)) for k, c, d in zip(keys, median, spread)}
 

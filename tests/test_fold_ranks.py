@@ -100,3 +100,25 @@ def test_ranks_of_many_columns(spark, group_rows):
         mine = pd.DataFrame([r["ranks"] for r in got if r["set"] == k], columns=some)
         assert np.allclose(np.sort(mine.to_numpy(), axis=0), np.sort(want.to_numpy(), axis=0))
         assert np.isclose(np.nan_to_num(mine.corr()).sum(), np.nan_to_num(want.corr()).sum())
+
+
+@pytest.mark.parametrize("near", [2_000_000, 5])
+def test_scales_of_many_groups_left_out_share_their_scans(spark, monkeypatch, near):
+    monkeypatch.setattr(fold_ranks, "NEAR", near)
+    asked, count = [], fold_ranks._counts
+    monkeypatch.setattr(fold_ranks, "_counts", lambda rows, keys, *more: (asked.append(len(keys)), count(rows, keys, *more))[1])
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 900), rng.normal(size=900), -rng.integers(0, 2, 900) * 1e9]) + 0.0
+    fold, repeat = rng.integers(-1, 30, 900), np.zeros(900, dtype=int)
+    cells = [(r.tolist(), int(a) if f >= 0 else None, int(f) if f >= 0 else None) for r, a, f in zip(x, repeat, fold)]
+    df = spark.createDataFrame(cells, "x array<double>, repeat int, fold int").repartition(4)
+    rows = Rows(df, F.col("x"), 3, folds=("repeat", "fold"))
+    keys = sorted({(int(a), int(f)) for a, f in zip(repeat, fold) if f >= 0})
+    learns = [(fold == -1) | ((repeat == a) & (fold != f)) for a, f in keys]
+    median, spread = fold_ranks.robust_scales(rows, keys, [int(own.sum()) for own in learns], left_out=True)
+    for i, chosen in enumerate(learns):
+        own = np.sort(x[chosen], axis=0)
+        at = -(-len(own) // 2) - 1
+        assert (median[i] == own[at]).all()
+        assert (spread[i] == np.sort(np.abs(own - own[at]), axis=0)[at]).all()
+    assert max(asked) == (2 if near > 5 else len(keys))
