@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from eigenframe.functions.parsing import NA_WORDS, finite, is_blank, is_missing, is_number, trimmed
 from eigenframe.functions.stats import pearson
+from eigenframe.plans.durable import discard, stored
 from eigenframe.plans.quantiles import quantiles
 from eigenframe.plans.ranges import dense_index
 from eigenframe.roles import Roles, suffix_role
@@ -131,7 +132,10 @@ def missing_pattern(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     divides by their number and every gap lies on the grid that gives, which needs
     no look at neighbouring rows.
     """
-    placed = dense_index(df.select(*order_by, *[_gap(df, c).alias(f"_g_{c}") for c in cols]), order_by, name="_pos", **kw)
+    # Numbering reads its rows several times, and the numbers are read twice: both are worked out once.
+    gaps = stored(df.select(*order_by, *[_gap(df, c).alias(f"_g_{c}") for c in cols]), "gaps")
+    placed = stored(dense_index(gaps, order_by, name="_pos", **kw).drop(*order_by), "placed")
+    discard(gaps)
     where = placed.select("_pos", *[F.when(F.col(f"_g_{c}"), F.col("_pos")).alias(c) for c in cols])
     ends = _long(where, cols, {"n": F.count, "first": F.min, "last": F.max})
     rows = F.lit(where.count())

@@ -166,3 +166,11 @@ def test_interval_join(spark, monkeypatch, n, span, hot, group_rows, range_ends)
         assert out.columns == [*df.columns, *per.columns]
         got = out.select("id", "d", "p").collect()
         assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_missing_pattern_reads_its_rows_once(spark, monkeypatch):
+    kept, keep = [], profile.stored
+    monkeypatch.setattr(profile, "stored", lambda df, name: (kept.append(name), keep(df, name))[1])
+    df = spark.range(50).select("id", F.when(F.col("id") % 5 != 2, 1.0).alias("a"))
+    got = profile.missing_pattern(df, ["a"], ["id"], group_rows=10).collect()
+    assert [(r["column"], r["pattern"]) for r in got] == [("a", "systematic")] and kept == ["gaps", "placed"]
