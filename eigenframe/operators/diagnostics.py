@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,11 @@ from eigenframe.operators.profile import pair_correlations
 from eigenframe.operators.transforms import MAX_LEVELS, levels, sort_labels
 from eigenframe.plans.dense import t_two_sided
 from eigenframe.plans.durable import discard, stored
-from eigenframe.plans.ranges import GROUP_ROWS, with_range
+from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES
 
 # Chi-square with two degrees of freedom at each level.
 CHI2 = {0.90: 4.605, 0.95: 5.991, 0.99: 9.210}
+FEW_VALUES = 1024  # values of a column that may all be bounds of its ranks
 
 
 def ellipses(df: DataFrame, group: str, x: str, y: str, level: float = 0.95) -> DataFrame:
@@ -96,7 +100,7 @@ def score_correlations(
         # of the scores, each of the others ranks them anew.
         sets = [(list(scores), full)] if full else []
         sets += [(many, [i]) for i in range(len(names)) if i not in full for many in ([list(scores)] if whole else [[c] for c in scores])]
-        ranks = stored(_ranks_of(base, [[*some, *[f"_v{i}" for i in many]] for some, many in sets], counts["rows"]), "ranks")
+        ranks = _ranks_of(base, [[*some, *[f"_v{i}" for i in many]] for some, many in sets], counts["rows"])
         for k, (some, many) in enumerate(sets):
             columns = [*some, *[f"_v{i}" for i in many]]
             own = ranks.filter(F.col("set") == k).select(*[F.col("ranks")[j].alias(c) for j, c in enumerate(columns)])
@@ -111,28 +115,106 @@ def score_correlations(
 def _ranks_of(base: DataFrame, sets: Sequence[Sequence[str]], rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(set, ranks): for each set of columns, the average ranks of its complete rows, in the order of the columns.
 
-    All columns of all sets are ranked at once, as pairs of a column number and a value,
-    and put together again by row: two exchanges, whatever the number of columns. With
-    more rows than a task should sort, pairs are cut into ranges of (column, value, row),
-    and a value that goes on in the next range is counted from both.
+    Bounds from a sample part each column into classes: the bounds themselves and what lies
+    between two of them. Classes are counted for every set; the rank of a bound follows from
+    the counts, and rows between bounds are ranked within their class. A value that many rows
+    share is a bound, so it is never one task's; a column of few values moves no row at all.
     """
-    slots = [(k, j, c) for k, some in enumerate(sets) for j, c in enumerate(some)]
-    complete = [_all_known(some) for some in sets]
-    entries = [
-        F.when(complete[k], F.struct(F.lit(k).alias("set"), F.lit(j).alias("place"), F.lit(at).alias("slot"), (F.col(c) + 0.0).alias("x")))
-        for at, (k, j, c) in enumerate(slots)
-    ]
-    # Numbered before they are unfolded, in a projection of its own.
-    numbered = base.withColumn("row", F.monotonically_increasing_id())
-    pairs = numbered.select("row", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("row", "e.*")
-    if rows <= group_rows:
-        by_value = Window.partitionBy("slot").orderBy("x")
-        ranked = pairs.withColumn("rank", F.rank().over(by_value) + (F.count("*").over(Window.partitionBy("slot", "x")) - 1) / 2)
-    else:
-        ranked = _ranked_in_ranges(stored(pairs, "pairs"), group_rows)
-    return ranked.groupBy("row", "set").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("rank").cast("double").alias("rank")))), lambda e: e["rank"]).alias("ranks")
-    ).select("set", "ranks")
+    columns = list(dict.fromkeys(c for some in sets for c in some))
+    at = {c: i for i, c in enumerate(columns)}
+    plain = base.select(*[(F.col(c) + 0.0).alias(f"x{i}") for i, c in enumerate(columns)])
+    bounds = _bounds_of(plain, min(MAX_RANGES, math.ceil(rows / max(1, group_rows // 16)) or 1), rows)
+    classes = [f"k{i}" for i in range(len(columns))]
+
+    def run(batches):
+        done = 0
+        for batch in batches:
+            out = list(batch.columns)
+            for cells, edges in zip(batch.columns, bounds):
+                x = cells.to_numpy(zero_copy_only=False)
+                n = np.searchsorted(edges, x, side="right")
+                out.append(pa.array(2 * n - (np.append(edges, np.nan)[n - 1] == x), pa.int32()))
+            salt = pa.array(np.arange(done, done + batch.num_rows), pa.int64())
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*out, salt], names=[*batch.schema.names, *classes, "salt"])
+
+    schema = ", ".join([*[f"{c} double" for c in plain.columns], *[f"{c} int" for c in classes], "salt long"])
+    placed = stored(plain.mapInArrow(run, schema), "classes")
+    known = [_all_known([f"x{at[c]}" for c in some]) for some in sets]
+    sizes: dict[tuple[int, int], dict[int, int]] = {}
+    for r in _class_sizes(placed, [[at[c] for c in dict.fromkeys(some)] for some in sets]).collect():
+        sizes.setdefault((r["set"], r["column"]), {})[r["class"]] = r["n"]
+    parts = []
+    for k, some in enumerate(sets):
+        own = placed.filter(known[k])
+        for i in dict.fromkeys(at[c] for c in some):
+            own = _ranked(own, f"x{i}", f"k{i}", sizes.get((k, i), {}))
+        parts.append(own.select(F.lit(k).alias("set"), F.array(*[f"x{at[c]}" for c in some]).alias("ranks")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out.stored_at = placed.stored_at
+    return out
+
+
+def _bounds_of(plain: DataFrame, ranges: int, rows: int) -> list[np.ndarray]:
+    """Rising bounds of each column from a sample: all its values if they are few. Ranks never depend on them."""
+    wanted = max(4096, 32 * ranges)
+    picked = plain.sample(fraction=wanted / rows, seed=7) if wanted < rows else plain
+    out = []
+    for cells in picked.limit(4 * wanted).toArrow().columns:
+        x = cells.to_numpy()
+        x = np.sort(x[~np.isnan(x)])
+        values = np.unique(x)
+        out.append(values if len(values) <= FEW_VALUES and len(x) > 2 * len(values) else np.unique(x[len(x) // ranges :: max(1, len(x) // ranges)]))
+    return out
+
+
+def _class_sizes(placed: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
+    """(set, column, class, n) over the complete rows of each set; a task gives a row per class."""
+    width = max(max(some) for some in sets) + 1
+
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            gaps = np.array([cells.is_null().to_numpy(zero_copy_only=False) for cells in batch.columns[:width]])
+            for k, some in enumerate(sets):
+                whole = ~gaps[some].any(axis=0)
+                for i in some:
+                    n = np.bincount(batch.column(width + i).to_numpy()[whole])
+                    old = total.get((k, i), n[:0])
+                    if len(old) < len(n):
+                        old, n = n, old
+                    old[: len(n)] += n
+                    total[k, i] = old
+        for (k, i), n in total.items():
+            hit = np.flatnonzero(n)
+            yield pa.record_batch(
+                [pa.array([k] * len(hit), pa.int32()), pa.array([i] * len(hit), pa.int32()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())],
+                names=["set", "column", "class", "n"],
+            )
+
+    cells = placed.select(*[f"x{i}" for i in range(width)], *[f"k{i}" for i in range(width)])
+    parts = cells.mapInArrow(run, "set int, column int, class int, n long")
+    return parts.groupBy("set", "column", "class").agg(F.sum("n").alias("n"))
+
+
+def _ranked(df: DataFrame, x: str, cls: str, sizes: dict[int, int]) -> DataFrame:
+    """Column ``x`` replaced by its average ranks. Odd classes are bounds, even ones what lies between two."""
+    n = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+    n[list(sizes)] = list(sizes.values())
+    bound = np.arange(len(n)) % 2 == 1
+    begin = np.cumsum(n) - n + np.where(bound, (n + 1) / 2, 0.0)
+    rank = F.get(F.from_json(F.lit(json.dumps(begin.tolist())), "array<double>"), F.col(cls))
+    if not n[~bound].any():
+        return df.withColumn(x, rank)
+    between = F.col(cls) % 2 == 0
+    # Rows on a bound have their rank already; they are dealt out evenly.
+    dealt = df.withColumn("_part", F.when(between, F.col(cls).cast("long")).otherwise(-1 - F.col("salt") % len(n)))
+    w = Window.partitionBy("_part").orderBy(F.when(between, F.col(x)))
+    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    local = (F.rank().over(w) + upto) / 2
+    return dealt.withColumn(x, F.when(between, rank + local).otherwise(rank)).drop("_part")
 
 
 def _all_known(columns: Sequence[str]) -> Column:
@@ -142,27 +224,6 @@ def _all_known(columns: Sequence[str]) -> Column:
     return known
 
 
-def _ranked_in_ranges(pairs: DataFrame, group_rows: int) -> DataFrame:
-    """Ranks of pairs cut into ranges; what earlier ranges hold comes from one row per range and column."""
-    keyed = with_range(pairs, ["slot", "x", "row"], max(1, group_rows // 4))
-    part = Window.partitionBy("_rng", "slot")
-    per = keyed.groupBy("_rng", "slot").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    edges = keyed.join(F.broadcast(per), ["_rng", "slot"]).filter((F.col("x") == F.col("lo")) | (F.col("x") == F.col("hi")))
-    ends = edges.groupBy("_rng", "slot", "x").count().groupBy("slot", "x").agg(F.sum("count").alias("all"), F.min("_rng").alias("first"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("slot").orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A value at the edge of a range begins where its first range has it, and is as often as all ranges say.
-    starts = ends.join(before.select("_rng", F.col("slot").alias("_s"), "before"), (F.col("first") == F.col("_rng")) & (F.col("slot") == F.col("_s")))
-    starts = starts.select(F.col("slot").alias("_s"), F.col("x").alias("_x"), "all", "first", F.col("before").alias("_b"))
-    local = keyed.join(F.broadcast(before.select("_rng", "slot", "before")), ["_rng", "slot"])
-    local = local.withColumn("_r", F.rank().over(part.orderBy("x"))).withColumn("_c", F.count("*").over(Window.partitionBy("_rng", "slot", "x")))
-    firsts = local.join(F.broadcast(starts), (F.col("slot") == F.col("_s")) & (F.col("x") == F.col("_x")), "left")
-    # In its first range a value's local rank stands; in later ones it is the first value, ranked from there.
-    own = firsts.filter(F.col("_rng") == F.col("first")).groupBy("_s", "_x").agg(F.min(F.col("before") + F.col("_r")).alias("begin"))
-    out = firsts.join(F.broadcast(own.withColumnsRenamed({"_s": "_s2", "_x": "_x2"})), (F.col("slot") == F.col("_s2")) & (F.col("x") == F.col("_x2")), "left")
-    rank = F.when(F.col("begin").isNull(), F.col("before") + F.col("_r") + (F.col("_c") - 1) / 2).otherwise(F.col("begin") + (F.col("all") - 1) / 2)
-    return out.select("row", "set", "place", rank.alias("rank"))
-
-
 def _correlate(df: DataFrame, scores: Sequence[str], many, names: Sequence[str], centre=None) -> list[tuple]:
     """One row per variable and score (few of either), in that order."""
     label = {f"_v{i}": names[i] for i in many}

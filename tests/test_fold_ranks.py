@@ -122,3 +122,13 @@ def test_scales_of_many_groups_left_out_share_their_scans(spark, monkeypatch, ne
         assert (median[i] == own[at]).all()
         assert (spread[i] == np.sort(np.abs(own - own[at]), axis=0)[at]).all()
     assert max(asked) == (2 if near > 5 else len(keys))
+
+
+def test_ranks_sort_no_column_of_few_values(spark):
+    rows = [(float(i % 3), float(i % 7), None if i % 5 == 0 else float(i * 37 % 400)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(4)
+    plan = diagnostics._ranks_of(df, [["a", "b"]], 400, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    mixed = diagnostics._ranks_of(df, [["a", "c"]], 400, 40)
+    order = [x for _, _, x in rows if x is not None]
+    assert sorted(r["ranks"][1] for r in mixed.collect()) == [float(i + 1) for i in range(len(order))]
