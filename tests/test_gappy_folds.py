@@ -55,6 +55,20 @@ def test_folds_equal_fits_of_their_own(gaps, cv, scaling):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
+@pytest.mark.parametrize(("cv", "limit", "scaling"), [(reg.CV(2, order_by=("id",), shuffle=True), 1, "standard")])
+def test_moments_give_what_passes_give(gaps, monkeypatch, cv, limit, scaling):
+    base = gaps.withColumn("_y", F.col("y") + 1e4)
+    held = reg.assign_folds(base.filter("_y is not null"), cv)
+    asked = []
+    monkeypatch.setattr(gappy_folds, "_summed", lambda *a, f=gappy_folds._summed: (asked.append(1), f(*a))[1])
+    by_moments = gappy_folds.cross_validate(base, held, FEATURES, cv, limit, scaling).collect()
+    assert not asked  # no pass over the rows for a step
+    monkeypatch.setattr(gappy_folds, "MOMENT_CELLS", 0)
+    by_passes = gappy_folds.cross_validate(base, held, FEATURES, cv, limit, scaling).collect()
+    got, want = ({(r["repeat"], r["fold"], r["id"]): r["predictions"] for r in rows} for rows in (by_moments, by_passes))
+    assert asked and got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
 def test_many_repeats_hold_each_row_out_once(gaps, monkeypatch):
     monkeypatch.setattr(gappy_folds, "AT_ONCE", 17)
     cv = reg.CV(10, order_by=("id",), shuffle=True, repeats=3, seed=2)
