@@ -174,3 +174,15 @@ def test_missing_pattern_reads_its_rows_once(spark, monkeypatch):
     df = spark.range(50).select("id", F.when(F.col("id") % 5 != 2, 1.0).alias("a"))
     got = profile.missing_pattern(df, ["a"], ["id"], group_rows=10).collect()
     assert [(r["column"], r["pattern"]) for r in got] == [("a", "systematic")] and kept == ["gaps", "placed"]
+
+
+def test_periods_with_the_same_ends_are_cut_once(spark, monkeypatch):
+    seen, named = [], joins._named_segments
+    monkeypatch.setattr(joins, "_named_segments", lambda spans, *more: (seen.append(spans.count()), named(spans, *more))[1])
+    monkeypatch.setattr(joins, "SMALL_PERIODS", 10)
+    per = spark.range(600).select((600 - F.col("id")).alias("k"), F.timestamp_seconds(F.col("id") % 15).alias("a"), F.timestamp_seconds(F.col("id") % 15 + 3).alias("b"))
+    df = spark.range(25).select(F.timestamp_seconds("id").alias("t"), "id")
+    got = {r["id"]: r["k"] for r in joins.interval_join(df, "t", per, "a", "b", ["k"]).collect()}
+    rows = [(600 - i, i % 15) for i in range(600)]
+    assert got == {t: min((k for k, a in rows if a <= t < a + 3), default=None) for t in range(25)}
+    assert seen == [15]
