@@ -11,6 +11,7 @@ where ranges are cut: results never depend on them.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 from collections.abc import Callable, Sequence
@@ -190,7 +191,15 @@ def hash_cuts(df: DataFrame, mix: Column, order_by: Sequence[str], positions: Se
     found_keys = [r["k"] for r in numbered.orderBy("_mix", *order_by).select(F.to_json(F.struct("_mix", *order_by), _TS).alias("k")).collect()]
     schema = T.ArrayType(T.StructType([T.StructField("_mix", T.LongType()), *[T.StructField(c, df.schema[c].dataType) for c in order_by]]))
     table = F.from_json(F.lit("[" + ",".join(found_keys) + "]"), schema, _TS)
-    return count_upto(table, len(found_keys), F.struct(mix.alias("_mix"), *order_by))
+    exact = count_upto(table, len(found_keys), F.struct(mix.alias("_mix"), *order_by))
+    # Leading bits settle nearly all rows; those that share them with an edge are compared with the edges.
+    bits = min(16, 8 + len(found_keys).bit_length())
+    edges = [json.loads(k)["_mix"] + (1 << 63) >> 64 - bits for k in found_keys]
+    upto = [bisect.bisect(edges, b) for b in range(1 << bits)]
+    for b in edges:
+        upto[b] = None
+    at = F.shiftrightunsigned(mix.bitwiseXOR(F.expr("-9223372036854775807L - 1")), 64 - bits)
+    return F.coalesce(F.get(F.from_json(F.lit(json.dumps(upto)), "array<int>"), at.cast("int")), exact)
 
 
 @dataclass(frozen=True)

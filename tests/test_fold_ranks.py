@@ -132,3 +132,11 @@ def test_ranks_sort_no_column_of_few_values(spark):
     mixed = diagnostics._ranks_of(df, [["a", "c"]], 400, 40)
     order = [x for _, _, x in rows if x is not None]
     assert sorted(r["ranks"][1] for r in mixed.collect()) == [float(i + 1) for i in range(len(order))]
+
+
+def test_edges_of_shuffled_folds_are_compared_with_few_rows(spark):
+    df = spark.range(3000)
+    cut = hash_cuts(df, F.xxhash64("id"), ["id"], [1000, 2000])
+    plan = df.select(cut.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(" in plan  # a look-up by leading bits comes before the comparison of whole keys
+    assert [r["count"] for r in df.select(cut.alias("c")).groupBy("c").count().orderBy("c").collect()] == [1000] * 3
