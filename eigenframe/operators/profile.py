@@ -393,7 +393,7 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
 
 def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return (
-        df.select(_digest(cols).alias("_d")).groupBy("_d").count()
+        df.select(F.unhex(_digest(cols)).alias("_d")).groupBy("_d").count()
         .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
     )
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eigenframe.functions.parsing import finite
 from eigenframe.functions.stats import array_sum, let
@@ -23,10 +24,12 @@ from eigenframe.operators.profile import (
     sparse_rows,
 )
 from eigenframe.operators.rows import check_key
+from eigenframe.plans.durable import discard, stored
 from eigenframe.plans.gram import feature_array
 from eigenframe.plans.quantiles import quantiles
 from eigenframe.roles import Roles
 
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 NEAR_CONSTANT = 0.001  # spread relative to the level of the column
 HIGH_R = 0.95
 ISSUE = "severity string, category string, column string, other string, value double"
@@ -62,6 +65,11 @@ def profile(df: DataFrame, roles: Roles) -> Profile:
     """Profile features, targets and categories; a handful of scans, whatever the number of columns."""
     spark = df.sparkSession
     numeric, text = list(roles.features), list(roles.categorical)
+    both = numeric + text
+    # A dozen scans: what the columns are made from is worked out once.
+    kept = None
+    if both and all(isinstance(df.schema[c].dataType, _PLAIN) for c in both):
+        df = kept = stored(df.select(*dict.fromkeys(both)), "profile")
     frames = []
     if numeric:
         lazy = numeric_profile(df, numeric)
@@ -81,16 +89,18 @@ def profile(df: DataFrame, roles: Roles) -> Profile:
         have = set(full.columns)
         rows += full.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in names]).collect()
     columns = spark.createDataFrame([tuple(r) for r in rows], PROFILE_SCHEMA).fillna({"outliers": 0})
-    both = numeric + text
     pairs = correlations(df, numeric).filter(F.abs("r") > HIGH_R) if len(numeric) > 1 else None
     held = pairs.collect() if pairs is not None else []
-    return Profile(
+    out = Profile(
         columns,
         spark.createDataFrame([tuple(r) for r in held], "x string, y string, r double"),
         df.count(),
         int(duplicate_count(df, both).first()[0]),
         sparse_rows(df, both, []).count(),
     )
+    if kept is not None:
+        discard(kept)
+    return out
 
 
 def _constant() -> Column:
