@@ -30,6 +30,7 @@ from eigenframe.llm.common import slices
 from eigenframe.llm.tokens import encoder
 from eigenframe.plans.durable import stored
 
+SLICE = 1 << 20  # bytes of text encoded at once; what encoding holds beside the word cache follows from it
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -69,7 +70,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> Da
 
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         coder = encoder(tokenizer)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             found: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4")
