@@ -55,7 +55,8 @@ def interval_join(
         return _by_segments(df, at, spans.orderBy(*order).collect(), spans, extra)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.col(at).cast("timestamp").cast("double").alias("t"))
     named = _named_segments(spans, order, group_rows, range_ends)
-    if named.limit(2 * SMALL_PERIODS + 1).count() <= 2 * SMALL_PERIODS:
+    most = max(0, 2 * SMALL_PERIODS)
+    if 0 < named.limit(most + 1).count() <= most:
         listed = named.orderBy("start").collect()
         return _at_segments(df, at, [r["start"] for r in listed], [r["p"] for r in listed], spans, extra)
     matched = _by_ranges(rows, named, group_rows)
