@@ -16,6 +16,7 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 GROUP_ROWS = 4_000_000  # rows one window group may hold in a task
 MAX_RANGES = 4096
+FEW_CUTS = 60  # entries compared one by one in generated code
 _SAMPLE_PER_RANGE = 32
 _TS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -46,7 +48,19 @@ def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int, name: st
         return df.withColumn(name, F.lit(0))
     schema = T.ArrayType(T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
     table = F.from_json(F.lit("[" + ",".join(bounds) + "]"), schema, _TS)
-    return df.withColumn(name, count_upto(table, len(bounds), F.struct(*[F.col(k) for k in keys])))
+    return df.withColumn(name, _count_keys(table, len(bounds), keys))
+
+
+def _count_keys(table: Column, size: int, keys: Sequence[str]) -> Column:
+    """As :func:`count_upto` for the columns ``keys``; few entries are compared by the first column where that decides."""
+    exact = count_upto(table, size, F.struct(*[F.col(k) for k in keys]))
+    if size > FEW_CUTS:
+        return exact
+    first = [F.element_at(table, i + 1)[keys[0]] for i in range(size)]
+    x = F.col(keys[0])
+    tie = reduce(Column.__or__, [x.isNull(), *[F.coalesce(c == x, F.lit(False)) for c in first]])
+    below = reduce(Column.__add__, [F.coalesce((c < x).cast("int"), F.lit(1)) for c in first])  # a NULL comes before all
+    return F.when(tie, exact).otherwise(below)
 
 
 def count_upto(table: Column, size: int, key: Column) -> Column:
@@ -139,20 +153,37 @@ def cuts_before(
 ) -> Column:
     """How many of the (rising, 0-based) positions a row is at or past.
 
-    Only the sort keys are sorted, once, to look up the keys at the positions;
-    the result is an expression, so the rows themselves never move. ``order_by``
-    must identify rows.
+    Only sort keys are sorted, to look up those at the positions (of many rows, the keys
+    of the ranges that hold one); the result is an expression, so the rows themselves
+    never move. ``order_by`` must identify rows.
     """
     inside = [p for p in positions if p < rows]
     if not inside:
         return F.lit(0)
     if len(inside) > MAX_RANGES:
         raise ValueError(f"at most {MAX_RANGES} cuts")
-    placed = dense_index(df.select(*order_by), order_by, group_rows=group_rows, at_most=rows)
-    keys = placed.filter(F.col("_pos").isin(*inside)).select("_pos", F.to_json(F.struct(*order_by), _TS).alias("k"))
-    found = [r["k"] for r in sorted(keys.collect(), key=lambda r: r["_pos"])]
+    if rows <= group_rows:
+        placed = dense_index(df.select(*order_by), order_by, at_most=rows, group_rows=group_rows)
+        keys = placed.filter(F.col("_pos").isin(*inside))
+    else:
+        keys = _at_positions(df.select(*order_by), order_by, inside, rows, group_rows)
+    found = [r["k"] for r in sorted(keys.select("_pos", F.to_json(F.struct(*order_by), _TS).alias("k")).collect(), key=lambda r: r["_pos"])]
     schema = T.ArrayType(T.StructType([T.StructField(c, df.schema[c].dataType) for c in order_by]))
-    return count_upto(F.from_json(F.lit("[" + ",".join(found) + "]"), schema, _TS), len(found), F.struct(*order_by))
+    return _count_keys(F.from_json(F.lit("[" + ",".join(found) + "]"), schema, _TS), len(found), order_by)
+
+
+def _at_positions(keys: DataFrame, order_by: Sequence[str], positions: Sequence[int], rows: int, group_rows: int) -> DataFrame:
+    """The keys at the positions, with ``_pos``: ranges are counted, and only those with a position in them are sorted."""
+    keyed = with_range(keys, order_by, min(group_rows, max(1, group_rows // 16, -(-rows // FEW_CUTS))))
+    counts = keyed.groupBy("_rng").count().orderBy("_rng").collect()
+    before, wanted = 0, []
+    for r in counts:
+        wanted += [(r["_rng"], p - before + 1, p) for p in positions if before <= p < before + r["count"]]
+        before += r["count"]
+    near = keyed.filter(F.col("_rng").isin(*{rng for rng, _, _ in wanted}))
+    numbered = near.withColumn("_at", F.row_number().over(Window.partitionBy("_rng").orderBy(*order_by)))
+    side = keys.sparkSession.createDataFrame(wanted, "_rng int, _at int, _pos long")
+    return numbered.join(F.broadcast(side), ["_rng", "_at"]).drop("_rng", "_at")
 
 
 _HASH_ROWS = 100_000  # rows around the wanted edges that are looked at one by one

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from eigenframe.plans import ranges
 from eigenframe.operators import joins, profile, rows, windows
 from eigenframe.operators.missing import fill
 from eigenframe.plans import quantiles as qn
@@ -186,3 +187,14 @@ def test_periods_with_the_same_ends_are_cut_once(spark, monkeypatch):
     rows = [(600 - i, i % 15) for i in range(600)]
     assert got == {t: min((k for k, a in rows if a <= t < a + 3), default=None) for t in range(25)}
     assert seen == [15]
+
+
+def test_cuts_sort_only_ranges_that_hold_one(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "dense_index", None)  # numbering all rows is not needed
+    keys = [(None if i % 50 == 0 else i % 13, i) for i in range(700)]
+    df = spark.createDataFrame(keys, "a int, b int").repartition(6)
+    positions = [0, 1, 99, 100, 101, 350, 699, 800]
+    cut = ranges.cuts_before(df, ["a", "b"], positions, 700, group_rows=320)
+    got = {(r["a"], r["b"]): r["c"] for r in df.select("a", "b", cut.alias("c")).collect()}
+    order = sorted(keys, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert [got[k] for k in order] == [sum(p <= at for p in positions) for at in range(700)]
