@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenframe.functions.parsing import finite, is_blank
@@ -16,8 +14,9 @@ from eigenframe.operators.pca import PCAModel
 from eigenframe.operators.profile import pair_correlations
 from eigenframe.operators.transforms import MAX_LEVELS, levels, sort_labels
 from eigenframe.plans.dense import t_two_sided
-from eigenframe.plans.durable import discard, stored
+from eigenframe.plans.durable import stored
 from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES
+from eigenframe.plans.row_ranks import count_classes, rank_rows, rank_sums
 
 # Chi-square with two degrees of freedom at each level.
 CHI2 = {0.90: 4.605, 0.95: 5.991, 0.99: 9.210}
@@ -92,69 +91,53 @@ def score_correlations(
     if method == "pearson":
         found += _correlate(base, scores, range(len(names)), names)
     else:
-        counts = base.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in base.columns]).first()
-        middle = (counts["rows"] + 1) / 2
-        whole = all(counts[c] == counts["rows"] for c in scores)
-        full = [i for i in range(len(names)) if whole and counts[f"_v{i}"] == counts["rows"]]
-        # Ranks are made after the pairs with gaps are gone: variables without gaps share one ranking
-        # of the scores, each of the others ranks them anew.
-        sets = [(list(scores), full)] if full else []
-        sets += [(many, [i]) for i in range(len(names)) if i not in full for many in ([list(scores)] if whole else [[c] for c in scores])]
-        ranks = _ranks_of(base, [[*some, *[f"_v{i}" for i in many]] for some, many in sets], counts["rows"])
-        for k, (some, many) in enumerate(sets):
-            columns = [*some, *[f"_v{i}" for i in many]]
-            own = ranks.filter(F.col("set") == k).select(*[F.col("ranks")[j].alias(c) for j, c in enumerate(columns)])
-            found += _correlate(own, some, many, names, middle)
-        discard(ranks)
+        found += _correlate_ranks(base, list(scores), names)
     first = {v: r for v, c, _n, r in found if c == scores[0]}
     place = {v: k for k, v in enumerate(sorted(names, key=lambda v: (-first[v], v)))}
     rows = [(place[v], v, c, n, float(r), _p(spark, r, n)) for v, c, n, r in found]
     return spark.createDataFrame(rows, "place int, variable string, component string, n long, r double, p double")
 
 
+def _correlate_ranks(base: DataFrame, scores: list[str], names: Sequence[str], group_rows: int = GROUP_ROWS) -> list[tuple]:
+    """As :func:`_correlate`, of ranks made after the pairs with gaps are gone."""
+    counts = base.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in base.columns]).first()
+    whole = all(counts[c] == counts["rows"] for c in scores)
+    full = [i for i in range(len(names)) if counts[f"_v{i}"] == counts["rows"]]
+    rest = [i for i in range(len(names)) if i not in full]
+    # Variables without gaps share one ranking of the scores, each of the others ranks them anew; so does each score with gaps.
+    sets = [(some, many) for some in ([scores] if whole else [[c] for c in scores]) for many in [full, *[[i] for i in rest]] if many]
+    plain, at, bounds = _plain(base, [[*some, *[f"_v{i}" for i in many]] for some, many in sets], counts["rows"], group_rows)
+    ranking = count_classes(plain, [[at[c] for c in (*some, *[f"_v{i}" for i in many])] for some, many in sets], bounds)
+    sums = rank_sums(plain, ranking, [([at[c] for c in some], [at[f"_v{i}"] for i in many]) for some, many in sets])
+    pairs = [(i, c, sums[at[c], at[f"_v{i}"]]) for i in ([*full, *rest] if whole else range(len(names))) for c in scores]
+    return [(names[i], c, int(s[0]), _r_of_sums(*s.tolist())) for i, c, s in pairs]
+
+
+def _r_of_sums(n: float, sx: float, sy: float, sxx: float, syy: float, sxy: float) -> float:
+    """Pearson's r of ranks from sums about their mean; fewer than three pairs, or ranks without spread, give 0."""
+    mean = (n + 1) / 2
+    vx, vy = sxx - sx * sx / max(n, 1), syy - sy * sy / max(n, 1)
+    if n < 3 or any(v <= max(1e-12 * s, 1e-28 * n * mean * mean) for v, s in ((vx, sxx), (vy, syy))):
+        return 0.0
+    return max(-1.0, min(1.0, (sxy - sx * sy / n) / math.sqrt(vx * vy)))
+
+
 def _ranks_of(base: DataFrame, sets: Sequence[Sequence[str]], rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(set, ranks): for each set of columns, the average ranks of its complete rows, in the order of the columns.
+    """(set, ranks): for each set of columns, the average ranks of its complete rows, in the order of the columns."""
+    plain, at, bounds = _plain(base, sets, rows, group_rows)
+    plain = stored(plain, "columns")
+    out = rank_rows(plain, count_classes(plain, [[at[c] for c in some] for some in sets], bounds))
+    out.stored_at = plain.stored_at
+    return out
 
-    Bounds from a sample part each column into classes: the bounds themselves and what lies
-    between two of them. Classes are counted for every set; the rank of a bound follows from
-    the counts, and rows between bounds are ranked within their class. A value that many rows
-    share is a bound, so it is never one task's; a column of few values moves no row at all.
-    """
+
+def _plain(base: DataFrame, sets: Sequence[Sequence[str]], rows: int, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, dict[str, int], list[np.ndarray]]:
+    """The columns of all sets as doubles, their numbers, and bounds that leave a task few enough rows."""
     columns = list(dict.fromkeys(c for some in sets for c in some))
-    at = {c: i for i, c in enumerate(columns)}
     plain = base.select(*[(F.col(c) + 0.0).alias(f"x{i}") for i, c in enumerate(columns)])
-    bounds = _bounds_of(plain, min(MAX_RANGES, math.ceil(rows / max(1, group_rows // 16)) or 1), rows)
-    classes = [f"k{i}" for i in range(len(columns))]
-
-    def run(batches):
-        done = 0
-        for batch in batches:
-            out = list(batch.columns)
-            for cells, edges in zip(batch.columns, bounds):
-                x = cells.to_numpy(zero_copy_only=False)
-                n = np.searchsorted(edges, x, side="right")
-                out.append(pa.array(2 * n - (np.append(edges, np.nan)[n - 1] == x), pa.int32()))
-            salt = pa.array(np.arange(done, done + batch.num_rows), pa.int64())
-            done += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*out, salt], names=[*batch.schema.names, *classes, "salt"])
-
-    schema = ", ".join([*[f"{c} double" for c in plain.columns], *[f"{c} int" for c in classes], "salt long"])
-    placed = stored(plain.mapInArrow(run, schema), "classes")
-    known = [_all_known([f"x{at[c]}" for c in some]) for some in sets]
-    sizes: dict[tuple[int, int], dict[int, int]] = {}
-    for r in _class_sizes(placed, [[at[c] for c in dict.fromkeys(some)] for some in sets]).collect():
-        sizes.setdefault((r["set"], r["column"]), {})[r["class"]] = r["n"]
-    parts = []
-    for k, some in enumerate(sets):
-        own = placed.filter(known[k])
-        for i in dict.fromkeys(at[c] for c in some):
-            own = _ranked(own, f"x{i}", f"k{i}", sizes.get((k, i), {}))
-        parts.append(own.select(F.lit(k).alias("set"), F.array(*[f"x{at[c]}" for c in some]).alias("ranks")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out.stored_at = placed.stored_at
-    return out
+    cells = rows * max(16, len(columns))
+    bounds = _bounds_of(plain, min(MAX_RANGES, math.ceil(cells / max(16, group_rows)) or 1), rows)
+    return plain, {c: i for i, c in enumerate(columns)}, bounds
 
 
 def _bounds_of(plain: DataFrame, ranges: int, rows: int) -> list[np.ndarray]:
@@ -170,64 +153,10 @@ def _bounds_of(plain: DataFrame, ranges: int, rows: int) -> list[np.ndarray]:
     return out
 
 
-def _class_sizes(placed: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
-    """(set, column, class, n) over the complete rows of each set; a task gives a row per class."""
-    width = max(max(some) for some in sets) + 1
-
-    def run(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            gaps = np.array([cells.is_null().to_numpy(zero_copy_only=False) for cells in batch.columns[:width]])
-            for k, some in enumerate(sets):
-                whole = ~gaps[some].any(axis=0)
-                for i in some:
-                    n = np.bincount(batch.column(width + i).to_numpy()[whole])
-                    old = total.get((k, i), n[:0])
-                    if len(old) < len(n):
-                        old, n = n, old
-                    old[: len(n)] += n
-                    total[k, i] = old
-        for (k, i), n in total.items():
-            hit = np.flatnonzero(n)
-            yield pa.record_batch(
-                [pa.array([k] * len(hit), pa.int32()), pa.array([i] * len(hit), pa.int32()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())],
-                names=["set", "column", "class", "n"],
-            )
-
-    cells = placed.select(*[f"x{i}" for i in range(width)], *[f"k{i}" for i in range(width)])
-    parts = cells.mapInArrow(run, "set int, column int, class int, n long")
-    return parts.groupBy("set", "column", "class").agg(F.sum("n").alias("n"))
-
-
-def _ranked(df: DataFrame, x: str, cls: str, sizes: dict[int, int]) -> DataFrame:
-    """Column ``x`` replaced by its average ranks. Odd classes are bounds, even ones what lies between two."""
-    n = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
-    n[list(sizes)] = list(sizes.values())
-    bound = np.arange(len(n)) % 2 == 1
-    begin = np.cumsum(n) - n + np.where(bound, (n + 1) / 2, 0.0)
-    rank = F.get(F.from_json(F.lit(json.dumps(begin.tolist())), "array<double>"), F.col(cls))
-    if not n[~bound].any():
-        return df.withColumn(x, rank)
-    between = F.col(cls) % 2 == 0
-    # Rows on a bound have their rank already; they are dealt out evenly.
-    dealt = df.withColumn("_part", F.when(between, F.col(cls).cast("long")).otherwise(-1 - F.col("salt") % len(n)))
-    w = Window.partitionBy("_part").orderBy(F.when(between, F.col(x)))
-    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (F.rank().over(w) + upto) / 2
-    return dealt.withColumn(x, F.when(between, rank + local).otherwise(rank)).drop("_part")
-
-
-def _all_known(columns: Sequence[str]) -> Column:
-    known = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        known = known & F.col(c).isNotNull()
-    return known
-
-
-def _correlate(df: DataFrame, scores: Sequence[str], many, names: Sequence[str], centre=None) -> list[tuple]:
+def _correlate(df: DataFrame, scores: Sequence[str], many, names: Sequence[str]) -> list[tuple]:
     """One row per variable and score (few of either), in that order."""
     label = {f"_v{i}": names[i] for i in many}
-    rows = pair_correlations(df, list(label), list(scores), 3, centre).collect()
+    rows = pair_correlations(df, list(label), list(scores), 3).collect()
     got = {(label[r["x"]], r["y"]): (r["n"], r["r"]) for r in rows}
     return [(v, c, *got[(v, c)]) for v in label.values() for c in scores]
 
