@@ -135,7 +135,7 @@ def _plain(base: DataFrame, sets: Sequence[Sequence[str]], rows: int, group_rows
     """The columns of all sets as doubles, their numbers, and bounds that leave a task few enough rows."""
     columns = list(dict.fromkeys(c for some in sets for c in some))
     plain = base.select(*[(F.col(c) + 0.0).alias(f"x{i}") for i, c in enumerate(columns)])
-    cells = rows * max(16, len(columns))
+    cells = rows * max(len(columns), sum(map(len, sets)))  # a row has a rank for each set
     bounds = _bounds_of(plain, min(MAX_RANGES, math.ceil(cells / max(16, group_rows)) or 1), rows)
     return plain, {c: i for i, c in enumerate(columns)}, bounds
 

@@ -7,7 +7,9 @@ scan for every set, classes give the rank of a bound and where the ranks between
 bounds begin. Rows between bounds are dealt by class, one range per task, and ranked
 there for all sets at once; a value that many rows share is a bound, so it is never one
 task's, and a column whose values are all bounds moves no row. A task packs the cells of
-all rows that it sends to one range as bytes: an exchange moves blocks, not rows.
+all rows that it sends to one range as bytes, row after row: an exchange moves blocks, not
+rows. Neither counting nor dealing looks a value up among the bounds: values are sorted,
+and the bounds are looked up among them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from eigenframe.plans.ranges import MAX_RANGES
 
 HELD_CELLS = 1 << 21  # cells a task gathers before it deals them
 _RAW = -1  # in the place of a set: the column is not ranked yet
+FEW_FILES = 32  # ranges for which a task may write a file each
+ONE_FILE = 201  # ranges from which on Spark lets a task write one file for all
 _BLOCKS = "at int, cells binary"
 
 
@@ -50,63 +54,91 @@ class Ranking:
 
     def rank(self, cells: np.ndarray, layout: list, now: Sequence[int]) -> np.ndarray:
         """Columns ``now`` replaced by their ranks, NaN outside of a set. Rows between bounds must be all of one class."""
+        at = {key: i for i, key in enumerate(layout)}
+        known = [None if not set(now) & set(some) else self._complete(cells, at, k) for k, some in enumerate(self.sets)]
+        new = []
         for c in now:
-            at = {key: i for i, key in enumerate(layout)}
-            x = cells[at[_RAW, c]]
-            cls = classes(x, self.edges[c])
-            between = cls % 2 == 0
-            new = []
-            for k, some in enumerate(self.sets):
-                if c not in some:
-                    continue
-                held = [at.get((k, other), at.get((_RAW, other))) for other in some]
-                known = ~np.isnan(cells[[i for i in held if i is not None]]).any(axis=0)
-                rank = np.where(known, self.begins[k, c][cls], np.nan)
-                inner = np.flatnonzero(known & between)
-                if len(inner):
-                    _, which, n = np.unique(x[inner], return_inverse=True, return_counts=True)
-                    rank[inner] += (np.cumsum(n) - (n - 1) / 2)[which]
-                new.append(rank)
-            cells = np.vstack([np.delete(cells, at[_RAW, c], axis=0), *new])
-            layout = self.after(layout, [c])
-        return cells
+            sets = [k for k, some in enumerate(self.sets) if c in some]
+            new += (self._inner if self.moved[c] else self._on_bounds)(cells[:, at[_RAW, c]].copy(), c, sets, [known[k] for k in sets])
+        kept = [at[key] for key in layout if key[0] != _RAW or key[1] not in now]
+        return np.column_stack([*(cells[:, i] for i in kept), *new]) if now else cells
+
+    def _complete(self, cells: np.ndarray, at: dict, k: int) -> np.ndarray:
+        """Rows that have all columns of a set: those with a rank, once one of them is ranked."""
+        done = [at[k, c] for c in self.sets[k] if (k, c) in at]
+        return ~np.logical_or.reduce([np.isnan(cells[:, i]) for i in done[:1] or [at[_RAW, c] for c in self.sets[k]]])
+
+    def _on_bounds(self, x: np.ndarray, c: int, sets: Sequence[int], known: Sequence[np.ndarray]) -> list[np.ndarray]:
+        cls = classes(x, self.edges[c])
+        return [np.where(rows, self.begins[k, c][cls], np.nan) for k, rows in zip(sets, known)]
+
+    def _inner(self, x: np.ndarray, c: int, sets: Sequence[int], known: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """One sort for all sets; equal values are ranked once."""
+        order = np.argsort(x)
+        x = x[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+        lengths = np.diff(np.append(first, len(x)))
+        cls = classes(x[first], self.edges[c])
+        between = cls % 2 == 0
+        out = []
+        for k, rows in zip(sets, known):
+            rows = rows[order]
+            n = np.where(between, np.add.reduceat(rows, first, dtype=np.int64) if len(first) else 0, 0)
+            rank = self.begins[k, c][cls] + np.where(between, np.cumsum(n) - (n - 1) / 2, 0.0)
+            new = np.empty(len(x))
+            new[order] = np.where(rows, np.repeat(rank, lengths), np.nan)
+            out.append(new)
+        return out
 
 
 def count_classes(plain: DataFrame, sets: Sequence[Sequence[int]], edges: Sequence[np.ndarray]) -> Ranking:
     """One scan: how many complete rows of every set each class holds."""
-    sets = [list(dict.fromkeys(some)) for some in sets]
+    sets, place, n = [list(dict.fromkeys(some)) for some in sets], {}, 0
+    for k, some in enumerate(sets):
+        for c in some:
+            place[k, c] = slice(n, n + 2 * len(edges[c]) + 1)
+            n = place[k, c].stop
 
     def run(batches):
-        total = {(k, c): np.zeros(2 * len(edges[c]) + 1, np.int64) for k, some in enumerate(sets) for c in some}
+        total = np.zeros(n, np.int64)
         for cells in _matrices(batches, len(edges)):
-            cls = [classes(x, e) for x, e in zip(cells, edges)]
-            gaps = np.isnan(cells)
+            columns, whole = [cells[:, c].copy() for c in range(len(edges))], {}
+            gaps = [np.isnan(x) for x in columns]
             for k, some in enumerate(sets):
-                out = gaps[some].any(axis=0)
+                out = np.logical_or.reduce([gaps[c] for c in some])
+                known = ~out if out.any() else None
                 for c in some:
-                    total[k, c] += np.bincount(cls[c][~out] if out.any() else cls[c], minlength=len(total[k, c]))
-        for (k, c), n in total.items():
-            hit = np.flatnonzero(n)
-            columns = [pa.array(np.full(len(hit), v), pa.int32()) for v in (k, c)]
-            yield pa.record_batch([*columns, pa.array(hit, pa.int32()), pa.array(n[hit])], names=["set", "column", "class", "n"])
-
-    parts = plain.mapInArrow(run, "set int, column int, class int, n long")
-    sizes = {(k, c): np.zeros(2 * len(edges[c]) + 1, np.int64) for k, some in enumerate(sets) for c in some}
-    for r in parts.groupBy("set", "column", "class").agg(F.sum("n").alias("n")).collect():
-        sizes[r["set"], r["column"]][r["class"]] = r["n"]
+                    if known is None and c not in whole:
+                        whole[c] = _sizes(columns[c], edges[c])
+                    total[place[k, c]] += whole[c] if known is None else _sizes(columns[c][known], edges[c])
+        hit = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(hit, pa.int32()), pa.array(total[hit])], names=["class", "n"])
+
+    total = np.zeros(n, np.int64)
+    for r in _rows(plain).mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        total[r["class"]] = r["n"]
+    sizes = {key: total[at] for key, at in place.items()}
     begins = {key: np.cumsum(n) - n + np.where(np.arange(len(n)) % 2 == 1, (n + 1) / 2, 0.0) for key, n in sizes.items()}
     moved = [any(sizes[k, c][::2].any() for k, some in enumerate(sets) if c in some) for c in range(len(edges))]
     return Ranking(sets, list(edges), begins, [int(sizes[k, some[0]].sum()) for k, some in enumerate(sets)], moved)
 
 
+def _sizes(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many values each class holds; none is NaN."""
+    x = np.sort(x)
+    ends = np.empty(2 * len(edges) + 1, np.int64)
+    ends[:-1:2], ends[1::2], ends[-1] = np.searchsorted(x, edges, side="left"), np.searchsorted(x, edges, side="right"), len(x)
+    return np.diff(ends, prepend=0)
+
+
 def ranked(plain: DataFrame, ranking: Ranking, order: Sequence[int], finish: Callable[[Iterator[np.ndarray], list], Iterator], schema: str) -> DataFrame:
     """``finish`` of the cells in which all columns that move no row, and then those of ``order``, are ranked.
 
-    It gets an iterator of matrices (a row per entry of the layout, a column per row of the table) and the layout.
+    It gets an iterator of matrices (a column per entry of the layout, a row per row of the table) and the layout.
     """
     layout = [(_RAW, c) for c in range(len(ranking.edges))]
     now = [c for c in range(len(ranking.edges)) if not ranking.moved[c]]
-    df, source = plain, _matrices
+    df, source = _rows(plain), _matrices
     for c in order:
         if ranking.moved[c]:
             df = _dealt(df.mapInArrow(_deal_by(ranking, source, layout, now, c), _BLOCKS), len(ranking.edges[c]) + 1)
@@ -126,9 +158,9 @@ def rank_rows(plain: DataFrame, ranking: Ranking) -> DataFrame:
         at = [[layout.index((k, c)) for c in some] for k, some in enumerate(ranking.sets)]
         for cells in matrices:
             for k, own in enumerate(at):
-                ranks = cells[own][:, ~np.isnan(cells[own[0]])]
+                ranks = cells[~np.isnan(cells[:, own[0]])][:, own]
                 offsets = pa.array(np.arange(0, ranks.size + 1, len(own)), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ranks.T.ravel()))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ranks.ravel()))
                 yield pa.record_batch([pa.array(np.full(len(lists), k), pa.int32()), lists], names=["set", "ranks"])
 
     return ranked(plain, ranking, range(len(ranking.edges)), finish, "set int, ranks array<double>")
@@ -156,8 +188,8 @@ def rank_sums(plain: DataFrame, ranking: Ranking, blocks: Sequence[tuple[Sequenc
             ys = [y for y in ys if y in some]
             if not ys:
                 continue
-            z = cells[[at[k, c] for c in (*xs, *ys)]]
-            z = z[:, ~np.isnan(z[0])] - (ranking.rows[k] + 1) / 2
+            z = np.array([cells[:, at[k, c]] for c in (*xs, *ys)])
+            z = (z if (known := ~np.isnan(z[0])).all() else z[:, known]) - (ranking.rows[k] + 1) / 2
             x, y, shape = z[: len(xs)], z[len(xs) :], (len(xs), len(ys))
             sums = [np.full(shape, z.shape[1]), x.sum(axis=1)[:, None], y.sum(axis=1), (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1), x @ y.T]
             for i, v in enumerate(sums):
@@ -169,9 +201,10 @@ def rank_sums(plain: DataFrame, ranking: Ranking, blocks: Sequence[tuple[Sequenc
         for cells in matrices:
             add(total, cells, layout, still)
             for c in moved:
-                mine = cells[[layout.index(key) for key in own[c]]]
-                mine = mine[:, ~np.isnan(mine[1:]).all(axis=0)]
-                yield _blocks(mine, mine[0], ranking.edges[c], begin[c])
+                mine = np.column_stack([cells[:, layout.index(key)] for key in own[c]])
+                out = np.logical_and.reduce([np.isnan(mine[:, i]) for i in range(1, len(own[c]))])
+                mine = mine[~out] if out.any() else mine
+                yield _blocks(mine, mine[:, 0].copy(), ranking.edges[c], begin[c])
         yield pa.record_batch([pa.array([ids], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "cells"])
 
     def last(batches):
@@ -181,7 +214,7 @@ def rank_sums(plain: DataFrame, ranking: Ranking, blocks: Sequence[tuple[Sequenc
                 total += sum(parts).reshape(total.shape)
                 continue
             c = max((c for c in moved if begin[c] <= at), key=begin.get)
-            cells = np.hstack([p.reshape(len(own[c]), -1) for p in parts])
+            cells = np.concatenate(parts).reshape(-1, len(own[c]))
             add(total, ranking.rank(cells, own[c], [c]), ranking.after(own[c], [c]), [c])
         yield pa.record_batch([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
 
@@ -199,32 +232,46 @@ def _deal_by(ranking: Ranking, source, layout: list, now: Sequence[int], c: int)
 
     def run(batches):
         for cells in _gathered(ranking.rank(m, layout, now) for m in source(batches, len(layout))):
-            yield _blocks(cells, cells[at], ranking.edges[c])
+            yield _blocks(cells, cells[:, at].copy(), ranking.edges[c])
 
     return run
 
 
 def _blocks(cells: np.ndarray, x: np.ndarray, edges: np.ndarray, begin: int = 0) -> pa.RecordBatch:
     """The cells of the rows of each range; rows on a bound, or without a value, are dealt out evenly."""
-    ranges = len(edges) + 1
-    cls = classes(x, edges)
-    to = np.where((cls % 2 == 0) & ~np.isnan(x), cls // 2, np.arange(len(x)) % ranges)
-    cells = cells[:, np.argsort(to.astype(np.int16 if ranges < 1 << 15 else np.int64), kind="stable")]
-    n = np.bincount(to, minlength=ranges)
-    ends = np.cumsum(n)
-    hit = np.flatnonzero(n)
-    packed = [cells[:, ends[i] - n[i] : ends[i]].tobytes() for i in hit]
-    return pa.record_batch([pa.array(hit + begin, pa.int32()), pa.array(packed, pa.binary())], names=["at", "cells"])
+    order = np.argsort(x)
+    x = x[order]
+    low, high = np.searchsorted(x, edges, side="left"), np.searchsorted(x, edges, side="right")
+    starts, ends = np.append(0, high), np.append(low, len(x) - np.isnan(x).sum())
+    spread = np.concatenate([*(order[a:b] for a, b in zip(low, high) if a < b), order[ends[-1] :]])
+    cuts = np.arange(len(starts) + 1) * len(spread) // len(starts)
+    at, packed = [], []
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        rows = np.append(order[a:b], spread[cuts[i] : cuts[i + 1]])
+        if len(rows):
+            at.append(begin + i)
+            packed.append(cells.take(rows, axis=0).tobytes())
+    return pa.record_batch([pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["at", "cells"])
 
 
 def _dealt(blocks: DataFrame, ids: int) -> DataFrame:
-    """Blocks of one range in one task."""
-    return blocks.repartitionById(min(ids, 2 * MAX_RANGES), F.col("at")).sortWithinPartitions("at")
+    """Blocks of one range in one task, one range after the other.
+
+    Up to 200 partitions Spark opens a file for each in every task, which costs more than the rows do; some are left empty for that.
+    """
+    tasks = min(ids if ids <= FEW_FILES else max(ids, ONE_FILE), 2 * MAX_RANGES)
+    dealt = blocks.repartitionById(tasks, F.col("at"))
+    return dealt if tasks >= ids else dealt.sortWithinPartitions("at")
+
+
+def _rows(plain: DataFrame) -> DataFrame:
+    """A row's cells in one array: Spark measures every column of a batch anew with each row that it adds."""
+    return plain.select(F.array(*plain.columns).alias("cells"))
 
 
 def _matrices(batches, width: int) -> Iterator[np.ndarray]:
     """Rows as they are read."""
-    cells = (np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], dtype=float) for batch in batches)
+    cells = (batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width) for batch in batches)
     return _gathered(m for m in cells if m.size)
 
 
@@ -245,7 +292,7 @@ def _runs(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
 def _ranges(batches, width: int) -> Iterator[np.ndarray]:
     """All rows of one range after the other."""
     for _, parts in _runs(batches):
-        yield np.hstack([p.reshape(width, -1) for p in parts])
+        yield np.concatenate(parts).reshape(-1, width)
 
 
 def _gathered(matrices: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
@@ -255,7 +302,7 @@ def _gathered(matrices: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         parts.append(cells)
         held += cells.size
         if held >= HELD_CELLS:
-            yield np.hstack(parts) if len(parts) > 1 else cells
+            yield np.concatenate(parts) if len(parts) > 1 else cells
             parts, held = [], 0
     if parts:
-        yield np.hstack(parts)
+        yield np.concatenate(parts)

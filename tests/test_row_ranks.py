@@ -1,5 +1,7 @@
 """Ranks of several columns over the same rows, and sums of their products."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -61,3 +63,18 @@ def test_rank_correlations_move_blocks_of_rows(spark, monkeypatch):
         mine = np.array(sorted(r["ranks"] for r in rows if r["set"] == k))
         want = pdf[some].dropna().rank().sort_values(some).to_numpy()
         assert np.array_equal(mine, want)
+
+
+def test_rank_correlations_of_many_ranges_open_one_file_a_task(spark, monkeypatch):
+    """A file for each of some dozens of ranges in each task took longer than the rows; and a row reaches Python as one array."""
+    pdf, df = _table(spark, ["_v0"], rows=400)
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    got = {(v, c): (n, r) for v, c, n, r in diagnostics._correlate_ranks(df, ["s"], ["a", "b"], 50)}
+    plan = plans[-1]
+    dealt = [int(n) for n in re.findall(r"(\d+)\)?, REPARTITION_BY_NUM", plan)]
+    assert max(dealt) > row_ranks.FEW_FILES and all(n <= row_ranks.FEW_FILES or n >= row_ranks.ONE_FILE for n in dealt)
+    assert "Sort [at" not in plan and "Project [array(" in plan
+    for i, v in enumerate(["a", "b"]):
+        both = pdf[["s", f"_v{i}"]].dropna()
+        assert got[v, "s"][0] == len(both) and abs(got[v, "s"][1] - both.rank().corr().iloc[0, 1]) < 1e-12
