@@ -138,6 +138,75 @@ def test_packed_rows_are_the_same_rows(spark):
     assert n == 70 and np.allclose(shift + off / n, x.mean(axis=0)) and np.allclose((square - off**2 / n) / 69, x.var(axis=0, ddof=1))
 
 
+def counted(spark, df):
+    """``df`` with its arrays made by Python, and a counter of the rows made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def again(values):
+        made.add(1)
+        return values
+
+    return df.withColumn("arr", again("arr")), made
+
+
+def test_source_of_a_wide_fit_is_read_once(spark, monkeypatch):
+    """Beside a few rows for the width and a rough centre, one scan packs, checks and adds up the rows."""
+    monkeypatch.setattr(pca, "MAX_WIDTH", 19)
+    x = np.random.default_rng(1).normal(size=(600, 20)) + 4
+    monkeypatch.setattr(products, "PREVIEW", 10)
+    df, made = counted(spark, table(spark, x))
+    got = pca.fit_pca(df, "arr", 2, scaling="center")
+    assert got.n == 600 and made.value < 2 * 600
+    w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(got.eigenvalues, w[:2]) and np.allclose(got.center, x.mean(axis=0))
+
+
+def test_packing_scan_makes_the_first_product(spark):
+    rng = np.random.default_rng(2)
+    x, fold = rng.normal(size=(90, 12)) * np.geomspace(4, 0.5, 12) + 6, np.arange(90) % 3
+    df = table(spark, x).withColumn("fold", F.col("id") % 3).withColumn("repeat", F.lit(0))
+    rows = Rows(df, F.col("arr"), 12, folds=("repeat", "fold")).packed(3, 3)
+    shift, parts = rows.centred_sums()
+    assert sum(p[0] for p in parts.values()) == 90 and sorted(parts) == [(0, 0), (0, 1), (0, 2)]
+    for key in [None, (0, 0), (0, 2)]:
+        own = x if key is None else x[fold != key[1]]
+        p = Problem(key, len(own), own.mean(axis=0), own.std(axis=0))
+        v, image = rows.first_product(shift, p)
+        assert np.allclose(v.T @ v, np.eye(7)) and np.allclose(image, covariance(own, p.center, p.divisor) @ v)
+        assert np.allclose(image, rows.apply(shift, [p], [v])[0])
+    odd = Problem(None, 90, x.mean(axis=0), np.geomspace(1, 1e9, 12))
+    assert rows.first_product(shift, odd) is None and rows.first_product(shift + 1, p) is None
+    assert Rows(df, F.col("arr"), 12).packed(3, 10**9).start is None
+
+
+def test_packing_scan_finds_gaps_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(pca, "MAX_WIDTH", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = [[float(i), 1.0, 2.0, float(i % 3)] for i in range(20)]
+    for gap in ([1.0, None, 2.0, 3.0], [1.0, float("nan"), 2.0, 3.0], None):
+        df = spark.createDataFrame([(v,) for v in [*whole, gap]], "arr array<double>")
+        with pytest.raises(Exception, match="missing cell"):
+            pca.fit_pca(df, "arr", 1)
+    df = spark.createDataFrame([(v,) for v in [*whole, [1.0] * 5, None]], "arr array<double>")
+    with pytest.raises(ValueError, match="rows differ in length: 4 to 5"):
+        pca.fit_pca(df, "arr", 1)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_rough_centre_far_from_the_mean(spark, monkeypatch):
+    monkeypatch.setattr(products, "PREVIEW", 2)
+    x = np.random.default_rng(4).normal(size=(80, 6)) + 1e4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.concatenate([np.zeros((2, 6)), x]))], "id long, arr array<double>").coalesce(1)
+    rows = Rows(df.filter("id <> 1"), F.col("arr"), 6).packed(2)
+    monkeypatch.setattr(products, "FAR", 1e-4)
+    shift, parts = rows.centred_sums()
+    every = np.concatenate([np.zeros((1, 6)), x])
+    p = Problem(None, 81, every.mean(axis=0), np.ones(6))
+    assert np.allclose(shift, every.mean(axis=0)) and rows.first_product(shift, p) is None
+    assert np.allclose(leading(rows, shift, [p], 2)[0].eigenvalues, np.linalg.eigvalsh(np.cov(every.T))[::-1][:2])
+
+
 def test_pieces_are_bounded(monkeypatch):
     import pyarrow as pa
 
