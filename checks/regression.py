@@ -231,10 +231,10 @@ def _(spark, sf):
        SELECT o_orderkey, round(my + pa * (a - ma) + pb * (b - mb), 5) AS predicted, round(my + pa * (a - ma) + pb * (b - mb) - y, 5) AS residual FROM o, f""",
 )
 def _(spark, sf):
-    kinds = F.flatten(F.array_repeat(F.array("a", "b"), 2500))
+    kinds = F.flatten(F.array_repeat(F.array(*["a", "b"] * 50), 50))
     df = table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 1000.0).alias("a"), (F.col("o_orderkey") % 1009 / 100.0).alias("b")
-    ).repartition(16).withColumn("x", kinds)
+    ).repartition(max(16, 4 * spark.sparkContext.defaultParallelism)).withColumn("x", kinds)
     fit = reg.fit_pcr(df, "x", "y", k=2, scaling="center")
     out = reg.fitted(df, fit.model, ["o_orderkey"])
     return out.select("o_orderkey", F.round("predicted", 5).alias("predicted"), F.round("residual", 5).alias("residual"))
@@ -250,7 +250,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 1000.0).alias("a"))
-    wide = df.repartition(16).withColumn("x", F.array_repeat("a", 5000))
+    wide = df.repartition(max(16, 4 * spark.sparkContext.defaultParallelism)).withColumn("x", F.array_repeat("a", 5000))
     curve = reg.fit_pcr(wide, "x", "y", cv=reg.CV(4, order_by=("o_orderkey",)), max_components=2, scaling="center").curve
     return curve.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("rmsecv", "bias", "mae")])
 

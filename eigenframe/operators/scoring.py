@@ -15,6 +15,7 @@ from eigenframe.operators.pca import PCAModel
 from eigenframe.operators.rowstage import apply_row_stage
 from eigenframe.plans.gram import feature_array, pieces
 
+_CHUNK = 1 << 18  # cells of rows predicted at once inside a task: 2 MB, which a core's caches hold
 EXPRESSION_CELLS = 400  # width × k up to which scores stay generated Java code
 
 
@@ -65,10 +66,7 @@ def _t2(ts: list[Column], model: PCAModel) -> Column:
 
 
 def _score_batches(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataFrame:
-    rows = apply_row_stage(df, model.source, model.row_stage, "_x") if model.row_stage.active else df.withColumn(
-        "_x", feature_array(df, model.source)
-    )
-    rows = rows.select(*keep, "_x")
+    rows = _array_rows(df, model, keep)
     c, d, p, m, k = model.center, model.divisor, model.loadings, model.width, model.k
     lam = np.where(model.eigenvalues > 0, model.eigenvalues, np.inf)
     extra = [T.StructField(f"pc{j + 1}", T.DoubleType()) for j in range(k)]
@@ -77,11 +75,8 @@ def _score_batches(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataF
 
     def project(batches):
         for b in pieces(batches, m):
-            lists = b.column(b.schema.get_field_index("_x"))
-            x = np.full((b.num_rows, m), np.nan)
-            x[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            gap = ~np.isfinite(x).all(axis=1)
-            z = (np.where(gap[:, None], 0.0, x) - c) / d
+            x, gap = _cells_and_gaps(b.column(len(keep)), m)
+            z = (x - c) / d
             t = z @ p
             cols = [b.column(i) for i in range(len(keep))] + [pa.array(t[:, j], mask=gap) for j in range(k)]
             cols += [pa.array((t**2 / lam).sum(axis=1), mask=gap), pa.array(((z - t @ p.T) ** 2).sum(axis=1), mask=gap)]
@@ -109,10 +104,46 @@ def predict(df: DataFrame, model: PCAModel, keep: Sequence[str] = (), name: str
     if reg.beta_valid and not isinstance(model.source, str):
         xs = [F.col(f"`{c}`").cast("double") for c in model.features]
         return align(df, model, keep).select(*keep, _linear(xs, np.array(reg.beta), reg.beta0).alias(name))
+    if model.row_stage.active or isinstance(model.source, str):
+        return _predict_batches(align(df, model, keep), model, keep, name)
     ts = [F.col(f"pc{j + 1}") for j in range(reg.k)]
     return score(df, model, keep).select(*keep, _linear(ts, np.array(reg.gamma), reg.intercept).alias(name))
 
 
+def _predict_batches(df: DataFrame, model: PCAModel, keep: Sequence[str], name: str) -> DataFrame:
+    """The regression on the scores as one weight per variable: one product per row, no scores on the way."""
+    reg, c, m = model.regression, model.center, model.width
+    w = model.loadings[:, : reg.k] @ np.array(reg.gamma) / model.divisor
+    rows = _array_rows(df, model, keep)
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(name, T.DoubleType())])
+
+    def project(batches):
+        for b in pieces(batches, m, _CHUNK):
+            x, gap = _cells_and_gaps(b.column(len(keep)), m)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array((x - c) @ w + reg.intercept, mask=gap)], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(project, schema)
+
+
+def _array_rows(df: DataFrame, model: PCAModel, keep: Sequence[str]) -> DataFrame:
+    """The columns to keep, then the variables as one array."""
+    rows = apply_row_stage(df, model.source, model.row_stage, "_x") if model.row_stage.active else df.withColumn(
+        "_x", feature_array(df, model.source)
+    )
+    return rows.select(*keep, "_x")
+
+
+def _cells_and_gaps(lists: pa.Array, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of an array column, 0 in rows with a NULL or non-finite cell, and which rows those are."""
+    if lists.null_count:
+        x = np.full((len(lists), m), np.nan)
+        x[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+    else:
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+    gap = ~np.isfinite(x).all(axis=1)
+    return np.where(gap[:, None], 0.0, x) if gap.any() else x, gap
+
+
 # --- diagnostics on scored rows -----------------------------------------------------
 
 

@@ -207,6 +207,23 @@ def test_rough_centre_far_from_the_mean(spark, monkeypatch):
     assert np.allclose(leading(rows, shift, [p], 2)[0].eigenvalues, np.linalg.eigvalsh(np.cov(every.T))[::-1][:2])
 
 
+def test_wide_prediction_takes_one_product(spark, monkeypatch):
+    """Predicted as through the scores, which are not made; rows with gaps have none."""
+    for module in (pca, reg):
+        monkeypatch.setattr(module, "MAX_WIDTH", 7)
+    x = np.random.default_rng(6).normal(size=(60, 8)) + 2
+    y = x[:, 0] - 2 * x[:, 5]
+    df = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, arr array<double>, y double")
+    model = reg.fit_pcr(df, "arr", "y", k=3, scaling="standard").model
+    more = df.unionByName(spark.createDataFrame([(100, None, 1.0), (101, [None, *[1.0] * 7], 1.0), (102, [float("inf"), *[1.0] * 7], 1.0)], df.schema))
+    out = reg.fitted(more, model, ["id"])
+    assert "pc1" not in out._jdf.queryExecution().toString() and out.columns == ["id", "measured", "predicted", "residual"]
+    got = {r["id"]: r["predicted"] for r in out.collect()}
+    scores = ((x - model.center) / model.divisor) @ model.loadings
+    want = scores @ np.array(model.regression.gamma) + model.regression.intercept
+    assert np.allclose([got[i] for i in range(60)], want) and [got[i] for i in (100, 101, 102)] == [None] * 3
+
+
 def test_pieces_are_bounded(monkeypatch):
     import pyarrow as pa
 
