@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -25,8 +26,8 @@ from eigenframe.operators.scoring import predict
 from eigenframe.plans.dense import floor_at_one, score_paths
 from eigenframe.plans.durable import discard, stored
 from eigenframe.plans.fold_ranks import robust_scales
-from eigenframe.plans.gram import MAX_WIDTH, column_means, feature_array, gram, moments_from, width_of
-from eigenframe.plans.products import Rows
+from eigenframe.plans.gram import MAX_WIDTH, column_means, feature_array, first_width, gram, moments_from
+from eigenframe.plans.products import Rows, scans
 from eigenframe.plans.ranges import GROUP_ROWS, MAX_RANGES, cuts_before, dense_index, hash_cuts
 
 BROADCAST_CELLS = 4_000_000  # coefficients of all folds together that may be broadcast
@@ -264,8 +265,9 @@ def fit_pcr(
         raise ValueError("the regression needs centred variables")
     spark, stage = df.sparkSession, row_stage or RowStage()
     names = (features,) if isinstance(features, str) else tuple(features)
-    m = width_of(df, features)
-    base, source = _prepare(df, features, y, stage, cv)
+    m = first_width(df, features, MAX_WIDTH)
+    wide = m > MAX_WIDTH
+    base, source = _prepare(df, features, y, stage, cv, checked=not wide)
     # Column means ride along with the counts: the best centre for the moments to come.
     means = [] if isinstance(source, str) else [F.avg(c).alias(c) for c in source]
     size = base.agg(F.count("_y").alias("lab"), F.count("*").alias("n"), F.avg("_y").alias("y"), *means).first()
@@ -275,21 +277,21 @@ def fit_pcr(
     limit = _limit(base, labelled, m, cv, max_components or k)
     if k is not None and k > limit:
         raise ValueError(f"{k} components: at most {limit} for {labelled} labelled rows and {m} variables")
-    wide = m > MAX_WIDTH
     if wide and (scaling == "robust" or not (max_components or k)):
         raise ValueError(f"more than {MAX_WIDTH} predictors: plain scaling, and k or max_components must be given")
     means = [0.0] * m if wide else column_means(base, feature_array(base, source), m) if isinstance(source, str) else [size[c] for c in source]
     shift = [float(v or 0.0) for v in (*means, size["y"])]
-    curve = oof = None
+    curve = oof = kept = None
     notes: dict = {}
     if cv is not None:
         held = assign_folds(base.filter("_y is not null"), cv)
         if wide:
-            preds = wide_regression.cross_validate(base, held, source, m, cv, limit, scaling, shift[-1])
+            preds, kept = wide_regression.cross_validate(base, held, source, m, cv, limit, scaling, shift[-1])
         else:
             cells = _fold_cells(base, held, source, m, cv, shift, n > labelled)
             preds = _cross_validate(base, held, cells, source, m, cv, limit, scaling, shift)
-        per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
+        with scans(spark, m) if wide else nullcontext():
+            per_fold = _fold_errors(preds, limit).collect()  # folds × component counts
         curve = _curve_from_folds(spark.createDataFrame(per_fold, _FOLD_SCHEMA))
         points = _points(curve.orderBy("k").collect(), metric)
         k = choose_k(points, rule, tolerance, wold_r)
@@ -298,22 +300,25 @@ def fit_pcr(
             *cv.order_by, "fold", "predicted", F.col("_y").alias("measured")
         )
     if wide:
-        model = wide_regression.final(base, source, names, y, m, max(1, k), scaling, stage, shift[-1])
+        model = wide_regression.final(base, source, names, y, m, max(1, k), scaling, stage, shift[-1], kept)
     else:
         whole = cells.filter("repeat = 0") if cv is not None else _whole_cells(base, source, shift)
         model = _final(spark, base, whole, source, names, y, m, n, k, scaling, stage, shift)
     return PCRResult(model, curve, k, notes, oof, limit, labelled, n - labelled)
 
 
-def _prepare(df, features, y, stage, cv):
+def _prepare(df, features, y, stage, cv, checked=True):
+    """The response and the variables; not ``checked``: whoever reads the variables looks for gaps."""
     carry = list(dict.fromkeys([*(cv.order_by if cv else ()), *([cv.group_by] if cv and cv.group_by else [])]))
     target = F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double")).alias("_y")
     if stage.active or isinstance(features, str):
         rows = apply_row_stage(df, features, stage, "_pcrx") if stage.active else df.withColumn("_pcrx", feature_array(df, features))
-        return _complete(rows.select(*carry, target, "_pcrx"), "_pcrx"), "_pcrx"
+        out = rows.select(*carry, target, "_pcrx")
+        return _complete(out, "_pcrx") if checked else out, "_pcrx"
     xs = [F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
     cols = [f"_x{i}" for i in range(len(features))]
-    return _complete(df.select(*carry, target, *xs), cols), cols
+    out = df.select(*carry, target, *xs)
+    return _complete(out, cols) if checked else out, cols
 
 
 def _limit(base, labelled, m, cv, requested):

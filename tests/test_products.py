@@ -224,6 +224,25 @@ def test_wide_prediction_takes_one_product(spark, monkeypatch):
     assert np.allclose([got[i] for i in range(60)], want) and [got[i] for i in (100, 101, 102)] == [None] * 3
 
 
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_final_fit_reads_what_the_folds_have_packed(spark, monkeypatch, repeats):
+    for module in (pca, reg):
+        monkeypatch.setattr(module, "MAX_WIDTH", 9)
+    monkeypatch.setattr(products, "PREVIEW", 10)
+    x = np.random.default_rng(9).normal(size=(2000, 10)) * np.geomspace(3, 0.5, 10) + 1
+    y = x[:, 0] + x[:, 1] - x[:, 4]
+    rows = [(i, r.tolist(), float(v) if i % 9 else None) for i, (r, v) in enumerate(zip(x, y))]
+    df, made = counted(spark, spark.createDataFrame(rows, "id long, arr array<double>, y double").repartition(3))
+    cv = reg.CV(4, order_by=("id",), shuffle=True, repeats=repeats)
+    got = reg.fit_pcr(df, "arr", "y", cv=cv, max_components=3, rule="min")
+    labelled = sum(1 for r in rows if r[2] is not None)
+    assert made.value < repeats * labelled + 2000 - labelled + 1500  # the folds' rows, and a few for the width and a centre
+    want = reg.fit_pcr(df, "arr", "y", k=got.selected).model
+    assert got.model.n == 2000 and np.allclose(got.model.loadings, want.loadings, atol=1e-6)
+    assert np.allclose(got.model.regression.beta, want.regression.beta, atol=1e-6) and np.isclose(got.model.regression.rmsec, want.regression.rmsec)
+    assert np.allclose(list(got.model.limits.values()), list(want.limits.values()), rtol=0.2)
+
+
 def test_pieces_are_bounded(monkeypatch):
     import pyarrow as pa
 
